@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import BASE, SPACE, mix, shingles, texts_only, utf8, words, write_table
+from panelweave.llm.common import BASE, SPACE, mix, shingles, sliced, texts_only, utf8, words, write_table
 
 K = 64
 NEED = 24
@@ -63,7 +63,7 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set, and the sketch as little-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = shingle_sets(*utf8(batch.column(1)))
             with np.errstate(over="ignore"):
                 one = np.array([mix(s ^ BASE).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -143,7 +143,7 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = write_table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(*utf8(batch.column(1)))], pa.binary())], names=["id", "set"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

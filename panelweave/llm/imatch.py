@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import BASE, NON_TERM, mix, owners, parts_for, texts_only, utf8, words
+from panelweave.llm.common import BASE, NON_TERM, mix, owners, parts_for, sliced, texts_only, utf8, words
 
 SUBSETS = 40
 LEVELS = 10
@@ -56,7 +56,7 @@ def lexicon(docs: DataFrame, idf_low: float = 1.2, idf_high: float = 9.2) -> np.
     """Sorted hashes of the terms in the band, counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             terms, n = np.unique(text_terms(*utf8(batch.column(0)))[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "df"])
 
@@ -201,7 +201,7 @@ def fingerprints(docs: DataFrame, idf_low: float = 1.2, idf_high: float = 9.2, s
                         yield emit(text)
                     waiting, size, done = [], 0, True
                     continue
-                if size > 8 << 20:
+                if size > 2 << 20:
                     yield emit(text)
                     waiting, size = [], 0
                 waiting.append((doc_id, text))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import SPACE, utf8, words, write_table
+from panelweave.llm.common import SPACE, sliced, utf8, words, write_table
 
 #: Weights in the order of the sources, repeating.
 WEIGHTS = (3, 1, 2)
@@ -46,8 +46,7 @@ def word_count(column: pa.Array) -> np.ndarray:
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     first[heads] = inside[heads]
-    counted = np.concatenate([[0], np.cumsum(first)])
-    return counted[offsets[1:]] - counted[offsets[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(first), offsets))
 
 
 def targets(sizes: dict[str | None, int], share: Fraction = Fraction(3, 2), repeat: int = 2, weights: tuple[int, ...] = WEIGHTS) -> dict[str | None, Fraction]:
@@ -94,7 +93,7 @@ def plan(docs: DataFrame, block: int = 64, shard_words: int = 1 << 20, shard_row
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(word_count(b.column(2)))], names=["doc_id", "source", "size"])
 
     sizes = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(count, "doc_id long, source string, size long"), "mixing-sizes")

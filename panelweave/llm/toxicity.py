@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import NON_TERM, owners, prefixes, texts_only, utf8, words
+from panelweave.llm.common import NON_TERM, owners, prefixes, sliced, texts_only, utf8, words
 
 SCHEMA = "doc_id long, score double, predicted int"
 BUCKETS = 1 << 20
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     ids = docs.sparkSession.createDataFrame([(i,) for i in wanted["p"] | wanted["u"]], "doc_id long")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows, features = text_features(*utf8(batch.column(1)))
             pair = np.unique(rows * BUCKETS + features)
             bounds = np.searchsorted(pair, np.arange(batch.num_rows + 1) * BUCKETS)
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = held.value.scores(*utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -164,7 +164,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             yield batch.filter(pa.array(held.value.scores(*utf8(batch.column(at))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import drop_path, new_path, write_table
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocation, which takes 4 MB a store whatever it holds.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Hits are broadcast up to this many rows (about 100 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 200_000
 LEDGER = "text_sha256 string, doc_id long, locator string"
@@ -48,12 +53,10 @@ class ExactDeduper:
     def add(self, docs: DataFrame) -> None:
         """Take in the rows of ``docs``."""
         docs.select(digest().alias("text_sha256"), F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("locator")).write.mode("append").parquet(f"{self.home}/ledger")
-        conf, key = self.spark.conf, "spark.sql.streaming.stateStore.providerClass"
-        before = conf.get(key)
-        bounded = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
-        was = conf.get(bounded, None)
-        conf.set(key, ROCKSDB)
-        conf.set(bounded, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            conf.set(k, v)
         try:
             query = (
                 self.spark.readStream.schema(LEDGER)
@@ -68,8 +71,8 @@ class ExactDeduper:
             )
             query.awaitTermination()
         finally:
-            conf.set(key, before)
-            conf.unset(bounded) if was is None else conf.set(bounded, was)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def ledger(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(f"{self.home}/ledger")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, imatch, mixing, neardup, sentencepiece_trie, token_counts, toxicity
+from panelweave.llm import exact_dedup, imatch, kneser_ney, mixing, neardup, pseudo_likelihood, sentencepiece_trie, suffix_family, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_documents(spark, sf_dir))
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(_documents(spark, sf_dir))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.dedup(_documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, _labels(spark, sf_dir))
@@ -49,14 +57,21 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(_documents(spark, sf_dir))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_fingerprints": op3_fingerprints,
+    "op4_pseudo_likelihood": op4_pseudo_likelihood,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_neardup": op9_neardup,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 #: SQL can't express the other operators; tests/llm holds them against brute force.

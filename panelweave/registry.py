@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from panelweave import pipeline_queries, queries as language
 
 
-def queries():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.QUERIES["flagship"](spark, sf_dir)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return language.QUERIES | pipeline_queries.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return language.SQL | pipeline_queries.SQL

@@ -12,12 +12,13 @@ sketch holds the ``K`` smallest. Documents are linked when 100 * intersection
    class has to be listed only under its first x - need + 1 values out of the x
    that others retain too, and not at all with fewer than ``need``. So common
    lines and passages neither list a document nor make long lists.
-3. Overlaps: each list is compared with a pivot, which takes one pair for each
-   entry however long the list is. Lists whose members then form one component
-   are done, as no further link can change the result. Other lists get new
-   pivots; after ``ROUNDS`` rounds, or at once in lists of ``SHORT`` members,
-   each member outside the list's main component is compared with all members
-   of other components, so no link between components is lost.
+3. Overlaps: the members of each list are compared with ``PIVOTS`` of them,
+   which takes as many pairs for each entry however long the list is. Lists
+   whose members then form one component are done, as no further link can
+   change the result. Of the others, lists of up to ``SHORT`` members are
+   compared in full, longer ones get new pivots; after ``ROUNDS`` rounds each
+   member outside the list's main component is compared with all members of
+   other components, so no link between components is lost.
 4. Pairs are filtered by size and by the similarity that the union of their
    sketches estimates; full sets of the rest are compared.
 5. Components by alternating large-star and small-star steps.
@@ -44,6 +45,7 @@ from panelweave.llm.common import BASE, SPACE, mix, shingles, sliced, texts_only
 K = 64
 NEED = 24
 ROUNDS = 4
+PIVOTS = 4
 SHORT = 48
 #: A side is broadcast up to this many rows of two longs.
 BROADCAST_ROWS = 1_000_000
@@ -83,18 +85,22 @@ def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) for every id on an edge (a, b)."""
-    now = write_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+
+    def mark(df: DataFrame):
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+
+    now = write_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"), "edges")
+    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        after = write_table(small, "edges")
-        n, m = now.count(), after.count()
-        if n == m and not after.exceptAll(now).limit(1).count():
+        now = write_table(small, "edges")
+        before, seen = seen, mark(now)
+        if seen == before:
             break
-        now = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -161,6 +167,37 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _lists_now(lists: DataFrame, labels: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Entries with their components, and the lists still to be looked at: size, main component and pivots."""
+    if labels is None:
+        entries = lists.withColumn("component", F.col("id"))
+    else:
+        entries = lists.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    pivots = [F.min(F.struct((F.xxhash64("id", F.lit(turn), F.lit(i)) if turn or i else F.col("id")).alias("h"), "id", "n", "component")) for i in range(PIVOTS)]
+    stats = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(*pivots).alias("pivots")).where("lo < hi")
+    if turn > 1:  # short lists have been compared in full
+        stats = stats.where(F.col("size") > SHORT)
+    return entries, write_table(stats.select("value", "size", "pivots"), "neardup-open")
+
+
+def _candidates(entries: DataFrame, stats: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of members of one list whose components differ and whose sizes allow a link."""
+    open_ = entries.join(_small(stats, 200_000), "value")
+    parts = []
+    if turn < ROUNDS:
+        long_ = open_.where(F.col("size") > SHORT) if turn else open_
+        parts.append(long_.select("id", "n", "component", F.explode("pivots").alias("p")).select("id", "n", "component", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2")))
+    if turn == 1 or turn == ROUNDS:
+        rest = open_.where(F.col("size") <= SHORT) if turn == 1 else open_
+        other = rest.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+        if turn == ROUNDS:
+            main = rest.groupBy("value", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+            other = other.join(main, "value").where("component2 != main").drop("main")
+        parts.append(rest.select("value", "id", "n", "component").join(other, "value").drop("value"))
+    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return pairs.where((F.col("component") != F.col("component2")) & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     rows = write_table(sketch_rows(docs), "neardup-sketches")
@@ -172,42 +209,23 @@ def link(docs: DataFrame) -> DataFrame:
     reps = full.join(known, key, "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     reps = write_table(reps, "neardup-reps")
     lists = write_table(inverted_lists(reps), "neardup-lists")
-    edges = None  # between representatives, verified
-    seen = None  # pairs already compared
     labels = None
-    for turn in range(ROUNDS + 1):
-        entries = lists
-        if labels is not None:
-            entries = lists.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            spans = entries.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").drop("lo", "hi")
-            entries = write_table(entries.join(spans, "value"), "neardup-open")
-            if not entries.limit(1).count():
-                break
-        else:
-            entries = entries.withColumns({"component": F.col("id"), "size": F.lit(SHORT + 1)})
-        last = turn == ROUNDS
-        parts = []
-        if not last:
-            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h") if turn else F.col("id").alias("h"), "id", "n", "component")
-            long_ = entries.where(F.col("size") > SHORT)
-            pivots = long_.groupBy("value").agg(F.min(order).alias("p"))
-            parts.append(long_.join(pivots, "value").select("id", "n", "component", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2")))
-        if labels is not None:
-            rest = entries if last else entries.where(F.col("size") <= SHORT)
-            main = rest.groupBy("value", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-            outside = rest.join(main, "value").where("component != main").select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            parts.append(rest.join(outside, "value").select("id", "n", "component", "id2", "n2", "component2"))
-        pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        pairs = pairs.where((F.col("component") != F.col("component2")) & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "neardup-pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
+    turn = 0
+    while True:
+        entries, stats = _lists_now(lists, labels, turn)
+        if turn and not stats.limit(1).count():
+            break
+        pairs = _candidates(entries, stats, turn)
         likely = write_table(_estimate(pairs, reps), "neardup-likely")
         passed = write_table(_verify(likely, docs).distinct(), "neardup-links")
-        edges = passed if edges is None else edges.unionByName(passed)
-        if passed.limit(1).count() or labels is None:
-            labels = write_table(components(edges if labels is None else passed.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))), "neardup-components")
+        found = passed.limit(1).count()
+        if labels is None:
+            labels = write_table(components(passed), "neardup-components")
+        elif found:
+            labels = write_table(components(passed.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))), "neardup-components")
+        turn += 1
+        if turn > ROUNDS:
+            break
     labels = labels.where("id != component")
     out = named.join(labels, named["rep"] == labels["id"], "left")
     component = F.coalesce("component", "rep")

@@ -79,7 +79,7 @@ def panel_correlations(df: DataFrame, x: str) -> DataFrame:
     """sid, other, corr over pairs of instruments of a panel, over dates on which both are known."""
     one = df.select("t", "sid", F.col(x).alias("a")).where("a is not null")
     two = one.select("t", F.col("sid").alias("other"), F.col("a").alias("b"))
-    return one.join(two, "t").where("sid < other").groupBy("sid", "other").agg(F.corr("a", "b").alias("corr"))
+    return one.join(two, "t").where("sid < other").groupBy("sid", "other").agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("corr"))
 
 
 def fidelity_report(real: DataFrame, made: DataFrame) -> dict:

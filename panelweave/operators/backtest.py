@@ -22,7 +22,11 @@ from panelweave.plans.syntax import ExpressionError
 MIN_NAMES = 5
 TINY = 1e-12
 ALL_PAST = (Window.unboundedPreceding, 0)
-DAILY = Window.orderBy("t")  # for frames of a row for each date only
+
+
+def by_day():
+    """Over frames of a row for each date only."""
+    return Window.orderBy("t")
 
 
 def universe(df: DataFrame, n: int, width: int | None = None, adv: str = "adv20") -> DataFrame:
@@ -131,8 +135,8 @@ def metrics(days: DataFrame, book: float = 1.0, cost_bps: float = CUTOFFS["cost_
     """One row: sharpe, fitness, turnover_pct, returns_pct, returns_geo_pct, drawdown_pct, margin_bps,
     weight_concentration_pct, cost_drag_pct, returns_net_pct."""
     invested, year = book / 2, CUTOFFS["annualization"]
-    run = days.withColumn("cum", F.when(F.col("t") > 0, F.sum(F.when(F.col("t") > 0, F.col("pnl"))).over(DAILY.rowsBetween(*ALL_PAST))))
-    run = run.withColumn("fall", F.max("cum").over(DAILY.rowsBetween(*ALL_PAST)) - F.col("cum"))
+    run = days.withColumn("cum", F.when(F.col("t") > 0, F.sum(F.when(F.col("t") > 0, F.col("pnl"))).over(by_day().rowsBetween(*ALL_PAST))))
+    run = run.withColumn("fall", F.max("cum").over(by_day().rowsBetween(*ALL_PAST)) - F.col("cum"))
     late = F.col("t") > 0
     p, turn = F.when(late, F.col("pnl")), F.when(F.col("t") > 1, F.col("turnover"))
     d = F.stddev_pop(p)
@@ -201,7 +205,7 @@ def self_correlation(days: DataFrame, pool: DataFrame, last: int = 1008) -> Data
     other = back(pool.select("ref", "t", F.col("pnl").alias("y")), "ref").drop("t")
     both = other.join(F.broadcast(mine), "__back").where(F.col("__back") <= last)
     both = both.withColumn("__n", F.max("__back").over(Window.partitionBy("ref"))).where("__back < __n")
-    c = F.when((F.count(F.lit(1)) >= 9) & (F.stddev_pop("x") >= TINY) & (F.stddev_pop("y") >= TINY), F.corr("x", "y")).otherwise(0.0)
+    c = F.when((F.count(F.lit(1)) >= 9) & (F.stddev_pop("x") >= TINY) & (F.stddev_pop("y") >= TINY), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).otherwise(0.0)
     return both.groupBy("ref").agg(F.coalesce(c, F.lit(0.0)).alias("corr"))
 
 
@@ -219,7 +223,7 @@ def exposures(df: DataFrame, held: str = "held") -> DataFrame:
 
 
 def rolling_sharpe(days: DataFrame, window: int) -> DataFrame:
-    w = DAILY.rowsBetween(-(window - 1), 0)
+    w = by_day().rowsBetween(-(window - 1), 0)
     d = F.stddev_pop("pnl").over(w)
     value = F.when(F.col("t") >= window, F.when(d > TINY, F.try_divide(F.avg("pnl").over(w), d) * math.sqrt(CUTOFFS["annualization"])).otherwise(0.0))
     return days.select("t", "date", value.alias("rolling_sharpe"))
@@ -227,8 +231,8 @@ def rolling_sharpe(days: DataFrame, window: int) -> DataFrame:
 
 def equity(days: DataFrame) -> DataFrame:
     """t, date, equity and drawdown in percent of the peak's size (of 1 where the peak is 0)."""
-    run = days.withColumn("equity", F.sum("pnl").over(DAILY.rowsBetween(*ALL_PAST)))
-    run = run.withColumn("peak", F.max("equity").over(DAILY.rowsBetween(*ALL_PAST)))
+    run = days.withColumn("equity", F.sum("pnl").over(by_day().rowsBetween(*ALL_PAST)))
+    run = run.withColumn("peak", F.max("equity").over(by_day().rowsBetween(*ALL_PAST)))
     size = F.when(F.col("peak") == 0, 1.0).otherwise(F.abs("peak"))
     return run.select("t", "date", "equity", ((F.col("equity") - F.col("peak")) / size * 100).alias("drawdown_pct"))
 

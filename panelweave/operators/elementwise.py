@@ -143,20 +143,23 @@ def _truncate(x, most=0.05):
     return clip(x, -abs(most), abs(most))
 
 
-@op("bucket", 2, 4, axis=CROSS, literals=(1, 2, 3))
+def _check_bucket(*limits):
+    if len(limits) == 1 and (not isinstance(limits[0], int) or limits[0] < 2):
+        raise ExpressionError("bucket: the number of buckets must be an integer of 2 or more")
+    if len(limits) > 1 and not (limits[2] if len(limits) == 3 else limits[1] - limits[0]):
+        raise ExpressionError("bucket: the step must not be 0")
+
+
+@op("bucket", 2, 4, axis=CROSS, literals=(1, 2, 3), check=_check_bucket)
 def _bucket(x, *limits):
     """bucket(x, n): n buckets by rank; bucket(x, low, high[, step]): steps from low"""
     if len(limits) == 1:
         n = limits[0]
-        if not isinstance(n, int) or n < 2:
-            raise ExpressionError("bucket: the number of buckets must be an integer of 2 or more")
         from panelweave.operators.cross_section import ordinal
 
         return F.floor(clip(ordinal(x), 0, 1 - 1e-9) * n).cast("double")
     low, high = limits[:2]
     step = limits[2] if len(limits) == 3 else (high - low) / 10
-    if not step:
-        raise ExpressionError("bucket: the step must not be 0")
     return F.floor((x - low) / number(step)).cast("double")
 
 
@@ -212,11 +215,14 @@ def _vec_std(v):
     return _some(k, F.sqrt(total(F.transform(k, lambda x: (x - mean) * (x - mean))) / (F.size(k) - 1)), 2)
 
 
-@op("vec_choose", 2, vectors=(0,), literals=(1,))
-def _vec_choose(v, k):
-    """part k, from 0"""
+def _check_part(k):
     if not isinstance(k, int) or k < 0:
         raise ExpressionError("vec_choose: the part must be an integer literal from 0")
+
+
+@op("vec_choose", 2, vectors=(0,), literals=(1,), check=_check_part)
+def _vec_choose(v, k):
+    """part k, from 0"""
     return fin(F.try_element_at(v.cast("array<double>"), F.lit(k + 1)))
 
 

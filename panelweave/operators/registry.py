@@ -33,6 +33,7 @@ class Op:
     vectors: tuple[int, ...] = ()
     literals: tuple[int, ...] = ()  # which arguments stay plain numbers
     lookback: Callable | None = None  # rows needed before the first; None: without bound
+    check: Callable | None = None  # of the plain numbers, before anything is built; raises
     text: str = ""
 
 

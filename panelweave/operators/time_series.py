@@ -117,8 +117,9 @@ def _ts_corr(x, y, w):
     """correlation over rows where both are known"""
     seen = both(x, y, F.lit(1.0))
     n = F.count(seen).over(rows(w))
-    size = F.sqrt(F.var_pop(x * seen).over(rows(w)) * F.var_pop(y * seen).over(rows(w))) * n
-    return warm(w, F.when((n >= 2) & (size > TINY), fin(F.corr(x, y).over(rows(w)))))
+    spread = F.sqrt(F.var_pop(x * seen).over(rows(w)) * F.var_pop(y * seen).over(rows(w)))
+    # not corr(): it divides by zero on constant windows
+    return warm(w, F.when((n >= 2) & (spread * n > TINY), divide(F.covar_pop(x, y).over(rows(w)), spread)))
 
 
 @op("ts_regression", 3, 5, axis=TIME, windows=(2,), literals=(3, 4), lookback=lambda w, lag=0, *_: w - 1 + lag)
@@ -137,11 +138,14 @@ def regression(y: Column, x: Column, w: int, kind: int) -> Column:
     return warm(w, F.when((n >= 2) & (spread > TINY), fin(out)))
 
 
-@op("kth_element", 3, axis=TIME, windows=(1,), literals=(2,), lookback=lambda w, *_: w - 1)
-def _kth_element(x, w, k):
-    """k-th latest known value of the last w rows"""
+def _check_kth(_, k):
     if not isinstance(k, int) or k < 1:
         raise ExpressionError("kth_element: k must be an integer literal from 1")
+
+
+@op("kth_element", 3, axis=TIME, windows=(1,), literals=(2,), lookback=lambda w, *_: w - 1, check=_check_kth)
+def _kth_element(x, w, k):
+    """k-th latest known value of the last w rows"""
     return warm(w, F.try_element_at(F.collect_list(x).over(rows(w)), F.lit(-k)))
 
 

@@ -153,6 +153,8 @@ class Compiler:
                 value = self.matrix(arg, node.fn)
             needs.append(value)
             args.append(value)
+        if spec.check:
+            spec.check(*[a for a in args if not isinstance(a, Value)])
         if node.fn == "group_backfill" and needs[1].kind == MATRIX:  # a matrix in place of the group: the date's mean
             x = needs[0]
             return self.emit(CROSS, [x], lambda: F.coalesce(x.col(), F.avg(x.col()).over(cross_section.of_date())))

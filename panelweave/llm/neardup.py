@@ -16,9 +16,12 @@ sketch holds the ``K`` smallest. Documents are linked when 100 * intersection
    which takes as many pairs for each entry however long the list is. Lists
    whose members then form one component are done, as no further link can
    change the result. Of the others, lists of up to ``SHORT`` members are
-   compared in full, longer ones get new pivots; after ``ROUNDS`` rounds each
-   member outside the list's main component is compared with all members of
-   other components, so no link between components is lost.
+   compared in full. The members of longer ones are listed anew by their full
+   sets, where the share of 75 % is exact: documents that have a passage in
+   common, but not enough of it, drop out. Lists that are still long get new
+   pivots; after ``ROUNDS`` rounds each member outside the list's main
+   component is compared with all members of other components, so no link
+   between components is lost.
 4. Pairs are filtered by size and by the similarity that the union of their
    sketches estimates; full sets of the rest are compared.
 5. Components by alternating large-star and small-star steps.
@@ -104,25 +107,48 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def inverted_lists(reps: DataFrame) -> DataFrame:
-    """value, id, n of the listed values of each class."""
+def _exploded(sets: DataFrame) -> DataFrame:
+    """value, id, n of the hashes of each set (id, n, hashes)."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2, 1 << 20):
             data, offsets = utf8(batch.column(2))
             sizes = np.diff(offsets) // 8
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(batch.column(1).to_numpy(), sizes))], names=["value", "id", "n"]
             )
 
-    entries = reps.select("id", "n", "sketch").mapInArrow(explode, "value long, id long, n long")
+    return sets.mapInArrow(run, "value long, id long, n long")
+
+
+def inverted_lists(sets: DataFrame, need) -> DataFrame:
+    """value, id, n of the values under which each set (id, n, hashes) is listed; linked sets share ``need`` of their hashes."""
+    entries = _exploded(sets)
     counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = entries.join(counts, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))  # at most K
-    need = F.least(F.lit(NEED), F.ceil(F.col("n") * 3 / 4)).cast("int")
+    shared = entries.join(counts, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))  # no longer than the set
     kept = shared.where(F.size("values") >= need).select("id", "n", F.explode(F.slice("values", F.lit(1), F.size("values") - need + 1)).alias("x"))
     return kept.select(F.col("x.value").alias("value"), "id", "n")
 
 
+def sketch_need():
+    return F.least(F.lit(NEED), F.ceil(F.col("n") * 3 / 4)).cast("int")
+
+
+def full_need():
+    return F.ceil(F.col("n") * 3 / 4).cast("int")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, hashes: the whole sets of some documents (doc_id, a written table)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = shingle_sets(*utf8(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "hashes"])
+
+    return texts_only(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(_small(ids), "doc_id", "left_semi").mapInArrow(run, "id long, n long, hashes binary")
+
+
 def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose union sketch has enough shared values."""
 
@@ -148,10 +174,6 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     ids = write_table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(*utf8(batch.column(1)))], pa.binary())], names=["id", "set"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -162,35 +184,35 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= 75 * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = texts_only(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(_small(ids), "doc_id", "left_semi").mapInArrow(sets, "id long, set binary")
-    left, right = (found.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    found = full_sets(docs, ids)
+    left, right = (found.select(F.col("id").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _lists_now(lists: DataFrame, labels: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Entries with their components, and the lists still to be looked at: size, main component and pivots."""
+def _lists_now(lists: DataFrame, labels: DataFrame | None, turn: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Entries with their components, and the lists of over ``least`` members that are not one component: size, pivots."""
     if labels is None:
         entries = lists.withColumn("component", F.col("id"))
     else:
         entries = lists.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
     pivots = [F.min(F.struct((F.xxhash64("id", F.lit(turn), F.lit(i)) if turn or i else F.col("id")).alias("h"), "id", "n", "component")) for i in range(PIVOTS)]
-    stats = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(*pivots).alias("pivots")).where("lo < hi")
-    if turn > 1:  # short lists have been compared in full
-        stats = stats.where(F.col("size") > SHORT)
+    stats = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(*pivots).alias("pivots")).where((F.col("lo") < F.col("hi")) & (F.col("size") > least))
     return entries, write_table(stats.select("value", "size", "pivots"), "neardup-open")
 
 
-def _candidates(entries: DataFrame, stats: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of members of one list whose components differ and whose sizes allow a link."""
+def _candidates(entries: DataFrame, stats: DataFrame, pivots: bool, full_upto: int | None) -> DataFrame:
+    """Pairs (a, b) of members of one list whose components differ and whose sizes allow a link: with the pivots of lists
+    of over ``full_upto`` members, and all pairs of shorter lists (None: of each list, with its main component on one
+    side only)."""
     open_ = entries.join(_small(stats, 200_000), "value")
     parts = []
-    if turn < ROUNDS:
-        long_ = open_.where(F.col("size") > SHORT) if turn else open_
+    if pivots:
+        long_ = open_.where(F.col("size") > full_upto)
         parts.append(long_.select("id", "n", "component", F.explode("pivots").alias("p")).select("id", "n", "component", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2")))
-    if turn == 1 or turn == ROUNDS:
-        rest = open_.where(F.col("size") <= SHORT) if turn == 1 else open_
+    if full_upto != 0:
+        rest = open_ if full_upto is None else open_.where(F.col("size") <= full_upto)
         other = rest.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        if turn == ROUNDS:
+        if full_upto is None:
             main = rest.groupBy("value", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
             other = other.join(main, "value").where("component2 != main").drop("main")
         parts.append(rest.select("value", "id", "n", "component").join(other, "value").drop("value"))
@@ -205,27 +227,37 @@ def link(docs: DataFrame) -> DataFrame:
     key = ["n_shingles", "h1", "h2"]
     classes = write_table(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "neardup-classes")
     known = _small(classes, 200_000)
-    named = rows.select("doc_id", *key).join(known, key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = full.join(known, key, "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
-    reps = write_table(reps, "neardup-reps")
-    lists = write_table(inverted_lists(reps), "neardup-lists")
+    named = rows.select("doc_id", *key).join(known, key, "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    reps = write_table(full.join(known, key, "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "neardup-reps")
+    lists = write_table(inverted_lists(reps, sketch_need()), "neardup-lists")
     labels = None
-    turn = 0
-    while True:
-        entries, stats = _lists_now(lists, labels, turn)
-        if turn and not stats.limit(1).count():
-            break
-        pairs = _candidates(entries, stats, turn)
+
+    def settle(pairs: DataFrame) -> None:
+        """Check pairs and take the links among them into the components."""
+        nonlocal labels
         likely = write_table(_estimate(pairs, reps), "neardup-likely")
         passed = write_table(_verify(likely, docs).distinct(), "neardup-links")
-        found = passed.limit(1).count()
         if labels is None:
             labels = write_table(components(passed), "neardup-components")
-        elif found:
+        elif passed.limit(1).count():
             labels = write_table(components(passed.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))), "neardup-components")
-        turn += 1
-        if turn > ROUNDS:
-            break
+
+    entries, stats = _lists_now(lists, None, 0)
+    settle(_candidates(entries, stats, True, 0))
+    entries, stats = _lists_now(lists, labels, 1)
+    long_ = stats.where(F.col("size") > SHORT)
+    if stats.limit(1).count():
+        members = write_table(entries.join(_small(long_.select("value"), 200_000), "value", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "neardup-ids")
+        settle(_candidates(entries, stats, False, SHORT))
+        if members.limit(1).count():
+            lists = write_table(inverted_lists(full_sets(docs, members), full_need()), "neardup-lists")
+            for turn in range(ROUNDS + 1):
+                # short lists are compared in full once
+                entries, stats = _lists_now(lists, labels, 2 + turn, SHORT if turn else 0)
+                if not stats.limit(1).count():
+                    break
+                last = turn == ROUNDS
+                settle(_candidates(entries, stats, not last, None if last else 0 if turn else SHORT))
     labels = labels.where("id != component")
     out = named.join(labels, named["rep"] == labels["id"], "left")
     component = F.coalesce("component", "rep")

@@ -19,9 +19,9 @@ sketch holds the ``K`` smallest. Documents are linked when 100 * intersection
    compared in full. The members of longer ones are listed anew by their full
    sets, where the share of 75 % is exact: documents that have a passage in
    common, but not enough of it, drop out. Lists that are still long get new
-   pivots; after ``ROUNDS`` rounds each member outside the list's main
-   component is compared with all members of other components, so no link
-   between components is lost.
+   pivots; after ``ROUNDS`` rounds, or one without a new link, each member
+   outside the list's main component is compared with all members of other
+   components, so no link between components is lost.
 4. Pairs are filtered by size and by the similarity that the union of their
    sketches estimates; full sets of the rest are compared.
 5. Components by alternating large-star and small-star steps.
@@ -122,12 +122,14 @@ def _exploded(sets: DataFrame) -> DataFrame:
 
 
 def inverted_lists(sets: DataFrame, need) -> DataFrame:
-    """value, id, n of the values under which each set (id, n, hashes) is listed; linked sets share ``need`` of their hashes."""
+    """value, id, n, x of the values under which each set (id, n, hashes) is listed; linked sets share ``need`` of their
+    hashes. x: how many of the hashes another set has too."""
     entries = _exploded(sets)
     counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = entries.join(counts, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))  # no longer than the set
-    kept = shared.where(F.size("values") >= need).select("id", "n", F.explode(F.slice("values", F.lit(1), F.size("values") - need + 1)).alias("x"))
-    return kept.select(F.col("x.value").alias("value"), "id", "n")
+    x = F.size("values")
+    kept = shared.where(x >= need).select("id", "n", x.cast("long").alias("x"), F.explode(F.slice("values", F.lit(1), x - need + 1)).alias("v"))
+    return kept.select(F.col("v.value").alias("value"), "id", "n", "x")
 
 
 def sketch_need():
@@ -138,6 +140,13 @@ def full_need():
     return F.ceil(F.col("n") * 3 / 4).cast("int")
 
 
+def feasible(lists: DataFrame) -> DataFrame:
+    """Without the entries that have too little in common with others for a link even to the list's smallest set: linked
+    sets of n and m hashes share 3 (n + m) / 7 at least."""
+    smallest = lists.groupBy("value").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return lists.join(smallest, "value").where(7 * F.col("x") >= 3 * (F.col("n") + F.col("least"))).select("value", "id", "n", "x")
+
+
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, n, hashes: the whole sets of some documents (doc_id, a written table)."""
 
@@ -195,7 +204,7 @@ def _lists_now(lists: DataFrame, labels: DataFrame | None, turn: int, least: int
         entries = lists.withColumn("component", F.col("id"))
     else:
         entries = lists.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    pivots = [F.min(F.struct((F.xxhash64("id", F.lit(turn), F.lit(i)) if turn or i else F.col("id")).alias("h"), "id", "n", "component")) for i in range(PIVOTS)]
+    pivots = [F.min(F.struct((F.xxhash64("id", F.lit(turn), F.lit(i)) if turn or i else F.col("id")).alias("h"), "id", "n", "x", "component")) for i in range(PIVOTS)]
     stats = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(*pivots).alias("pivots")).where((F.col("lo") < F.col("hi")) & (F.col("size") > least))
     return entries, write_table(stats.select("value", "size", "pivots"), "neardup-open")
 
@@ -208,16 +217,16 @@ def _candidates(entries: DataFrame, stats: DataFrame, pivots: bool, full_upto: i
     parts = []
     if pivots:
         long_ = open_.where(F.col("size") > full_upto)
-        parts.append(long_.select("id", "n", "component", F.explode("pivots").alias("p")).select("id", "n", "component", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2")))
+        parts.append(long_.select("id", "n", "x", "component", F.explode("pivots").alias("p")).select("id", "n", "x", "component", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.x").alias("x2"), F.col("p.component").alias("component2")))
     if full_upto != 0:
         rest = open_ if full_upto is None else open_.where(F.col("size") <= full_upto)
-        other = rest.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+        other = rest.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("x").alias("x2"), F.col("component").alias("component2"))
         if full_upto is None:
             main = rest.groupBy("value", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
             other = other.join(main, "value").where("component2 != main").drop("main")
-        parts.append(rest.select("value", "id", "n", "component").join(other, "value").drop("value"))
+        parts.append(rest.select("value", "id", "n", "x", "component").join(other, "value").drop("value"))
     pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return pairs.where((F.col("component") != F.col("component2")) & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    return pairs.where((F.col("component") != F.col("component2")) & (7 * F.least("x", "x2") >= 3 * (F.col("n") + F.col("n2")))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -229,18 +238,20 @@ def link(docs: DataFrame) -> DataFrame:
     known = _small(classes, 200_000)
     named = rows.select("doc_id", *key).join(known, key, "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     reps = write_table(full.join(known, key, "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "neardup-reps")
-    lists = write_table(inverted_lists(reps, sketch_need()), "neardup-lists")
+    lists = write_table(inverted_lists(reps, sketch_need()).withColumn("x", F.col("n")), "neardup-lists")
     labels = None
 
-    def settle(pairs: DataFrame) -> None:
-        """Check pairs and take the links among them into the components."""
+    def settle(pairs: DataFrame) -> bool:
+        """Check pairs and take the links among them into the components; whether there are any."""
         nonlocal labels
         likely = write_table(_estimate(pairs, reps), "neardup-likely")
         passed = write_table(_verify(likely, docs).distinct(), "neardup-links")
+        found = bool(passed.limit(1).count())
         if labels is None:
             labels = write_table(components(passed), "neardup-components")
-        elif passed.limit(1).count():
+        elif found:
             labels = write_table(components(passed.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))), "neardup-components")
+        return found
 
     entries, stats = _lists_now(lists, None, 0)
     settle(_candidates(entries, stats, True, 0))
@@ -250,14 +261,20 @@ def link(docs: DataFrame) -> DataFrame:
         members = write_table(entries.join(_small(long_.select("value"), 200_000), "value", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "neardup-ids")
         settle(_candidates(entries, stats, False, SHORT))
         if members.limit(1).count():
-            lists = write_table(inverted_lists(full_sets(docs, members), full_need()), "neardup-lists")
-            for turn in range(ROUNDS + 1):
+            lists = write_table(feasible(inverted_lists(full_sets(docs, members), full_need())), "neardup-lists")
+            turn, last = 0, False
+            while not last:
                 # short lists are compared in full once
                 entries, stats = _lists_now(lists, labels, 2 + turn, SHORT if turn else 0)
                 if not stats.limit(1).count():
                     break
-                last = turn == ROUNDS
-                settle(_candidates(entries, stats, not last, None if last else 0 if turn else SHORT))
+                found = settle(_candidates(entries, stats, True, 0 if turn else SHORT))
+                turn += 1
+                last = turn >= ROUNDS or not found
+            if last:
+                entries, stats = _lists_now(lists, labels, 2 + turn, SHORT)
+                if stats.limit(1).count():
+                    settle(_candidates(entries, stats, False, None))
     labels = labels.where("id != component")
     out = named.join(labels, named["rep"] == labels["id"], "left")
     component = F.coalesce("component", "rep")

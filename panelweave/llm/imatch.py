@@ -134,9 +134,9 @@ def fingerprints(docs: DataFrame, idf_low: float = 1.2, idf_high: float = 9.2, s
     spark = docs.sparkSession
     rows = texts_only(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     held = spark.sparkContext.broadcast(lexicon(rows, idf_low, idf_high))
-    n = parts_for(docs, 48 << 20)
+    n = parts_for(docs, 48 << 20, 10_000)
     ids = rows.select("doc_id")
-    cuts = sorted({x for x in ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), 10000).alias("x")).first().x or []} if n > 1 else [], reverse=True)
+    cuts = sorted({x for x in ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), 100_000).alias("x")).first().x or []} if n > 1 else [], reverse=True)
     # range 0 holds the largest ids; null ids come last
     held_cuts = spark.sparkContext.broadcast(np.array([-x for x in cuts], np.int64))
     last = len(cuts)

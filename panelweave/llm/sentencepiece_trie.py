@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import texts_only
+from panelweave.llm.common import sliced, texts_only
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -71,7 +71,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class TrieEncoder:
     """Encodes and decodes with a .model file. Words seen lately keep their ids, ``memo`` of them at most."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 150_000):
         import sentencepiece
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -136,7 +136,7 @@ class TrieEncoder:
     def _stay(self, a: str, b: str) -> bool:
         found = self.apart.get((a, b))
         if found is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > 300_000:
                 self.apart.clear()
             found = self.apart[a, b] = self._reachable(b) and self._merge(a + b) == [a, b]
         return found
@@ -249,7 +249,7 @@ class TrieEncoder:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model: str, batch_chars: int = 1 << 22) -> DataFrame:
+def encode(docs: DataFrame, model: str, batch_chars: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids, sha256 of the decoded text and whether it is the model's normal form of the text.
 
     No shuffle: each worker builds the tries of its own batches.
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, model: str, batch_chars: int = 1 << 22) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TrieEncoder(model)
-        for batch in batches:
+        for batch in sliced(batches, 1, batch_chars):
             ids_of, texts = batch.column(0), batch.column(1).to_pylist()
             start = 0
             while start < len(texts):

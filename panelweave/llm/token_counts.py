@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import texts_only
+from panelweave.llm.common import sliced, texts_only
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -58,7 +58,7 @@ def _load(path: str):
     return (lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]), True
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, batch_bytes: int = 1 << 19, split_bytes: int = 1 << 15, memo: int = 1_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, batch_bytes: int = 1 << 19, split_bytes: int = 1 << 15, memo: int = 300_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) of each row of ``docs``.
 
     tokenizer: path of the vocabulary file, readable on every worker. memo: lengths of words seen lately that a worker
@@ -78,7 +78,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, batch_bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths_of, may_split = _load(tokenizer)
         known: dict[str, int] = {}
-        for batch in batches:
+        for batch in sliced(batches, 1, 8 << 20):
             texts = batch.column(1)
             if may_split:
                 lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))

@@ -53,7 +53,7 @@ class SimulationSettings(_Dicts):
     pasteurization: str = "ON"
     nanHandling: str = "ON"  # noqa: N815  the setting's public name; it changes nothing
     unitHandling: str = "VERIFY"  # noqa: N815
-    language: str = "FASTEXPR"
+    language: str = "EXPRESSION"
     instrumentType: str = "EQUITY"  # noqa: N815
 
     def __post_init__(self):

@@ -122,14 +122,15 @@ def _exploded(sets: DataFrame) -> DataFrame:
 
 
 def inverted_lists(sets: DataFrame, need) -> DataFrame:
-    """value, id, n, x of the values under which each set (id, n, hashes) is listed; linked sets share ``need`` of their
-    hashes. x: how many of the hashes another set has too."""
+    """value, id, n, x, inner of the values under which each set (id, n, hashes) is listed; linked sets share ``need`` of their
+    hashes. x: how many of the hashes another set has too. inner: a link to a set of at least this size, which takes
+    6 n / 7 shared hashes, has its first shared hash no later than here."""
     entries = _exploded(sets)
     counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = entries.join(counts, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))  # no longer than the set
     x = F.size("values")
-    kept = shared.where(x >= need).select("id", "n", x.cast("long").alias("x"), F.explode(F.slice("values", F.lit(1), x - need + 1)).alias("v"))
-    return kept.select(F.col("v.value").alias("value"), "id", "n", "x")
+    kept = shared.where(x >= need).select("id", "n", x.cast("long").alias("x"), F.posexplode(F.slice("values", F.lit(1), x - need + 1)).alias("at", "v"))
+    return kept.select(F.col("v.value").alias("value"), "id", "n", "x", (7 * (F.col("x") - F.col("at")) >= 6 * F.col("n")).alias("inner"))
 
 
 def sketch_need():
@@ -144,7 +145,7 @@ def feasible(lists: DataFrame) -> DataFrame:
     """Without the entries that have too little in common with others for a link even to the list's smallest set: linked
     sets of n and m hashes share 3 (n + m) / 7 at least."""
     smallest = lists.groupBy("value").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return lists.join(smallest, "value").where(7 * F.col("x") >= 3 * (F.col("n") + F.col("least"))).select("value", "id", "n", "x")
+    return lists.join(smallest, "value").where(7 * F.col("x") >= 3 * (F.col("n") + F.col("least"))).select("value", "id", "n", "x", "inner")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -204,7 +205,7 @@ def _lists_now(lists: DataFrame, labels: DataFrame | None, turn: int, least: int
         entries = lists.withColumn("component", F.col("id"))
     else:
         entries = lists.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    pivots = [F.min(F.struct((F.xxhash64("id", F.lit(turn), F.lit(i)) if turn or i else F.col("id")).alias("h"), "id", "n", "x", "component")) for i in range(PIVOTS)]
+    pivots = [F.min(F.struct((F.xxhash64("id", F.lit(turn), F.lit(i)) if turn or i else F.col("id")).alias("h"), "id", "n", "x", "inner", "component")) for i in range(PIVOTS)]
     stats = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(*pivots).alias("pivots")).where((F.col("lo") < F.col("hi")) & (F.col("size") > least))
     return entries, write_table(stats.select("value", "size", "pivots"), "neardup-open")
 
@@ -217,16 +218,17 @@ def _candidates(entries: DataFrame, stats: DataFrame, pivots: bool, full_upto: i
     parts = []
     if pivots:
         long_ = open_.where(F.col("size") > full_upto)
-        parts.append(long_.select("id", "n", "x", "component", F.explode("pivots").alias("p")).select("id", "n", "x", "component", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.x").alias("x2"), F.col("p.component").alias("component2")))
+        parts.append(long_.select("id", "n", "x", "inner", "component", F.explode("pivots").alias("p")).select("id", "n", "x", "inner", "component", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.x").alias("x2"), F.col("p.inner").alias("inner2"), F.col("p.component").alias("component2")))
     if full_upto != 0:
         rest = open_ if full_upto is None else open_.where(F.col("size") <= full_upto)
-        other = rest.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("x").alias("x2"), F.col("component").alias("component2"))
+        other = rest.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("x").alias("x2"), F.col("inner").alias("inner2"), F.col("component").alias("component2"))
         if full_upto is None:
             main = rest.groupBy("value", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
             other = other.join(main, "value").where("component2 != main").drop("main")
-        parts.append(rest.select("value", "id", "n", "x", "component").join(other, "value").drop("value"))
+        parts.append(rest.select("value", "id", "n", "x", "inner", "component").join(other, "value").drop("value"))
     pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return pairs.where((F.col("component") != F.col("component2")) & (7 * F.least("x", "x2") >= 3 * (F.col("n") + F.col("n2")))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    smaller_inner = (F.col("inner") | (F.col("n") > F.col("n2"))) & (F.col("inner2") | (F.col("n2") > F.col("n")))
+    return pairs.where((F.col("component") != F.col("component2")) & smaller_inner & (7 * F.least("x", "x2") >= 3 * (F.col("n") + F.col("n2")))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -238,7 +240,7 @@ def link(docs: DataFrame) -> DataFrame:
     known = _small(classes, 200_000)
     named = rows.select("doc_id", *key).join(known, key, "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     reps = write_table(full.join(known, key, "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "neardup-reps")
-    lists = write_table(inverted_lists(reps, sketch_need()).withColumn("x", F.col("n")), "neardup-lists")
+    lists = write_table(inverted_lists(reps, sketch_need()).withColumns({"x": F.col("n"), "inner": F.lit(True)}), "neardup-lists")
     labels = None
 
     def settle(pairs: DataFrame) -> bool:

@@ -4,17 +4,23 @@ A window network, trained in numpy, predicts every token from the two tokens on
 either side of it; a document's score is the sum of its tokens' conditional
 log-probabilities.
 
-Tokens are words of ``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z. The vocabulary
-holds the ``VOCABULARY`` - 1 most frequent words, counted over all documents;
-other words share one token. The hidden layer is a tanh over one embedding for
-each side and distance; the output is a softmax over classes of tokens of like
-frequency times one within the class, so it is normalised.
+Tokens are words of ``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z. The network's
+tokens are the ``WORDS`` most frequent words and ``BUCKETS`` buckets, to which
+all other words are dealt by hash. The hidden layer is a tanh over one embedding
+for each side and distance; the output is a softmax over classes of tokens times
+one within the class. A word of a bucket has the bucket's probability times its
+share of the bucket's words, as counted over all documents. So every word of the
+corpus, however rare, is predicted, and the sum over all of them is 1.
+
+Counts of words stay a table. Words with at least one in ``KNOWN`` of all tokens
+(no more than ``KNOWN`` words) are broadcast with their counts, 4 MB at most;
+the others are looked up by a join on the word.
 
 Training covers every document: it is dealt into ``ROUNDS`` folds; in each
 round every task runs one pass of Adagrad over its documents of the fold from
 the shared parameters, and the results are averaged by number of tokens. Their
 sums are taken by slices of the parameter vector, so no task sees more than a
-slice of each. The parameters (a fixed size, 0.4 MB) are broadcast.
+slice of each. The parameters (a fixed size, 0.8 MB) are broadcast.
 
 Defined cases: null or empty texts have no tokens and score 0 with no mean;
 places beyond the text's ends are a token of their own; repeated rows are
@@ -31,9 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import SPACE, sliced, texts_only, utf8, words
+from panelweave.llm.common import SPACE, mix, parts_for, sliced, texts_only, utf8, words, write_table
 
-VOCABULARY, CLASS, WIDTH = 1024, 32, 16
+WORDS, BUCKETS, CLASS, WIDTH = 1024, 1024, 32, 16
+VOCABULARY = WORDS + BUCKETS
+KNOWN = 1 << 18
 SIDES = (-2, -1, 1, 2)
 ROUNDS = 3
 BATCH = 16384
@@ -122,32 +130,47 @@ def windows(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all documents, most frequent first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash), n: every word of all documents and how often it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             found, n = np.unique(words(*utf8(batch.column(1)), SPACE)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    counts = texts_only(docs).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()
+    return write_table(texts_only(docs).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> np.ndarray:
+    """Hashes of the ``WORDS`` most frequent words of all documents, most frequent first."""
+    top = (word_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(WORDS).collect()
     return np.array([r.word for r in top], np.int64).view(np.uint64)
 
 
+def find(hashes: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash is, or would be, in a sorted array, and whether it is there."""
+    if not len(among):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
+    return at, among[at] == hashes
+
+
 class Encoder:
-    """Token ids of words: 0 for those outside the vocabulary."""
+    """Token ids of words: the rank of a frequent word, or ``WORDS`` and the bucket of another."""
 
     def __init__(self, hashes: np.ndarray):
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        out = WORDS + (hashes % np.uint64(BUCKETS)).astype(np.int64)
+        at, there = find(hashes, self.sorted)
+        out[there] = self.order[at[there]]
+        return out
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes, _, _, bounds = words(data, offsets, SPACE)
-        if not len(self.sorted):
-            return np.zeros(len(hashes), np.int64), bounds
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at] + 1, 0), bounds
+        return self.ids(hashes), bounds, hashes
 
 
 def train(docs: DataFrame, hashes: np.ndarray, rounds: int = ROUNDS, rate: float = 0.1) -> np.ndarray:
@@ -163,7 +186,7 @@ def train(docs: DataFrame, hashes: np.ndarray, rounds: int = ROUNDS, rate: float
             start, known = held.value
             network, encoder, n = Network(start), Encoder(known), 0
             for batch in sliced(batches):
-                tokens, bounds = encoder(*utf8(batch.column(1)))
+                tokens, bounds, _ = encoder(*utf8(batch.column(1)))
                 around = windows(tokens, bounds)
                 for a in range(0, len(tokens), BATCH):
                     network.step(around[:, a : a + BATCH], tokens[a : a + BATCH], rate)
@@ -192,24 +215,71 @@ def train(docs: DataFrame, hashes: np.ndarray, rounds: int = ROUNDS, rate: float
     return flat
 
 
-def score(docs: DataFrame, hashes: np.ndarray, flat: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_prob (sum), mean_log_prob of every row."""
-    held = docs.sparkSession.sparkContext.broadcast((flat, hashes))
+def known_counts(counts: DataFrame, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted words of at least one in ``KNOWN`` tokens, their counts, and the words of each bucket without those of the vocabulary."""
+    buckets = counts.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n")).collect()  # BUCKETS rows
+    sizes = np.zeros(BUCKETS, np.int64)
+    for r in buckets:
+        sizes[r.bucket] = r.n
+    frequent = counts.where(F.col("n") >= int(sizes.sum()) / KNOWN).toArrow()
+    found = frequent["word"].to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    found, n = found[order], frequent["n"].to_numpy()[order]
+    if len(hashes):
+        top = counts.where(F.col("word").isin(hashes.view(np.int64).tolist())).collect()  # WORDS rows
+        for r in top:
+            sizes[r.word % BUCKETS] -= r.n
+    return found, n, sizes
+
+
+def score(docs: DataFrame, hashes: np.ndarray, flat: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob (sum), mean_log_prob of every row. counts: those of ``docs``, counted if left out."""
+    counts = word_counts(docs) if counts is None else counts
+    held = docs.sparkSession.sparkContext.broadcast((flat, hashes, *known_counts(counts, hashes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, encoder = Network(held.value[0]), Encoder(held.value[1])
+        """A row for each text, and one (key, word) for each of its words to look up."""
+        flat, hashes, found, n_found, sizes = held.value
+        network, encoder = Network(flat), Encoder(hashes)
+        log_n, log_sizes = np.log(n_found), np.log(np.maximum(sizes, 1))
         for batch in sliced(batches):
-            tokens, bounds = encoder(*utf8(batch.column(1)))
+            tokens, bounds, each_word = encoder(*utf8(batch.column(1)))
             around = windows(tokens, bounds)
-            each = [network.log_probs(around[:, a : a + BATCH], tokens[a : a + BATCH]) for a in range(0, len(tokens), BATCH)]
-            total = np.concatenate([[0.0], np.cumsum(np.concatenate(each).astype(np.float64))]) if each else np.zeros(1)
+            each = [network.log_probs(around[:, a : a + BATCH], tokens[a : a + BATCH]).astype(np.float64) for a in range(0, len(tokens), BATCH)]
+            each = np.concatenate(each) if each else np.zeros(0)
+            inside = np.flatnonzero(tokens >= WORDS)
+            at, there = find(each_word[inside], found)
+            each[inside] -= log_sizes[tokens[inside] - WORDS]
+            each[inside[there]] += log_n[at[there]]
+            rest = inside[~there]
+            total = np.concatenate([[0.0], np.cumsum(each)])
             sums, n = total[bounds[1:]] - total[bounds[:-1]], np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(sums), pa.array(sums / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return texts_only(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+            key = batch.column(2).to_numpy()
+            of = np.searchsorted(bounds, rest, side="right") - 1
+            tail = pa.nulls(len(rest))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([key, key[of]])),
+                    pa.array(np.concatenate([mix(key.view(np.uint64)), each_word[rest]]).view(np.int64)),  # texts are spread, though not looked up
+                    pa.concat_arrays([batch.column(0), tail.cast(pa.int64())]),
+                    pa.concat_arrays([pa.array(n.astype(np.int64)), tail.cast(pa.int64())]),
+                    pa.concat_arrays([pa.array(sums), tail.cast(pa.float64())]),
+                ],
+                names=["key", "word", "doc_id", "n_tokens", "log_prob"],
+            )
+
+    rows = texts_only(docs).withColumns({"doc_id": F.col("doc_id").cast("long"), "key": F.monotonically_increasing_id()})
+    parts = parts_for(docs)
+    found = rows.mapInArrow(run, "key long, word long, doc_id long, n_tokens long, log_prob double").repartition(parts, "word")
+    more = counts.where("n > 1").repartition(parts, "word")
+    both = found.join(more.hint("shuffle_hash"), "word", "left").withColumn("log_prob", F.coalesce("log_prob", F.log("n"), F.lit(0.0)))
+    out = both.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
+    out = out.withColumn("log_prob", F.least("log_prob", F.lit(0.0)))  # sums of logarithms round
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Train on all of ``docs`` and score them."""
-    hashes = vocabulary(docs)
-    return score(docs, hashes, train(docs, hashes, rounds))
+    counts = word_counts(docs)
+    hashes = vocabulary(docs, counts)
+    return score(docs, hashes, train(docs, hashes, rounds), counts)

@@ -419,6 +419,41 @@ def test_pseudo_likelihood(docs, rows, empty):
     assert pseudo_likelihood.pseudo_likelihood(empty).count() == 0
 
 
+def test_pseudo_likelihood_predicts_every_word(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "KNOWN", 256)  # so that most words are looked up by the join
+    rng = random.Random(9)
+    usual = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(usual) for _ in range(60)) for _ in range(200)]
+    texts += [" ".join(f"once{i}x{k}" for i in range(60)) for k in range(4)]
+    docs = spark.createDataFrame([*((None if i == 3 else i // 2 * 2, t) for i, t in enumerate(texts)), (9000, None)], "doc_id long, text string").repartition(3)
+    counts = Counter(w for t in texts for w in t.split())
+    table = pseudo_likelihood.word_counts(docs)
+    hashes = pseudo_likelihood.vocabulary(docs, table)
+    flat = pseudo_likelihood.train(docs, hashes, 1)
+    out = pseudo_likelihood.score(docs, hashes, flat, table).collect()
+    assert len(out) == len(texts) + 1 and sum(r.doc_id is None for r in out) == 1
+
+    # brute force: a word's probability is its token's, times its share of the bucket
+    net, encoder = pseudo_likelihood.Network(flat), pseudo_likelihood.Encoder(hashes)
+    encode = lambda text: encoder(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    tokens = {w: int(encode(w)[0][0]) for w in counts}
+    sizes = Counter()
+    for w, n in counts.items():
+        sizes[tokens[w]] += n
+    assert sum(t >= pseudo_likelihood.WORDS for t in tokens.values()) > 2000
+    share = {w: counts[w] / sizes[tokens[w]] for w in counts}
+    wanted = []
+    for t in texts:
+        ids, bounds, _ = encode(t)
+        wanted.append(float(net.log_probs(pseudo_likelihood.windows(ids, bounds), ids).sum()) + sum(math.log(share[w]) for w in t.split()))
+    assert np.allclose(sorted(r.log_prob for r in out), sorted([*wanted, 0.0]), rtol=1e-4)
+    context = np.full((4, pseudo_likelihood.VOCABULARY), 7)
+    p = np.exp(net.log_probs(context, np.arange(pseudo_likelihood.VOCABULARY)))
+    assert math.isclose(sum(p[tokens[w]] * share[w] for w in counts), p[sorted(set(tokens.values()))].sum(), rel_tol=1e-4)
+    by_text = sorted((r.mean_log_prob, r.doc_id) for r in out if r.n_tokens)
+    assert {i for _, i in by_text[:4]} == {200, 202}  # texts of words that occur once are the least likely
+
+
 def test_network_is_normalised_and_its_gradient_right():
     rng = np.random.default_rng(3)
     net = pseudo_likelihood.Network(pseudo_likelihood.fresh())

@@ -143,23 +143,31 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated and cut as planned, with the columns of ``docs``.
 
     Whole copies keep their text; a part has the words taken. Rows that share
-    a doc_id are matched to their plans by size.
+    a doc_id, null or not, are matched to their plans by source and size; where
+    these are the same too, any plan fits any of the rows.
     """
-    each = Window.partitionBy("__id").orderBy("__size")
-    planned = plan(docs, **options).withColumnsRenamed({"doc_id": "__id", "size": "__size"}).where("taken > 0").select("__id", "__size", "copies", "lo", "hi", "lo2", "hi2")
+    keys = ["__id", "__no_id", "__source", "__no_source", "__size"]  # none is null
+    each = Window.partitionBy(*keys).orderBy("__size")
+
+    def keyed(df: DataFrame, *more: str | Column) -> DataFrame:
+        id_, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+        return df.select(F.coalesce(id_, F.lit(0)).alias("__id"), id_.isNull().alias("__no_id"), F.coalesce(source, F.lit("")).alias("__source"), source.isNull().alias("__no_source"), *more)
+
+    planned = keyed(plan(docs, **options), F.col("size").alias("__size"), "taken", "copies", "lo", "hi", "lo2", "hi2")
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
     inner = docs.schema
 
     def size_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(word_count(pa.compute.struct_field(b.column(1), names.index("text")))), b.column(1)], names=["__id", "__size", "__row"])
+            size = pa.array(word_count(pa.compute.struct_field(b.column(4), names.index("text"))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], size, b.column(4)], names=[*keys, "__row"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), row)
-    schema = f"__id long, __size long, __row {inner.simpleString()}"
+    rows = keyed(docs, row)
+    schema = f"__id long, __no_id boolean, __source string, __no_source boolean, __size long, __row {inner.simpleString()}"
     rows = rows.mapInArrow(size_of, schema).withColumn("__nth", F.row_number().over(each))
-    planned = planned.withColumn("__nth", F.row_number().over(each)).withColumnRenamed("__size", "__planned")
-    both = rows.join(planned, ["__id", "__nth"]).select("__row", "copies", "lo", "hi", "lo2", "hi2")
+    planned = planned.withColumn("__nth", F.row_number().over(each))
+    both = rows.join(planned, [*keys, "__nth"]).where("taken > 0").select("__row", "copies", "lo", "hi", "lo2", "hi2")
     whole = both.where("copies > 0").select(F.explode(F.expr("array_repeat(__row, cast(copies as int))")).alias("__row"))
     full = (F.col("hi") - F.col("lo") + F.col("hi2") - F.col("lo2"))
 

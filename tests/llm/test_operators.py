@@ -279,6 +279,20 @@ def test_mixing(docs, rows, empty, spark):
     assert mixing.mix(again).count() == 4 and mixing.apply_mix(again).count() >= 4
 
 
+def test_mix_of_null_and_shared_doc_ids(spark):
+    text = lambda k, n: " ".join(f"t{k}" for _ in range(n))
+    ids = [None, None, None, 1, 1, 1, 2, 2, 3, 0, 0]
+    lengths = [9, 31, 400, 0, 250, 7, 120, 120, 60, 90, 0]
+    sources = ["s", "s", None, "s", "s", None, "s", "z", "z", "s", None]
+    rows = [(i, text(k, n) if n else ("" if k % 2 else None), s) for k, (i, n, s) in enumerate(zip(ids, lengths, sources, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    taken = {(r.doc_id, r.source, r.size): r.taken for r in mixing.plan(docs).collect()}
+    mixed = Counter(w for r in mixing.apply_mix(docs).collect() for w in r.text.split())
+    assert len(taken) == len(rows) and sum(mixed.values()) == sum(taken.values()) and taken[None, None, 400] > 0
+    for k, key in enumerate(zip(ids, sources, lengths, strict=True)):
+        assert mixed[f"t{k}"] == taken[key], key
+
+
 def test_targets_stop_at_twice_the_size():
     out = mixing.targets({"a": 10, "b": 1000, None: 5})
     assert out["a"] == 20 and out[None] == 10 and sum(out.values()) == 1015 * 1.5

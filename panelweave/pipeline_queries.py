@@ -316,4 +316,4 @@ def pbo(spark, sf_dir):
 
 @query("stepm")
 def stepm(spark, sf_dir):
-    return selection.bootstrap_maxima(_pool(spark, sf_dir), replicates=200)
+    return selection.bootstrap_maxima(_pool(spark, sf_dir))

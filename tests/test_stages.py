@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave import config, reporting, sdk
+from panelweave import config, pipeline_queries, reporting, sdk
 from panelweave.functions import fidelity, risk
 from panelweave.operators import asof, backtest, execution, search, selection
 from panelweave.panel import Panel, validate
@@ -250,3 +250,11 @@ def test_panels_of_tables_are_valid(spark):
 
     for made in (tables.supplier_month(spark, "/root/testdata/sf0.001"), tables.user_day(spark, "/root/testdata/sf0.001")):
         assert validate(Panel(made.df, made.fields, made.groups, made.vectors, made.subuniverse)) == []
+
+
+def test_stepm_query_uses_all_replicates(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(pipeline_queries, "_pool", lambda *_: spark.createDataFrame([(r, t, float((t * 7 + len(r)) % 5 - 1)) for r in ("a", "bb") for t in range(40)], "ref string, t int, pnl double"))
+    whole = selection.romano_wolf
+    monkeypatch.setattr(selection, "romano_wolf", lambda *a: used.append(a[4]) or whole(*a))
+    assert pipeline_queries.QUERIES["stepm"](spark, "").count() == 2 and used == [500]

@@ -90,6 +90,11 @@ class Fingerprinter:
                 if len(at):
                     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                     out[at[starts], j] = mix(np.add.reduceat(mix(held[inside]), starts)) | np.uint64(1)
+            missed = ~out.any(1)[rows]  # terms of texts that no subset reaches: all go to the first signature
+            at = rows[missed]
+            if len(at):
+                starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                out[at[starts], 0] = mix(np.add.reduceat(mix(terms[missed]), starts)) | np.uint64(1)
         return out
 
     def text(self, signatures: np.ndarray) -> list[str]:

@@ -279,6 +279,12 @@ def test_mixing(docs, rows, empty, spark):
     assert mixing.mix(again).count() == 4 and mixing.apply_mix(again).count() >= 4
 
 
+def test_texts_of_one_term_have_fingerprints(spark):
+    rows = [(i, f"term{i}") for i in range(2000)] + [(5000, None), (5001, "")]
+    out = {r[0]: r[1] for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "fingerprint").collect()}
+    assert out[5000] == out[5001] == "" and all(out[i] for i in range(2000)) and len({out[i] for i in range(2000)}) == 2000
+
+
 def test_mix_of_null_and_shared_doc_ids(spark):
     text = lambda k, n: " ".join(f"t{k}" for _ in range(n))
     ids = [None, None, None, 1, 1, 1, 2, 2, 3, 0, 0]

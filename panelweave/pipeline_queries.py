@@ -142,7 +142,8 @@ def yearly(spark, sf_dir):
     p AS (SELECT *, {_FITNESS} AS fitness FROM o WHERE days >= 10) {tidied_sql('p', ['period', 'days'], ['sharpe', 'turnover', 'returns', 'fitness'])}""",
 )
 def periods(spark, sf_dir):
-    return tidied(backtest.periods(_days(spark, sf_dir), 83), "period", "days")
+    days = _days(spark, sf_dir)
+    return tidied(backtest.periods(days, days.count()), "period", "days")
 
 
 @query("rolling_sharpe", f"{POSITIONS_SQL}, o AS (SELECT t, date, CASE WHEN t >= 12 THEN CASE WHEN stddev_pop(pnl) OVER w > 1e-12 THEN avg(pnl) OVER w / stddev_pop(pnl) OVER w * sqrt(252) ELSE 0 END END AS rolling_sharpe FROM days WINDOW w AS (ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) {tidied_sql('o', ['t', 'date'], ['rolling_sharpe'])}", ("date",))

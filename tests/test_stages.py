@@ -258,3 +258,9 @@ def test_stepm_query_uses_all_replicates(spark, monkeypatch):
     whole = selection.romano_wolf
     monkeypatch.setattr(selection, "romano_wolf", lambda *a: used.append(a[4]) or whole(*a))
     assert pipeline_queries.QUERIES["stepm"](spark, "").count() == 2 and used == [500]
+
+
+def test_periods_query_counts_the_days(spark, monkeypatch):
+    days = spark.createDataFrame([(t, float(t % 3), 0.5) for t in range(100)], "t int, pnl double, turnover double")
+    monkeypatch.setattr(pipeline_queries, "_days", lambda *_: days)
+    assert {r.period: r.days for r in pipeline_queries.QUERIES["periods"](spark, "").collect()} == {"IS": 60, "TEST": 20, "OS": 20}

@@ -6,6 +6,7 @@ instead of word by word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,11 +34,14 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (single machine)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one on a single machine
+    and an error on a cluster, whose machines would read and write different disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelweave-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -78,8 +82,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text, or of one row: hashing takes some 30 times its text in memory."""
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and what one stage has freed would otherwise add up
+    with the next stage's needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, or of one row: hashing takes some 30 times its text in
+    memory. Freed memory is given back every few slices."""
+    done = 0
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -87,7 +102,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 3 <<
         while a < batch.num_rows:
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
             yield batch.slice(a, b - a)
+            done += int(ends[b - 1] - (ends[a - 1] if a else 0))
             a = b
+            if done >= 8 * most:
+                give_back()
+                done = 0
+        del batch, sizes, ends
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -50,13 +50,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: While a table is written: its shuffle files go as soon as it is there, and Python gets small batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder, read back."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    table = spark.read.schema(schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete what ``write_table`` wrote, once nothing reads it any more."""
+    drop_path(table.sparkSession, table.written_to)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

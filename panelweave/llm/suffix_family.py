@@ -3,61 +3,159 @@
 Each byte covered by a string of LENGTH bytes that also starts earlier (smaller
 doc_id, or same document and smaller start) is removed.
 
-Suffixes are sampled by content: each window of LENGTH bytes is anchored at its
-smallest ``GRAM``-byte hash, so equal windows have equal anchors. Neighbouring
-windows with one anchor form a run; its suffix entry is (anchor hash, hash of
-the whole run, place). An array of entries is sorted by these hashes, which
-finds equal strings as the lexical order would, at 16 bytes an entry.
-
-* A new batch (some MB of text) gets its array and is merge-scanned against the
-  levels of its family: entries with an equal earlier one are matches. Levels
-  of about equal size merge, so an entry takes part in O(log n) merges.
-* Each worker keeps a family over its own batches, and only the first entry of
-  each (anchor, run) goes on, so a passage that a third of all documents share
-  costs one entry for each task. Families of hash buckets, fed with the
-  workers' arrays, find the first entry of all.
-* Runs that share an anchor but not the whole run share part of it at most:
-  their first entries are compared window by window, in a second round. An
-  anchor with over ``HOT`` runs in one task is known to need that, so its entries
-  are dealt out by run and one marker stands for them.
-
-Hash pairs of 128 bits stand for strings. Offsets refer to UTF-8 bytes.
+Sampling: each window of LENGTH bytes is anchored at its smallest ``GRAM``-byte
+hash, so equal windows have equal anchors at equal distances. Neighbouring
+windows with one anchor form a run. The sampled suffix of a run starts at its
+anchor and is held as text: the bytes from the anchor to the end of the run's
+last window, then those before the anchor, nearest first.
+
+A first pass counts the anchors' grams by hash. A gram that occurs once cannot
+be part of a match, so only suffixes whose gram may repeat are sampled: a filter
+of a size fixed by ``FILTER_BYTES`` is broadcast, whose false positives cost
+work and nothing else. No hash stands for a string where matches are decided.
+
+* A new batch (some MB of text) gets its suffix array, sorted lexicographically,
+  and is merge-scanned against every level of its family: of two equal runs the
+  later one is a match. What is new becomes a level; levels of about equal size
+  are merged in one pass without sorting again, so a suffix takes part in
+  O(log n) merges.
+* Each worker keeps a family over its own batches, and only the first place of
+  each run goes on, so a passage that a third of all documents share costs one
+  entry for each task. Families of buckets of anchors, fed with the workers'
+  arrays, find the first place of all.
+* Runs that share an anchor but not the whole run are neighbours in a bucket's
+  array. Where the longest common prefix with a neighbour leaves room for a
+  common window, the run's windows are sorted as text and compared.
+* An anchor with over ``HOT`` runs in one task is known to need that in many
+  tasks, so its runs are dealt out by run, a marker stands for them in the
+  anchor's bucket, and their windows are dealt out once more, by window.
 
 Defined cases: null or empty texts have nothing to remove, as have texts
-shorter than LENGTH; rows that share a doc_id count as copies of one document,
-which do not precede one another; null doc_ids come last; an empty table gives
-an empty result; only doc_id and text are read.
+shorter than LENGTH; very long texts are processed whole, in memory in
+proportion to their length; rows of one doc_id and one text are one document,
+whose repetitions all get its result; unlike texts under one doc_id, or under
+none, are documents of their own, in the order of a hash of the text; null
+doc_ids come last; the bytes 0xFE and 0xFF, which UTF-8 never has, count as
+one; an empty table gives an empty result; only doc_id and text are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import BASE, MIX2, mix, parts_for, texts_only, utf8, write_table
+from panelweave.llm.common import BASE, MIX1, give_back, mix, parts_for, table_bytes, texts_only, utf8, write_table
 
 LENGTH = 100
 GRAM = 32
-HOT = 64
-BATCH_BYTES = 4 << 20
+HOT = 32
+BATCH_BYTES = 2 << 20
+#: Entries that a worker gathers before it sends them on; 14 MB of text that all repeats.
+SHIP = 400_000
+#: Windows compared at once.
+WINDOWS_AT_ONCE = 150_000
+BUCKETS_EACH = 4
+#: Most bytes of the filter of repeated grams.
+FILTER_BYTES = 32 << 20
+#: Gram hashes that a worker gathers before it sends them on.
+SHIP_GRAMS = 2_000_000
 LAST_ID = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(20240301)
 #: A random number for each byte; the polynomial's base and its inverse modulo 2**64.
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-ENTRY = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "u1"), ("many", "?")])
+PLACE = np.dtype([("doc", "<i8"), ("rank", "<i8"), ("start", "<i8")])
+SPAN = np.dtype([("doc", "<i8"), ("rank", "<i8"), ("start", "<i8"), ("stop", "<i8")])
+BLOBS = "bucket int, kind int, blob binary"
+FOUND = "doc long, rank long, start long, stop long, bucket int, blob binary"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SPANS, SUFFIXES, MARKS = 0, 1, 2
+
+
+def sizes_of(length: int) -> tuple[int, int, int]:
+    """Most bytes before an anchor, width of a suffix and of a window key, in multiples of 8."""
+    left = length - GRAM
+    return left, -(-(length + left) // 8) * 8, -(-(length + 1) // 8) * 8
+
+
+@dataclass
+class Suffixes:
+    """Rows of a suffix array: text, place of the run, the run's windows but one, bytes before the anchor, hot anchor."""
+
+    text: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+    left: np.ndarray
+    many: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def take(self, at: np.ndarray) -> Suffixes:
+        return Suffixes(*(x[at] for x in self.columns()))
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.text, self.place, self.size, self.left, self.many]
+
+    def matrix(self) -> np.ndarray:
+        return self.text.view(np.uint8).reshape(len(self.text), self.text.itemsize)
+
+    def spans(self, length: int) -> np.ndarray:
+        return as_spans(self.place, self.size.astype(np.int64) + length)
+
+
+@dataclass
+class Windows:
+    """Rows of an array of windows: the distance to the anchor and the text, and the place."""
+
+    text: np.ndarray
+    place: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def take(self, at: np.ndarray) -> Windows:
+        return Windows(self.text[at], self.place[at])
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.text, self.place]
+
+    def spans(self, length: int) -> np.ndarray:
+        return as_spans(self.place, np.full(len(self.place), length))
+
+
+def as_spans(place: np.ndarray, width: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(place), SPAN)
+    for name in ("doc", "rank", "start"):
+        out[name] = place[name]
+    out["stop"] = place["start"] + width
+    return out
+
+
+def _hash(text: np.ndarray, n_bytes: int | None = None) -> np.ndarray:
+    """Hash of the first bytes of each row, only to deal rows out."""
+    words = text.view(np.uint64).reshape(len(text), text.itemsize // 8)[:, : None if n_bytes is None else n_bytes // 8]
+    out = np.zeros(len(text), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words.shape[1]):
+            out = (out ^ words[:, k]) * MIX1
+            out ^= out >> np.uint64(29)
+    return mix(out)
 
 
 class Hasher:
-    """Hashes of all substrings of a buffer, by prefix sums."""
+    """Hashes of all grams of a buffer, by prefix sums."""
 
     powers = np.ones(1, np.uint64)
     inverses = np.ones(1, np.uint64)
@@ -74,24 +172,20 @@ class Hasher:
             self.sums = np.zeros(n + 1, np.uint64)
             np.cumsum(BYTE[data] * Hasher.powers[:n], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.sums[stops] - self.sums[starts]) * Hasher.inverses[starts]
-
     def grams(self) -> np.ndarray:
         n = len(self.sums) - 1
         with np.errstate(over="ignore"):
             return mix((self.sums[GRAM:] - self.sums[: n - GRAM + 1]) * Hasher.inverses[: n - GRAM + 1])
 
 
-def entries(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The suffix entries of some texts, in order of place."""
+def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window and anchor of each run, as places in ``data``, and the hash of the anchor's gram."""
     span = length - GRAM + 1
+    none = np.zeros(0, np.int64)
     if len(data) < length:
-        return np.zeros(0, ENTRY)
-    hasher = Hasher(data)
-    grams = hasher.grams()
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
+        return none, none, none, none.astype(np.uint64)
+    grams = Hasher(data).grams()
+    bits = np.uint64(32)  # the same for every batch, so that ties fall to the leftmost gram everywhere
     low = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     width = 1
     while 2 * width <= span:
@@ -111,309 +205,445 @@ def entries(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int
     head[offsets[:-1][long_]] = True
     first = np.flatnonzero(head)
     if not len(first):
-        return np.zeros(0, ENTRY)
+        return none, none, none, none.astype(np.uint64)
     tail = valid.copy()
     tail[:-1] &= ~valid[1:] | head[1:]
-    last = np.flatnonzero(tail)
     anchor = anchors[first]
-    text = np.searchsorted(offsets, first, side="right") - 1
-    out = np.zeros(len(first), ENTRY)
-    out["anchor"] = grams[anchor]
-    with np.errstate(over="ignore"):
-        out["run"] = mix(hasher.of(first, last + length) ^ mix((anchor - first).astype(np.uint64) * np.uint64(257) + (last - first).astype(np.uint64)))
-    out["doc"], out["start"], out["size"] = ids[text], first - offsets[text], last - first
-    return out
+    return first, np.flatnonzero(tail), anchor, grams[anchor]
 
 
-def window_keys(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the strings of ``length`` bytes at these places."""
-    hasher = Hasher(data)
-    half = length // 2
-    with np.errstate(over="ignore"):
-        return mix(hasher.of(starts, starts + length)), mix(mix(hasher.of(starts, starts + half)) + MIX2 * mix(hasher.of(starts + half, starts + length) + MIX2))
+@dataclass
+class Filter:
+    """Bits of the gram hashes that occur more than once, in a slice for each bucket of hashes."""
 
+    bits: np.ndarray  # a row of bytes for each bucket
 
-def _groups(x: np.ndarray, keys: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by the keys; where groups begin."""
-    x = x[np.lexsort((x[keys[1]], x[keys[0]]))]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[keys[0]][1:] != x[keys[0]][:-1]) | (x[keys[1]][1:] != x[keys[1]][:-1])
-    return x, np.flatnonzero(new)
+    @staticmethod
+    def places(grams: np.ndarray, slice_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+        x = mix(grams ^ BASE)
+        size = np.uint64(8 * slice_bytes)
+        return ((x & np.uint64(0xFFFFFFFF)) % size).astype(np.int64), ((x >> np.uint64(32)) % size).astype(np.int64)
 
+    @classmethod
+    def slice_of(cls, grams: np.ndarray, slice_bytes: int) -> np.ndarray:
+        out = np.zeros(8 * slice_bytes, bool)
+        for at in cls.places(grams, slice_bytes):
+            out[at] = True
+        return np.packbits(out, bitorder="little")
 
-def split_first(x: np.ndarray, keys: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries with equal keys the one at the earliest place, and the others; both sorted by the keys."""
-    if not len(x):
-        return x, x
-    x, heads = _groups(x, keys)
-    sizes = np.diff(np.append(heads, len(x)))
-    doc = np.repeat(np.minimum.reduceat(x["doc"], heads), sizes)
-    start = np.where(x["doc"] == doc, x["start"], LAST_ID)
-    least = np.repeat(np.minimum.reduceat(start, heads), sizes)
-    at = start == least
-    group = np.repeat(np.arange(len(heads)), sizes)[at]  # of rows that share a doc_id, one
-    chosen = np.flatnonzero(at)[np.concatenate([[True], group[1:] != group[:-1]])]
-    first = np.zeros(len(x), bool)
-    first[chosen] = True
-    kept, rest = x[first], x[~first]
-    if "many" in x.dtype.names:
-        kept["many"] = np.logical_or.reduceat(x["many"], heads)
-    return kept, rest[~at[~first]]  # a copy of the same place is no match
+    def may_repeat(self, grams: np.ndarray) -> np.ndarray:
+        bucket, out = _spread(grams, len(self.bits)), np.ones(len(grams), bool)
+        for at in self.places(grams, self.bits.shape[1]):
+            out &= (self.bits[bucket, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
 
 
-class Family:
-    """Levels of sorted arrays. ``add`` returns the entries that are no longer first: the matches."""
+def repeated_grams(rows: DataFrame, n: int, length: int = LENGTH, input_bytes: int = 0) -> Filter:
+    """Filter of the anchors' grams that occur at more than one place of ``rows`` (doc, rank, text)."""
+    buckets = n * BUCKETS_EACH
+    slice_bytes = max(64, min(FILTER_BYTES, max(1 << 16, input_bytes // 64)) // buckets)
 
-    def __init__(self, keys: tuple[str, str] = ("anchor", "run")):
-        self.keys = keys
-        self.levels: list[np.ndarray] = []
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-    def add(self, batch: np.ndarray) -> list[np.ndarray]:
-        array, matched = split_first(batch, self.keys)
-        out = [matched]
-        self.levels.append(array)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            out.append(self._merge())
-        return out
+        def ship() -> Iterator[pa.RecordBatch]:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            for kind, x in ((0, found[times == 1]), (1, found[times > 1])):
+                yield from _blob_rows(kind, _dealt([x], _spread(x, buckets), differences=True))
 
-    def _merge(self) -> np.ndarray:
-        merged, matched = split_first(np.concatenate([self.levels.pop(), self.levels.pop()]), self.keys)
-        self.levels.append(merged)
-        return matched
+        for _, _, data, offsets in _text_batches(batches):
+            held.append(runs_of(data, offsets, length)[3])
+            if sum(map(len, held)) > SHIP_GRAMS:
+                yield from ship()
+        if held:
+            yield from ship()
 
-    def close(self) -> tuple[np.ndarray | None, list[np.ndarray]]:
-        """One array of all levels, and the matches found on the way."""
-        out = []
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            once, more = [], []
+            for kind, blob in rows:
+                (more if kind else once).append(np.cumsum(_unpack(blob, [np.dtype(np.uint64)])[0], dtype=np.uint64))
+            x = np.sort(np.concatenate([*once, *(y for m in more for y in (m, m))]))
+            bits = Filter.slice_of(x[1:][x[1:] == x[:-1]], slice_bytes)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(bits.tobytes())], pa.binary())], names=["bucket", "blob"])
+
+    found = write_table(rows.mapInArrow(scan, BLOBS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "bucket int, blob binary"), "suffix-grams")
+    bits = np.zeros((buckets, slice_bytes), np.uint8)
+    for r in found.toLocalIterator():  # FILTER_BYTES at most
+        bits[r.bucket] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.blob), np.uint8)
+    return Filter(bits)
+
+
+def suffix_array(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, ranks: np.ndarray, length: int = LENGTH, repeated: Filter | None = None) -> tuple[Suffixes, np.ndarray]:
+    """The sorted sampled suffixes of some texts, of equal runs the first, and the spans of the others."""
+    left_most, width, _ = sizes_of(length)
+    first, last, anchor, grams = runs_of(data, offsets, length)
+    if repeated is not None:
+        use = repeated.may_repeat(grams)
+        first, last, anchor = first[use], last[use], anchor[use]
+    text = np.searchsorted(offsets, first, side="right") - 1
+    place = np.zeros(len(first), PLACE)
+    place["doc"], place["rank"], place["start"] = ids[text], ranks[text], first - offsets[text]
+    size, left = (last - first).astype(np.uint8), (anchor - first).astype(np.uint8)
+    matrix = np.zeros((len(first), width), np.uint8)
+    if len(first):
+        around = np.zeros(left_most + len(data) + length, np.uint8)
+        around[left_most : left_most + len(data)] = np.minimum(data, 254) + np.uint8(1)  # 0 is left for padding
+        surroundings = sliding_window_view(around, left_most + length)
+        for a in range(0, len(first), 1 << 14):
+            part = slice(a, a + (1 << 14))
+            near = surroundings[anchor[part]]
+            near_left, near_right = near[:, :left_most][:, ::-1], near[:, left_most:]
+            matrix[part, :length] = near_right * (np.arange(length) < (last + length - anchor)[part, None])
+            matrix[part, length : length + left_most] = near_left * (np.arange(left_most) < left[part, None])
+    order = np.lexsort((place["start"], place["rank"], place["doc"]))
+    texts = matrix.view(f"S{width}").reshape(-1)
+    order = order[np.argsort(texts[order], kind="stable")]
+    return split_first(Suffixes(texts, place, size, left, np.zeros(len(first), bool)).take(order), length)
+
+
+def _same(text: np.ndarray) -> np.ndarray:
+    """Whether each row but the first equals the one before it."""
+    words = text.view(np.uint64).reshape(len(text), text.itemsize // 8)
+    out = np.ones(max(0, len(text) - 1), bool)
+    for k in range(words.shape[1]):
+        out &= words[1:, k] == words[:-1, k]
+    return out
+
+
+def split_first(x, length: int):
+    """Of rows sorted by text and then by place: the first of each text, and the spans of the others at other places."""
+    if not len(x):
+        return x, as_spans(x.place, np.zeros(0, np.int64))
+    twin = np.concatenate([[False], _same(x.text)])
+    other = np.flatnonzero(twin)
+    moved = x.place[other] != x.place[other - 1]
+    return x.take(np.flatnonzero(~twin)), x.take(other[moved]).spans(length)
+
+
+def _before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & ((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["start"] < b["start"]))))
+
+
+class Family:
+    """Levels of sorted arrays without common texts. ``add`` returns the spans of what turned out not to be first."""
+
+    def __init__(self, length: int = LENGTH):
+        self.length = length
+        self.levels: list = []
+
+    def add(self, new) -> list[np.ndarray]:
+        found = []
+        for level in self.levels:
+            if not len(new):
+                break
+            at = np.minimum(np.searchsorted(level.text, new.text), len(level) - 1)
+            twin = level.text[at] == new.text
+            if twin.any():
+                mine, theirs = np.flatnonzero(twin), at[twin]
+                a, b = new.place[mine], level.place[theirs]
+                earlier, later = _before(a, b), _before(b, a)
+                matched = new.take(mine)
+                matched.place = np.where(earlier, b, a)
+                found.append(matched.spans(self.length)[earlier | later])
+                level.place[theirs[earlier]] = a[earlier]
+                if hasattr(new, "many"):
+                    level.many[theirs] |= new.many[mine]
+                new = new.take(np.flatnonzero(~twin))
+        if len(new):
+            self.levels.append(new)
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            self._merge()
+        return found
+
+    def _merge(self) -> None:
+        """The two last levels as one: each row of the shorter one finds its place in the longer one."""
+        b, a = self.levels.pop(), self.levels.pop()
+        at = np.searchsorted(a.text, b.text) + np.arange(len(b))
+        rest = np.ones(len(a) + len(b), bool)
+        rest[at] = False
+        merged = []
+        for x, y in zip(a.columns(), b.columns(), strict=True):
+            both = np.empty(len(rest), x.dtype)
+            both[rest], both[at] = x, y
+            merged.append(both)
+        self.levels.append(type(a)(*merged))
+
+    def close(self):
+        """One array of all levels, or none."""
         while len(self.levels) > 1:
-            out.append(self._merge())
-        return (self.levels[0] if self.levels else None), out
+            self._merge()
+        return self.levels.pop() if self.levels else None
+
+
+def neighbours(x: Suffixes, length: int) -> np.ndarray:
+    """Longest common prefix of each suffix with the one before it, 0 for the first; bytes before the anchor don't count."""
+    out = np.zeros(len(x), np.int64)
+    rights = length + x.size.astype(np.int64) - x.left
+    matrix = x.matrix()
+    for a in range(1, len(x), 1 << 15):
+        b = min(len(x), a + (1 << 15))
+        unlike = matrix[a:b, :length] != matrix[a - 1 : b - 1, :length]
+        out[a:b] = np.where(unlike.any(1), unlike.argmax(1), length)
+    out[1:] = np.minimum(out[1:], np.minimum(rights[1:], rights[:-1]))
+    return out
 
 
-def joined(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(x: Suffixes, least: np.ndarray, length: int) -> Iterator[Windows]:
+    """The windows that lie at least ``least`` bytes before the anchor."""
+    left_most, _, width = sizes_of(length)
+    far = x.left.astype(np.int64)
+    near = np.maximum(least, far - x.size)
+    counts = np.maximum(far - near + 1, 0)
+    ends = np.cumsum(counts)
+    a = 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WINDOWS_AT_ONCE, side="right")))
+        row = np.repeat(np.arange(a, b), counts[a:b])
+        if len(row):
+            begin = ends[a:b] - counts[a:b] - (ends[a - 1] if a else 0)
+            off = np.repeat(near[a:b] - begin, counts[a:b]) + np.arange(len(row))
+            matrix = x.matrix()[a:b]
+            natural = np.concatenate([matrix[:, length : length + left_most][:, ::-1], matrix[:, :length]], axis=1)
+            out = np.zeros((len(row), width), np.uint8)
+            out[:, 0] = off + 1
+            out[:, 1 : length + 1] = sliding_window_view(natural, length, axis=1)[row - a, left_most - off]
+            place = x.place[row]
+            place["start"] += far[row] - off
+            yield Windows(out.view(f"S{width}").reshape(-1), place)
+        a = b
+
+
+def sorted_windows(x: Windows, length: int) -> tuple[Windows, np.ndarray]:
+    order = np.lexsort((x.place["start"], x.place["rank"], x.place["doc"]))
+    order = order[np.argsort(x.text[order], kind="stable")]
+    return split_first(x.take(order), length)
+
+
+def compare_runs(x: Suffixes, length: int) -> Iterator[np.ndarray]:
+    """Spans of the windows of one array that also lie in an earlier run of the same anchor."""
+    if len(x) < 2:
+        return
+    common = neighbours(x, length)
+    group = np.cumsum(common < GRAM)
+    reach = np.maximum(common, np.append(common[1:], 0))
+    least = length - reach  # a window so far before the anchor has all its other bytes in the common prefix
+    use = np.flatnonzero((reach >= GRAM) & (least <= x.left))
+    x, least, group = x.take(use), least[use], group[use]
+    counts = np.maximum(x.left.astype(np.int64) - np.maximum(least, x.left.astype(np.int64) - x.size) + 1, 0)
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(x) else np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    a = 0
+    while a < len(heads):  # some whole groups at a time; a larger group alone
+        base = ends[heads[a] - 1] if heads[a] else 0
+        stops = np.append(heads[1:], len(x))
+        b = max(a + 1, int(np.searchsorted(ends[stops - 1], base + WINDOWS_AT_ONCE, side="right")))
+        part = np.arange(heads[a], stops[b - 1])
+        family = Family(length)
+        for w in windows_of(x.take(part), least[part], length):
+            first, matched = sorted_windows(w, length)
+            yield matched
+            yield from family.add(first)
+        a = b
+
+
+def joined(spans: np.ndarray) -> np.ndarray:
     """Unions of overlapping or touching spans of each document."""
-    if not len(doc):
-        return doc, start, stop
-    order = np.lexsort((start, doc))
-    doc, start, stop = doc[order], start[order], stop[order]
-    group = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
-    wide = int(stop.max()) + 2
-    reach = np.maximum.accumulate(stop + group * wide) - group * wide
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])
+    if not len(spans):
+        return spans
+    x = spans[np.lexsort((spans["start"], spans["rank"], spans["doc"]))]
+    other = (x["doc"][1:] != x["doc"][:-1]) | (x["rank"][1:] != x["rank"][:-1])
+    group = np.concatenate([[0], np.cumsum(other)])
+    wide = int(x["stop"].max()) + 2
+    reach = np.maximum.accumulate(x["stop"] + group * wide) - group * wide
+    new = np.ones(len(x), bool)
+    new[1:] = other | (x["start"][1:] > reach[:-1])
     heads = np.flatnonzero(new)
-    return doc[heads], start[heads], np.maximum.reduceat(stop, heads)
-
-
-def _spans(matches: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not matches:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    m = np.concatenate(matches)
-    return joined(m["doc"], m["start"], m["start"] + m["size"].astype(np.int64) + length)
+    out = x[heads]
+    out["stop"] = np.maximum.reduceat(x["stop"], heads)
+    return out
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Column by column, with differences of the first, for the sake of size."""
-    parts = []
-    for i, name in enumerate(x.dtype.names):
-        column = np.ascontiguousarray(x[name])
-        if not i and len(column):
-            column = np.diff(column, prepend=column.dtype.type(0))
-        parts.append(column.view(np.uint8).reshape(len(x), -1).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Number of rows, then column by column; places by their fields, the bytes of numbers apart."""
+    parts = [len(columns[0]).to_bytes(8, "little")]
+    for x in columns:
+        for name in x.dtype.names or [None]:
+            column = np.ascontiguousarray(x[name] if name else x)
+            parts.append(column.tobytes() if column.dtype.kind == "S" else column.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
-def _unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
+def _unpack(blob: bytes, dtypes: list[np.dtype]) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // dtype.itemsize
-    out, at = np.zeros(n, dtype), 0
-    for i, name in enumerate(dtype.names):
-        width = dtype[name].itemsize
-        column = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(dtype[name])
-        at += n * width
-        out[name] = np.cumsum(column, dtype=column.dtype) if not i else column
+    n, at, out = int(raw[:8].view(np.int64)[0]), 8, []
+    for dtype in dtypes:
+        x = np.empty(n, dtype)
+        for name in dtype.names or [None]:
+            kind = dtype[name] if name else dtype
+            column = raw[at : at + n * kind.itemsize]
+            at += n * kind.itemsize
+            column = column.copy() if kind.kind == "S" else np.ascontiguousarray(column.reshape(kind.itemsize, n).T).reshape(-1)
+            if name:
+                x[name] = column.view(kind)
+            else:
+                x[:] = column.view(kind)
+        out.append(x)
     return out
 
 
-def _blob_rows(x: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    if not len(x):
+def _dealt(columns: list[np.ndarray], bucket: np.ndarray, most: int = 1 << 16, differences: bool = False) -> Iterator[tuple[int, bytes]]:
+    """Packed rows of each bucket, in their order; or the differences from row to row."""
+    if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
-    x, bucket = x[order], bucket[order]
+    bucket = bucket[order]
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    for a, b in zip(heads, [*heads[1:], len(x)], strict=True):
-        for c in range(a, b, 1 << 18):
-            part = x[c : min(b, c + (1 << 18))]
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([kind], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["bucket", "kind", "blob"])
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=True):
+        for c in range(a, b, most):
+            part = [x[order[c : min(b, c + most)]] for x in columns]
+            yield int(bucket[a]), _pack([np.diff(x, prepend=x.dtype.type(0)) for x in part] if differences else part)
 
 
-SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("stop", "<i8")])
-WINDOW = np.dtype([("key", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "u1")])
-BLOBS = "bucket int, kind int, blob binary"
-PLACES = "doc_id long, kind int, start long, stop long"
+def _blob_rows(kind: int, dealt: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for bucket, blob in dealt:
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def _as_spans(doc, start, stop) -> np.ndarray:
-    out = np.zeros(len(doc), SPAN)
-    out["doc"], out["start"], out["stop"] = doc, start, stop
-    return out
+def _found_rows(spans: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    x = joined(np.concatenate(spans)) if spans else np.zeros(0, SPAN)
+    for a in range(0, len(x), 1 << 16):
+        part = x[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(part[c]) for c in ("doc", "rank", "start", "stop")], pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], names=["doc", "rank", "start", "stop", "bucket", "blob"])
 
 
-def _place_rows(spans: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(spans), 1 << 16):
-        x = spans[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(np.full(len(x), kind, np.int32)), pa.array(x["start"]), pa.array(x["stop"])], names=["doc_id", "kind", "start", "stop"])
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
+    """Buckets, each with its (kind, blob) rows, of rows sorted by bucket."""
+    def rows():
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield tuple(batch.column(c)[k].as_py() for c in range(3))
 
+    for bucket, group in itertools.groupby(rows(), key=lambda r: r[0]):
+        yield bucket, ((r[1], r[2]) for r in group)
 
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """ids, bytes and offsets of some MB of text at a time."""
+
+def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, ranks, bytes and offsets of some MB of text at a time."""
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        ids = batch.column(0).to_numpy()
+        data, offsets = utf8(batch.column(2))
+        ids, ranks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         a = 0
         while a < len(ids):
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BATCH_BYTES, side="right")) - 1)
-            yield ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            yield ids[a:b], ranks[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            give_back()
             a = b
 
 
-def find_places(rows: DataFrame, n: int, length: int = LENGTH) -> DataFrame:
-    """First round. kind 0: spans to remove; kind 1: first and last start of runs to compare window by window."""
+def _spread(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (x % np.uint64(buckets)).astype(np.int64)
+
+
+def find_runs(rows: DataFrame, n: int, length: int, repeated: Filter) -> DataFrame:
+    """Spans to remove, and packed windows of hot anchors to compare by bucket (``blob`` not null)."""
+    buckets, limit = n * BUCKETS_EACH, HOT
+    known = rows.sparkSession.sparkContext.broadcast(repeated)
+    _, width, window_width = sizes_of(length)
+    suffix_types = [np.dtype(f"S{width}"), PLACE, np.dtype("u1"), np.dtype("u1"), np.dtype("?")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
-        spans: list[tuple] = []
+        family = Family(length)
+        spans: list[np.ndarray] = []
         held = 0
 
         def ship() -> Iterator[pa.RecordBatch]:
-            array, more = family.close()
-            family.levels = []
-            if more:
-                spans.append(_spans(more, length))
-            if array is not None and len(array):
-                anchors, at, counts = np.unique(array["anchor"], return_inverse=True, return_counts=True)
-                hot = counts[at] > HOT
-                array["many"] |= hot
-                bucket = (mix(np.where(hot, array["anchor"] ^ array["run"], array["anchor"])) % np.uint64(n)).astype(np.int64)
-                yield from _blob_rows(array, bucket, 1)
-                if hot.any():
-                    marks = np.zeros(int((counts > HOT).sum()), ENTRY)
-                    marks["anchor"], marks["doc"], marks["many"] = anchors[counts > HOT], LAST_ID, True
-                    yield from _blob_rows(marks, (mix(marks["anchor"]) % np.uint64(n)).astype(np.int64), 2)
+            array = family.close()
+            if array is not None:
+                gram = _hash(array.text, GRAM)
+                group = np.cumsum(neighbours(array, length) < GRAM) - 1
+                hot = np.bincount(group)[group] > limit
+                array.many |= hot
+                yield from _blob_rows(SUFFIXES, _dealt(array.columns(), _spread(np.where(hot, _hash(array.text), gram), buckets)))
+                marks = np.unique(gram[hot])
+                yield from _blob_rows(MARKS, _dealt([marks], _spread(marks, buckets)))
             if spans:
-                found = _as_spans(*joined(*(np.concatenate(x) for x in zip(*spans, strict=True))))
+                found = joined(np.concatenate(spans))
                 spans.clear()
-                yield from _blob_rows(found, (mix(found["doc"].view(np.uint64)) % np.uint64(n)).astype(np.int64), 0)
-
-        for ids, data, offsets in _text_batches(batches):
-            new = entries(data, offsets, ids, length)
-            spans.append(_spans(family.add(new), length))
-            held += len(new)
-            if held > 2_000_000:  # about 70 MB of text
+                yield from _blob_rows(SPANS, _dealt([found], _spread(mix(found["doc"].view(np.uint64) ^ found["rank"].view(np.uint64)), buckets)))
+            give_back()
+
+        for ids, ranks, data, offsets in _text_batches(batches):
+            array, matched = suffix_array(data, offsets, ids, ranks, length, known.value)
+            held += len(array)
+            spans += [joined(x) for x in (matched, *family.add(array))]
+            if held > SHIP:
                 yield from ship()
                 held = 0
         yield from ship()
 
-    def settle(family: Family, marks: list[np.ndarray], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        array, more = family.close()
-        spans = [_as_spans(*_spans(found + more, length))]
-        for x in spans:
-            yield from _place_rows(x, 0)
-        if array is not None and len(array):
-            _, at, counts = np.unique(array["anchor"], return_inverse=True, return_counts=True)
-            many = (counts[at] > 1) | array["many"]
-            if marks:
-                many |= np.isin(array["anchor"], np.concatenate(marks))
-            x = array[many]
-            yield from _place_rows(_as_spans(x["doc"], x["start"], x["start"] + x["size"]), 1)
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        family, marks, found = Family(), [], []
-        for batch in batches:
-            for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    if now is not None:
-                        yield from settle(family, marks, found)
-                    now, family, marks, found = bucket, Family(), [], []
-                if kind == 0:
-                    yield from _place_rows(_unpack(blob, SPAN), 0)
-                elif kind == 1:
-                    found += family.add(_unpack(blob, ENTRY))
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            family, spans, marks = Family(length), [], []
+            for kind, blob in rows:
+                if kind == SUFFIXES:
+                    spans += family.add(Suffixes(*_unpack(blob, suffix_types)))
+                elif kind == MARKS:
+                    marks += _unpack(blob, [np.dtype(np.uint64)])
                 else:
-                    marks.append(_unpack(blob, ENTRY)["anchor"])
-        if now is not None:
-            yield from settle(family, marks, found)
-
-    return rows.mapInArrow(scan, BLOBS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, PLACES)
+                    spans += _unpack(blob, [SPAN])
+            array = family.close()
+            if array is not None:
+                many = array.many | np.isin(_hash(array.text, GRAM), np.concatenate(marks)) if marks else array.many
+                spans += [joined(x) for x in compare_runs(array.take(np.flatnonzero(~many)), length)]
+                hot = array.take(np.flatnonzero(many))
+                for w in windows_of(hot, np.zeros(len(hot), np.int64), length):
+                    first, matched = sorted_windows(w, length)
+                    spans.append(joined(matched))
+                    for bucket, blob in _dealt(first.columns(), _spread(_hash(first.text), buckets)):
+                        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], names=["doc", "rank", "start", "stop", "bucket", "blob"])
+            yield from _found_rows(spans)
+            give_back()
+
+    return rows.mapInArrow(scan, BLOBS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, FOUND)
+
+
+def compare_windows(blobs: DataFrame, n: int, length: int = LENGTH) -> DataFrame:
+    """Spans of the windows that also start earlier. blobs: bucket, blob."""
+    types = [np.dtype(f"S{sizes_of(length)[2]}"), PLACE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            family, spans = Family(length), []
+            for _, blob in rows:
+                spans += [joined(x) for x in family.add(Windows(*_unpack(blob, types)))]
+            yield from _found_rows(spans)
+            give_back()
+
+    packed = blobs.select("bucket", F.lit(SUFFIXES).alias("kind"), "blob")
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``texts`` also the bytes that remain, as ``kept``."""
-    rows = texts_only(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_ID) - 1)))
+    if not GRAM < length <= 255:
+        raise ValueError(f"length must be over {GRAM} and at most 255")
+    id_ = F.col("doc_id").cast("long")
+    rows = texts_only(docs).select(id_.alias("doc_id"), F.coalesce(id_, F.lit(int(LAST_ID))).alias("doc"), F.xxhash64("text").alias("rank"), "text")
     n = parts_for(docs)
-    places = write_table(find_places(rows, n, length), "suffix-places")
+    narrow = rows.select("doc", "rank", "text")
+    found = write_table(find_runs(narrow, n, length, repeated_grams(narrow, n, length, table_bytes(docs))), "suffix-found")
+    spans = found.where("blob is null").unionByName(compare_windows(found.where("blob is not null"), n, length))
+    removed = spans.groupBy("doc", "rank").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))  # no more than a document has runs
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([squeeze.compress(x) for x in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "blob"])
-
-    packed = rows.mapInArrow(pack, "doc_id long, blob binary").repartition(n, "doc_id")
-
-    def listed(kind: DataFrame, name: str) -> DataFrame:
-        """The places of each document, no more than its length over the anchors' distance."""
-        return kind.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")).withColumnRenamed("doc_id", name)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        held: list[np.ndarray] = []
-        size = 0
-
-        def ship() -> Iterator[pa.RecordBatch]:
-            x = split_first(np.concatenate(held), ("key", "other"))
-            held.clear()
-            spans = _as_spans(*_spans([x[1]], length))
-            yield from _blob_rows(x[0], (x[0]["key"] % np.uint64(n)).astype(np.int64), 1)
-            yield from _blob_rows(spans, (mix(spans["doc"].view(np.uint64)) % np.uint64(n)).astype(np.int64), 0)
-
-        for batch in batches:
-            for doc_id, blob, first, last in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
-                data = np.frombuffer(expand.decompress(blob.as_py()), np.uint8)
-                first, last = first.values.to_numpy(), last.values.to_numpy()
-                sizes = last - first + 1
-                at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-                at = np.unique(at[at + length <= len(data)])
-                new = np.zeros(len(at), WINDOW)
-                new["key"], new["other"] = window_keys(data, at, length)
-                new["doc"], new["start"] = doc_id, at
-                held.append(new)
-                size += len(new)
-                if size > 2_000_000:
-                    yield from ship()
-                    size = 0
-        if held:
-            yield from ship()
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, family, found = None, Family(("key", "other")), []
-        for batch in batches:
-            for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    yield from _place_rows(_as_spans(*_spans(found + family.close()[1], length)), 0)
-                    now, family, found = bucket, Family(("key", "other")), []
-                if kind == 0:
-                    yield from _place_rows(_unpack(blob, SPAN), 0)
-                else:
-                    found += family.add(_unpack(blob, WINDOW))
-        yield from _place_rows(_as_spans(*_spans(found + family.close()[1], length)), 0)
-
-    asked = listed(places.where("kind = 1"), "id")
-    parts = packed.join(asked, packed.doc_id == asked.id).select("doc_id", "blob", "starts", "stops")
-    second = parts.mapInArrow(windows, BLOBS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, PLACES)
-    removed = listed(places.where("kind = 0").unionByName(second), "id")
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([squeeze.compress(x) for x in part.column(3).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "doc", "rank", "blob"])
+            give_back()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -421,18 +651,18 @@ def dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFra
             out: list[tuple] = []
             for doc_id, blob, starts, stops in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 data = expand.decompress(blob.as_py())
-                if starts.is_valid:
-                    start = starts.values.to_numpy()
-                    stop = np.minimum(stops.values.to_numpy(), len(data))
-                    _, start, stop = joined(np.zeros(len(start), np.int64), start, stop)
-                    bounds = [0, *np.column_stack([start, stop]).ravel().tolist(), len(data)]
-                    kept = b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
-                    out.append((doc_id, len(data), len(data) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept if texts else None))
-                else:
-                    out.append((doc_id, len(data), 0, 0, hashlib.sha256(data).hexdigest(), data if texts else None))
+                spans = np.zeros(len(starts.values) if starts.is_valid else 0, SPAN)
+                if len(spans):
+                    spans["start"], spans["stop"] = starts.values.to_numpy(), stops.values.to_numpy()
+                    spans = joined(spans)
+                bounds = [0, *np.column_stack([spans["start"], spans["stop"]]).ravel().tolist(), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
+                out.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if texts else None))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.string())] + ([pa.array(columns[5], pa.binary())] if texts else [])
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts])
+            give_back()
 
-    result = packed.join(removed, packed.doc_id == removed.id, "left").select("doc_id", "blob", "starts", "stops").mapInArrow(cut, SCHEMA + (", kept binary" if texts else ""))
-    return result.withColumn("doc_id", F.when(F.col("doc_id") != int(LAST_ID) - 1, F.col("doc_id")))
+    packed = rows.mapInArrow(pack, "doc_id long, doc long, rank long, blob binary").repartition(n, "doc", "rank")
+    both = packed.join(removed, ["doc", "rank"], "left").select("doc_id", "blob", "starts", "stops")
+    return both.mapInArrow(cut, SCHEMA + (", kept binary" if texts else ""))

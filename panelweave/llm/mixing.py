@@ -4,17 +4,22 @@ Tokens are words of ``[^\\x20\\x09-\\x0D]+``. Sources, by code point with null
 last, weigh 3, 1, 2, repeating, and share ``share`` times all tokens; a target
 stops at ``repeat`` times its source's size and the excess is shared anew.
 
-Blocks of equally many tokens are given to sources, then to each source's
-shards, by highest quotients weight / (2 * seats + 1). A shard is a seeded
-choice of documents, laid end to end in seeded order and cut into blocks; its
-quota of q blocks out of n takes each block q // n times and q % n blocks, from
-a seeded place on, once more. Shards bound what one task sorts, also where a
-third of all rows has one source.
+Blocks of equally many tokens are given to sources, then to each source's sets
+of shards and to the shards of a set, by highest quotients
+weight / (2 * seats + 1). A shard is a seeded choice of documents, laid end to
+end in seeded order and cut into blocks; its quota of q blocks out of n takes
+each block q // n times and q % n blocks, from a seeded place on, once more.
+Shards bound what one task sorts, also where a third of all rows has one
+source, and sets bound the rows that one task apportions. As no document may
+exceed twice its size, what rounding gives a shard beyond twice its blocks is
+not taken: a block or two a shard, where the target is twice the source.
 
 Defined cases: null and empty texts have size 0 and nothing is taken from
-them; a null source is a source of its own; repeated rows count row by row;
-equal order keys fall back to doc_id; an empty table gives an empty result;
-other columns are not read.
+them; a very long text is counted as one slice, may fill a shard by itself and
+is cut only between words; a null source is a source of its own; repeated rows
+count row by row; equal order keys fall back to doc_id; an empty table gives an
+empty result. The plan reads doc_id, source and text only; the mix keeps all
+columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from panelweave.llm.common import SPACE, sliced, utf8, words, write_table
+from panelweave.llm.common import SPACE, give_back, sliced, utf8, words, write_table
 
 #: Weights in the order of the sources, repeating.
 WEIGHTS = (3, 1, 2)
 MODULUS = 2147483647
+#: Shards in a set: blocks are given to sources, to their sets of shards and to the shards of a set.
+SET = 4096
 SEED = 20240229
 
 
@@ -87,6 +95,19 @@ def _spin(x: Column, times: int) -> Column:
     return (x * times) % MODULUS
 
 
+def apportioned(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """The rows (group, key, words, seats, all_words) with ``quota``: the group's seats by highest quotients.
+
+    All but the last few seats of a row are certain, the floor of its share less two; for the others each row makes
+    eight offers, which is more than quotients can add to that.
+    """
+    whole = Window.partitionBy(*group)  # SET rows at most, eight offers each
+    sure = F.greatest(F.floor(F.col("seats") * F.col("words") / F.col("all_words")) - 2, F.lit(0))
+    offered = rows.withColumn("sure", sure).withColumn("open", F.col("seats") - F.sum("sure").over(whole)).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
+    given = F.row_number().over(whole.orderBy((F.col("words") / (2 * (F.col("sure") + F.col("j")) + 1)).desc(), key, "j")) <= F.col("open")
+    return offered.withColumn("given", given.cast("long")).groupBy(*group, key).agg(F.first("words").alias("words"), (F.first("sure") + F.sum("given")).alias("quota"))
+
+
 def plan(docs: DataFrame, block: int = 64, shard_words: int = 1 << 20, shard_rows: int = 1 << 12, seed: int = SEED) -> DataFrame:
     """A row for each row of ``docs``: doc_id, source, size, source_size, target, taken, and what is taken: ``copies``
     whole copies and once more its words from lo to hi and from lo2 to hi2 (0-based, end excluded)."""
@@ -108,12 +129,12 @@ def plan(docs: DataFrame, block: int = 64, shard_words: int = 1 << 20, shard_row
     laid = sizes.join(F.broadcast(sources), sizes.source.eqNullSafe(sources["__source"])).withColumn("__key", key).withColumns({"__shard": F.col("__key") % F.col("shards"), "__key": _spin(F.col("__key"), 69621)})
 
     shards = laid.groupBy("__source", "__shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"), F.first("source_size").alias("all_words")).where("words > 0")
-    whole = Window.partitionBy("__source")
-    sure = F.greatest(F.floor(F.col("seats") * F.col("words") / F.col("all_words")) - 2, F.lit(0))
-    offered = shards.withColumn("sure", sure).withColumn("left", F.col("seats") - F.sum("sure").over(whole)).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
-    given = F.row_number().over(whole.orderBy((F.col("words") / (2 * (F.col("sure") + F.col("j")) + 1)).desc(), "__shard", "j")) <= F.col("left")
+    shards = shards.withColumn("__set", F.floor(F.col("__shard") / SET))
+    sets = apportioned(shards.groupBy("__source", "__set").agg(F.sum("words").alias("words"), F.first("seats").alias("seats"), F.first("all_words").alias("all_words")), ["__source"], "__set")
+    sets = sets.select(F.col("__source").alias("__s"), F.col("__set").alias("__h"), F.col("quota").alias("seats"), F.col("words").alias("all_words"))
+    inner = shards.drop("seats", "all_words").join(sets, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__set") == F.col("__h"))).drop("__s", "__h")
     quotas = (
-        offered.withColumn("given", given.cast("long")).groupBy("__source", "__shard").agg(F.first("words").alias("words"), (F.first("sure") + F.sum("given")).alias("quota"))
+        apportioned(inner, ["__source", "__set"], "__shard")
         .withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("quota", F.least("quota", 2 * F.col("blocks")))
         .select(F.col("__source").alias("__s"), F.col("__shard").alias("__h"), "words", "blocks", (F.col("quota") / F.col("blocks")).cast("long").alias("copies"), (F.col("quota") % F.col("blocks")).alias("extra"), F.pmod(F.hash("__source", "__shard", F.lit(seed)).cast("long"), F.col("blocks")).alias("place"))
     )
@@ -155,16 +176,18 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     planned = keyed(plan(docs, **options), F.col("size").alias("__size"), "taken", "copies", "lo", "hi", "lo2", "hi2")
     names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names]).alias("__row")
     inner = docs.schema
 
     def size_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = pa.array(word_count(pa.compute.struct_field(b.column(4), names.index("text"))))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], size, b.column(4)], names=[*keys, "__row"])
+            give_back()
 
     rows = keyed(docs, row)
-    schema = f"__id long, __no_id boolean, __source string, __no_source boolean, __size long, __row {inner.simpleString()}"
+    kinds = (LongType(), BooleanType(), StringType(), BooleanType(), LongType())
+    schema = StructType([*(StructField(k, kind) for k, kind in zip(keys, kinds, strict=True)), StructField("__row", inner)])
     rows = rows.mapInArrow(size_of, schema).withColumn("__nth", F.row_number().over(each))
     planned = planned.withColumn("__nth", F.row_number().over(each))
     both = rows.join(planned, [*keys, "__nth"]).where("taken > 0").select("__row", "copies", "lo", "hi", "lo2", "hi2")
@@ -179,4 +202,4 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     part = both.where(full > 0).withColumn("__text", cut(F.col("__row.text"), "lo", "hi", "lo2", "hi2"))
     part = part.select(F.struct(*[(F.col("__text") if c == "text" else F.col("__row").getField(c)).alias(c) for c in names]).alias("__row"))
-    return whole.unionByName(part).select("__row.*")
+    return whole.union(part).select("__row.*")

@@ -90,7 +90,7 @@ def test_token_counts_of_model_files(docs, rows):
 
 def test_sentencepiece_is_the_librarys(docs, rows, empty, spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoder = sentencepiece_trie.TrieEncoder(path, memo=50)
+    encoder = sentencepiece_trie.TrieEncoder(path, memo_bytes=9000)
     rng = random.Random(2)
     parts = ["a", "the", "ing", " ", "  ", "    ", "\n", "é", "梦", "𝄞", "▁", "0", "Th", "!!", "\t", "<s>", "́"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(500)] + [" " * n for n in range(20)]
@@ -99,7 +99,7 @@ def test_sentencepiece_is_the_librarys(docs, rows, empty, spark):
         got = [list(x) for x in encoder.encode_batch(part)]
         assert got == encoder.processor.encode(part)
         assert [encoder.decode(x) for x in got] == encoder.processor.decode(got)
-    out = {r.doc_id: r for r in sentencepiece_trie.encode(docs, path, batch_chars=1000).collect()}
+    out = {r.doc_id: r for r in sentencepiece_trie.encode(docs, path, batch_bytes=1000).collect()}
     for r in rows:
         assert list(out[r[0]].ids) == encoder.processor.encode(r[1] or "")
         assert out[r[0]].round_trip and out[r[0]].n_tokens == len(out[r[0]].ids)
@@ -128,7 +128,7 @@ def test_unigram_forward_scores():
     words = ["▁the", "▁then", "▁thence", "▁there", "▁a", "▁international", "x", "▁▁in"]
     encoder.learn(set(words))
     for w in words:
-        assert math.isclose(sum(encoder.scores[encoder.names[i]] for i in encoder.memo[w]), best(w))
+        assert math.isclose(sum(encoder.scores[encoder.names[i]] for i in encoder.ids_of(w)), best(w))
 
 
 def test_fingerprints(docs, rows, empty, spark):
@@ -202,21 +202,45 @@ def test_hot_anchors_are_compared_by_window(spark, monkeypatch):
     assert got == brute_spans(odd)
 
 
-def test_family_levels_grow_geometrically():
-    family = suffix_family.Family()
-    rng = np.random.default_rng(0)
-    found = 0
-    seen = set()
-    for batch in range(20):
-        x = np.zeros(50, suffix_family.ENTRY)
-        x["anchor"], x["run"] = rng.integers(0, 300, 50), 1
-        x["doc"], x["start"] = batch, np.arange(50)
-        found += sum(len(m) for m in family.add(x))
-        seen |= set(x["anchor"].tolist())
+def test_unlike_texts_of_shared_and_null_doc_ids_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(0, a), (5, a), (5, b), (None, b), (None, c), (None, None), (7, c + "tail"), (9, b), (9, b)]
+    got = {}
+    for r in suffix_family.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), texts=True).collect():
+        got.setdefault((r.doc_id, r.n_bytes), []).append(bytes(r.kept).decode())
+    assert got[0, len(a.encode())] == [a]
+    assert got[5, len(b.encode())] == [b]  # b occurs before nowhere, whatever else has its id
+    assert got[5, len(a.encode())] == [""]
+    assert got[9, len(b.encode())] == ["", ""]  # repeated rows are one document
+    assert got[None, len(b.encode())] == [""] and got[None, len(c.encode())] == [""] and got[None, 0] == [""]
+    assert got[7, len(c.encode()) + 4] == [c + "tail"]
+
+
+def test_suffix_arrays_are_sorted_text_and_levels_grow_geometrically():
+    rng = random.Random(6)
+    pool = [sentence(rng, 40) for _ in range(30)]
+    family, found, every = suffix_family.Family(), 0, 0
+    place = {}
+    for batch in range(25):
+        texts = [rng.choice(pool).encode() for _ in range(rng.randint(1, 8))]
+        offsets = np.cumsum([0, *map(len, texts)])
+        ids = np.arange(len(texts)) * 100 + batch  # later batches hold earlier places too
+        array, matched = suffix_family.suffix_array(np.frombuffer(b"".join(texts), np.uint8), offsets, ids, np.zeros(len(texts), np.int64))
+        assert array.text.tolist() == sorted(set(array.text.tolist()))
+        first, last, anchor, _ = suffix_family.runs_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        every += len(first)
+        for f, z, at in zip(first, last, anchor, strict=True):
+            doc = int(np.searchsorted(offsets, f, side="right") - 1)
+            data = b"".join(texts)
+            key = (data[at : z + 100], data[f:at])
+            place[key] = min(place.get(key, (10**9, 0)), (int(ids[doc]), int(f - offsets[doc])))
+        found += len(matched) + sum(map(len, family.add(array)))
         assert all(len(a) >= 2 * len(b) for a, b in zip(family.levels, family.levels[1:], strict=False))
-    array, more = family.close()
-    assert set(array["anchor"].tolist()) == seen and len(array) == len(seen)
-    assert found + sum(map(len, more)) == 20 * 50 - len(seen)
+        assert all(x.text.tolist() == sorted(x.text.tolist()) for x in family.levels)
+    array = family.close()
+    assert found == every - len(array) and len(array) == len(place)
+    assert sorted(map(tuple, array.place[["doc", "start"]].tolist())) == sorted(place.values())
 
 
 def test_toxicity_learns_words_and_stems(spark, empty, labels):
@@ -299,6 +323,23 @@ def test_mix_of_null_and_shared_doc_ids(spark):
         assert mixed[f"t{k}"] == taken[key], key
 
 
+def test_mix_keeps_odd_columns_and_takes_the_planned_words(spark):
+    rng = random.Random(12)
+    rows = [(None if i % 4 == 0 else i // 2, sentence(rng, i % 23), "ab"[i % 2], f"x{i}", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `my col` string, `a.b,c` int").repartition(3)
+    planned = {(r.doc_id, r.size, r.source): 0 for r in mixing.plan(docs).collect()}
+    for r in mixing.plan(docs).collect():
+        planned[r.doc_id, r.size, r.source] += r.taken
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns
+    size = {r[3]: (r[0], len(r[1].split()), r[2]) for r in rows}
+    found = Counter()
+    for r in mixed.collect():
+        assert rows[r["a.b,c"]][3] == r["my col"]
+        found[size[r["my col"]]] += len(r.text.split())
+    assert found == Counter({k: v for k, v in planned.items() if v})
+
+
 def test_targets_stop_at_twice_the_size():
     out = mixing.targets({"a": 10, "b": 1000, None: 5})
     assert out["a"] == 20 and out[None] == 10 and sum(out.values()) == 1015 * 1.5
@@ -394,23 +435,66 @@ def test_near_dedup(docs, rows, empty, spark, monkeypatch, short):
     assert len(odd) == 3 and {r.component_id for r in odd} == {None, 7} and all(r.kept for r in odd)
 
 
-def test_kneser_ney_sums_to_one():
-    """Probabilities of all known words and one unknown sum to one after any context."""
-    texts = ["a b a c b a c", "a a b c", "c b a"]
-    data, offsets = kneser_ney.utf8(__import__("pyarrow").array(texts))
-    one, two, three, before, bounds = kneser_ney.grams(data, offsets)
-    back1 = np.full(len(one), kneser_ney.START)
-    back1[1:] = one[:-1]
-    back1[bounds[:-1]] = kneser_ney.START
-    _, first, n = np.unique(three, return_index=True, return_counts=True)
-    model = kneser_ney.smooth({"three": three[first], "before": before[first], "two": two[first], "back1": back1[first], "one": one[first], "count": n})
-    for context in ("", "a ", "a b ", "c b a ", "zz ", "a zz "):
-        total = 0.0
-        for word in ("a", "b", "c", "zz"):
-            whole, _ = model.log_probs(*kneser_ney.utf8(__import__("pyarrow").array([context + word])))
-            part, _ = model.log_probs(*kneser_ney.utf8(__import__("pyarrow").array([context])))
-            total += math.exp(whole[0] - part[0])
-        assert math.isclose(total, 1, rel_tol=1e-9), context
+def plain_kneser_ney(texts):
+    """Trigram model by dictionaries; returns the probability of a word after two others."""
+    tri, bi, uni = Counter(), {}, {}
+    for text in texts:
+        w = ["<s>", "<s>", *re.findall(r"[^ \t-\r]+", text)]
+        tri.update(zip(w, w[1:], w[2:], strict=False))
+    for x, y, z in tri:
+        bi.setdefault((y, z), set()).add(x)
+    for y, z in bi:
+        uni.setdefault(z, set()).add(y)
+    bi, uni = ({k: len(v) for k, v in x.items()} for x in (bi, uni))
+
+    def cut(counts):
+        n = Counter(counts.values())
+        if not n[1] or not n[2]:
+            return lambda c: 0.5
+        y = n[1] / (n[1] + 2 * n[2])
+        raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        d = [min(max(v, 0.05), m) for v, m in zip(raw, (0.95, 1.9, 2.9), strict=True)]
+        return lambda c: d[min(c, 3) - 1]
+
+    d1, d2, d3 = cut(uni), cut(bi), cut(tri)
+    floor = sum(map(d1, uni.values())) / sum(uni.values()) / (len(uni) + 1)
+
+    def p1(z):
+        return (uni[z] - d1(uni[z])) / sum(uni.values()) + floor if z in uni else floor
+
+    def higher(counts, d, context, z, lower):
+        inside = {k: c for k, c in counts.items() if k[:-1] == context}
+        if not inside:
+            return lower
+        total = sum(inside.values())
+        c = counts.get((*context, z), 0)
+        return ((c - d(c)) / total if c else 0) + sum(map(d, inside.values())) / total * lower
+
+    return lambda x, y, z: higher(tri, d3, (x, y), z, higher(bi, d2, (y,), z, p1(z)))
+
+
+def test_kneser_ney_is_the_plain_model_by_lookups_and_by_joins(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice(["", "", "x"]) for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    p = plain_kneser_ney(texts[:25])
+    for context in (("<s>", "<s>"), ("a", "b"), ("c", "zz")):
+        known = {w for t in texts[:25] for w in t.split()}
+        assert math.isclose(sum(p(*context, w) for w in known) + p(*context, "new"), 1, rel_tol=1e-9)
+    docs = spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(texts)] + [(90, "zz a b zz", None, 2), (91, None, "en", 3), (92, " ", "en", 4), (None, texts[0], "de", 5), (3, texts[7], "en", 6)], "doc_id long, text string, lang string, three int").repartition(4)
+    model = kneser_ney.train(docs.where("three < 2"), spark.createDataFrame([(i,) for i in range(25)], "doc_id long"))
+    found = {}
+    for most in (0, 10**6):
+        found[most] = sorted(((r.doc_id is None, r.doc_id or 0, r.lang or "", r.n_words, r.perplexity) for r in kneser_ney.perplexities(docs, model, most).collect()), key=str)
+    assert len(found[0]) == 45
+    for x, y in zip(*found.values(), strict=True):
+        assert x[:4] == y[:4] and (x[4] is None) == (y[4] is None) and (x[4] is None or math.isclose(x[4], y[4], rel_tol=1e-9))
+    by_text = {r.doc_id: r.perplexity for r in kneser_ney.perplexities(docs.where("doc_id != 3"), model).collect()}
+    for i, text in [*enumerate(texts), (90, "zz a b zz")]:
+        if i != 3:
+            w = ["<s>", "<s>", *text.split()]
+            logs = [math.log(p(*w[k : k + 3])) for k in range(len(w) - 2)]
+            assert math.isclose(by_text[i], math.exp(-sum(logs) / len(logs)), rel_tol=1e-9)
+    assert by_text[91] is None and by_text[92] is None
 
 
 def test_kneser_ney_keeps_good_text(docs, rows, empty, labels, spark):

@@ -23,13 +23,13 @@ def ordinal(x: Column) -> Column:
     return F.when(x.isNotNull() & (n > 1), place(x) / (n - 1))
 
 
-@op("rank", 1, axis=CROSS)
+@op("rank", 1, axis=CROSS, gives="pure")
 def _rank(x):
     """place among the date's values, from 0 to 1"""
     return ordinal(x)
 
 
-@op("quantile", 1, 2, axis=CROSS, literals=(1,))
+@op("quantile", 1, 2, axis=CROSS, literals=(1,), gives="pure")
 def _quantile(x, driver=1):
     """rank mapped to a distribution: 0 uniform, 1 normal, 2 Cauchy"""
     p = clip(ordinal(x), 1e-9, 1 - 1e-9)
@@ -38,14 +38,14 @@ def _quantile(x, driver=1):
     return F.tan(F.lit(3.141592653589793) * (p - 0.5)) if driver == 2 else norm_ppf(p)
 
 
-@op("zscore", 1, axis=CROSS)
+@op("zscore", 1, axis=CROSS, gives="pure")
 def _zscore(x):
     """(x - mean) / sample deviation"""
     d = F.stddev_samp(x).over(of_date())
     return fin(F.when(d > TINY, F.try_divide(x - F.avg(x).over(of_date()), d)))
 
 
-@op("normalize", 1, 3, axis=CROSS, literals=(1, 2))
+@op("normalize", 1, 3, axis=CROSS, literals=(1, 2), gives="pure")
 def _normalize(x, use_std=0, limit=0):
     """x - mean, by the sample deviation if asked, clipped if asked"""
     out = x - F.avg(x).over(of_date())
@@ -55,14 +55,14 @@ def _normalize(x, use_std=0, limit=0):
     return clip(out, -abs(limit), abs(limit)) if limit else out
 
 
-@op("winsorize", 1, 2, axis=CROSS, literals=(1,))
+@op("winsorize", 1, 2, axis=CROSS, literals=(1,), gives="pure")
 def _winsorize(x, std=4):
     """clip to mean +- std sample deviations"""
     mean, reach = F.avg(x).over(of_date()), F.coalesce(F.stddev_samp(x).over(of_date()), F.lit(0.0)) * number(std)
     return clip(x, mean - reach, mean + reach)
 
 
-@op("scale", 1, 4, axis=CROSS, literals=(1, 2, 3))
+@op("scale", 1, 4, axis=CROSS, literals=(1, 2, 3), gives="pure")
 def _scale(x, size=1, long=1, short=1):
     """positives sum to size * long, negatives to -size * short"""
     up = F.sum(F.when(x > 0, x)).over(of_date())
@@ -97,33 +97,33 @@ def _group_neutralize(x, g):
     return F.when(g.isNotNull(), x - F.avg(x).over(of_date(g)))
 
 
-@op("group_mean", 2, axis=CROSS, groups=(1,))
+@op("group_mean", 2, axis=CROSS, groups=(1,), gives="first")
 def _group_mean(x, g):
     """group mean, where x is known"""
     return both(x, g, F.avg(x).over(of_date(g)))
 
 
-@op("group_rank", 2, axis=CROSS, groups=(1,))
+@op("group_rank", 2, axis=CROSS, groups=(1,), gives="pure")
 def _group_rank(x, g):
     """place in the group from 0 to 1; 0 alone"""
     return both(x, g, place(x, g) / F.greatest(F.count(x).over(of_date(g)) - 1, F.lit(1)))
 
 
-@op("group_zscore", 2, axis=CROSS, groups=(1,))
+@op("group_zscore", 2, axis=CROSS, groups=(1,), gives="pure")
 def _group_zscore(x, g):
     """(x - group mean) / population deviation; 0 for constant groups"""
     d = F.stddev_pop(x).over(of_date(g))
     return both(x, g, F.when(d > TINY, F.try_divide(x - F.avg(x).over(of_date(g)), d)).otherwise(0.0))
 
 
-@op("group_scale", 2, axis=CROSS, groups=(1,))
+@op("group_scale", 2, axis=CROSS, groups=(1,), gives="pure")
 def _group_scale(x, g):
     """x / sum of |x| in the group"""
     s = F.sum(F.abs(x)).over(of_date(g))
     return both(x, g, F.when(s > TINY, F.try_divide(x, s)).otherwise(0.0))
 
 
-@op("group_backfill", 2, 4, axis=CROSS, groups=(1,), literals=(2, 3))
+@op("group_backfill", 2, 4, axis=CROSS, groups=(1,), literals=(2, 3), gives="first")
 def _group_backfill(x, g, *_):
     """missing values become the group's mean; the window is accepted and not used"""
     return F.coalesce(x, F.when(g.isNotNull(), F.avg(x).over(of_date(g))))

@@ -38,37 +38,37 @@ def truth(x: Column) -> Column:
     return F.coalesce(x != 0, F.lit(False))
 
 
-@op("abs", 1)
+@op("abs", 1, gives="first")
 def _abs(x):
     """absolute value"""
     return F.abs(x)
 
 
-@op("sign", 1)
+@op("sign", 1, gives="first")
 def _sign(x):
     """-1, 0 or 1"""
     return F.signum(x)
 
 
-@op("log", 1)
+@op("log", 1, gives="first")
 def _log(x):
     """natural logarithm; missing unless positive"""
     return F.when(x > 0, F.log(F.greatest(x, F.lit(1e-300))))
 
 
-@op("sqrt", 1)
+@op("sqrt", 1, gives="first")
 def _sqrt(x):
     """square root; 0 for negative values"""
     return F.sqrt(F.greatest(x, F.lit(0.0))) * F.when(x.isNotNull(), 1.0)
 
 
-@op("max", 2)
+@op("max", 2, gives="first")
 def _max(a, b):
     """larger of two; missing if one is"""
     return both(a, b, F.greatest(a, b))
 
 
-@op("min", 2)
+@op("min", 2, gives="first")
 def _min(a, b):
     """smaller of two; missing if one is"""
     return both(a, b, F.least(a, b))
@@ -86,22 +86,22 @@ def _fold(symbol: str):
 
 
 for _name, _symbol in (("add", "+"), ("subtract", "-"), ("multiply", "*"), ("divide", "/"), ("power", "^")):
-    op(_name, 2, 4, literals=(2,))(_fold(_symbol))
+    op(_name, 2, 4, literals=(2,), gives="first")(_fold(_symbol))
 
 
-@op("inverse", 1)
+@op("inverse", 1, gives="first")
 def _inverse(x):
     """1 / x"""
     return divide(1.0, x)
 
 
-@op("reverse", 1)
+@op("reverse", 1, gives="first")
 def _reverse(x):
     """-x"""
     return -x
 
 
-@op("signed_power", 2)
+@op("signed_power", 2, gives="first")
 def _signed_power(a, b):
     """sign(a) * |a| ^ b"""
     return fin(F.signum(a) * F.pow(F.abs(a), b))
@@ -119,13 +119,13 @@ def _or(a, b):
     return both(a, b, flag((a != 0) | (b != 0)))
 
 
-@op("not", 1)
+@op("not", 1, gives="pure")
 def _not(x):
     """1 for 0, else 0"""
     return flag(x == 0)
 
 
-@op("is_nan", 1)
+@op("is_nan", 1, gives="pure")
 def _is_nan(x):
     """1 where missing"""
     return flag(x.isNull())
@@ -137,7 +137,7 @@ def _if_else(c, a, b):
     return F.when(truth(c), a).otherwise(b)
 
 
-@op("truncate", 1, 2, literals=(1,))
+@op("truncate", 1, 2, literals=(1,), gives="first")
 def _truncate(x, most=0.05):
     """clip to +-|most|"""
     return clip(x, -abs(most), abs(most))
@@ -150,7 +150,7 @@ def _check_bucket(*limits):
         raise ExpressionError("bucket: the step must not be 0")
 
 
-@op("bucket", 2, 4, axis=CROSS, literals=(1, 2, 3), check=_check_bucket)
+@op("bucket", 2, 4, axis=CROSS, literals=(1, 2, 3), check=_check_bucket, gives="pure")
 def _bucket(x, *limits):
     """bucket(x, n): n buckets by rank; bucket(x, low, high[, step]): steps from low"""
     if len(limits) == 1:
@@ -226,7 +226,7 @@ def _vec_choose(v, k):
     return fin(F.try_element_at(v.cast("array<double>"), F.lit(k + 1)))
 
 
-@op("densify", 1, axis=CROSS)
+@op("densify", 1, axis=CROSS, gives="pure")
 def _densify(x):
     """code 0..K-1 of the date's distinct values"""
     return F.when(x.isNotNull(), F.dense_rank().over(of_date().orderBy(x.asc_nulls_last())) - 1).cast("double")

@@ -34,6 +34,7 @@ class Op:
     literals: tuple[int, ...] = ()  # which arguments stay plain numbers
     lookback: Callable | None = None  # rows needed before the first; None: without bound
     check: Callable | None = None  # of the plain numbers, before anything is built; raises
+    gives: str = "derived"  # dimension of the result: "pure", "first" (that of the first argument that has one) or "derived"
     text: str = ""
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.operators.search import skeleton
+from panelweave.plans.fields import ALIASES, FIELDS
 from panelweave.plans.syntax import ExpressionError, inline, parse_program
 
 TRIAL_SCHEMA = "skeleton string, dataset_id string, settings string, sharpe double, fitness double, passed boolean, scope string"
@@ -63,24 +64,15 @@ def calibration_pairs(records: DataFrame) -> DataFrame:
     return real.withColumn("predicted", F.try_element_at("predicted_metrics", F.col("metric"))).where("predicted is not null").drop("predicted_metrics")
 
 
-#: Families by substrings of an expression; the longest match decides.
-FAMILIES = {
-    "sentiment": "snt news buzz nws scl12",
-    "volatility": "implied_volatility iv_ hv_ put_call option",
-    "fundamental": "sales ebitda assets debt equity cashflow income capex goodwill",
-    "estimates": "est_ recommendation eps_surprise analyst",
-    "short interest": "short_interest days_to_cover borrow_fee insider",
-    "price": "returns close open vwap volume",
-}
-
-
 def family_of(expression):
-    """Column with the family whose longest matching word is longest."""
-    marks = sorted(((word, family) for family, words in FAMILIES.items() for word in words.split()), key=lambda x: (-len(x[0]), x[0]))
-    out = F.when(F.lit(False), "")
-    for word, family in marks:
-        out = out.when(F.contains(expression, F.lit(word)), family)
-    return out.otherwise("other")
+    """Column with the family of most of the fields that an expression names; mixed if several have as many, else unknown."""
+    by_name = {**FIELDS, **{alias: FIELDS[name] for alias, name in ALIASES.items()}}
+    families = F.create_map(*[F.lit(x) for name, (_, kind) in by_name.items() if kind for x in (name, kind)])
+    names = F.array_distinct(F.regexp_extract_all(expression, F.lit(r"([A-Za-z_][A-Za-z_0-9]*)"), F.lit(1)))
+    votes = F.filter(F.transform(names, lambda n: F.try_element_at(families, n)), lambda x: x.isNotNull())
+    counted = F.transform(F.array_distinct(votes), lambda k: F.struct(F.size(F.filter(votes, lambda v: v == k)).alias("n"), k.alias("family")))
+    most = F.filter(counted, lambda c: c["n"] == F.array_max(F.transform(counted, lambda x: x["n"])))
+    return F.when(F.size(most) == 0, "unknown").when(F.size(most) == 1, most[0]["family"]).otherwise("mixed")
 
 
 def batch_expressions(spark: SparkSession, path: str) -> list[dict]:

@@ -79,6 +79,22 @@ def test_token_counts(spark, docs, rows, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_token_counts_of_byte_level_files(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    assert token_counts.rule_of(public_tokenizers.path("word_bpe_49k.json")) == (token_counts.AT_BLANKS, True)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.rule_of(path) == (token_counts.BEFORE_BLANKS, False)
+    library = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    parts = ["a", "The", "it's", " ", "  ", "\n", "\t ", "\x1c", "\x0b", "\u3000", "\xa0", "9", "42", "é", "́", "<|endoftext|>", "!!", "'ll", "梦"]
+    odd = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(300)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(odd, "doc_id long, text string"), path, split_bytes=3).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False)) for i, t in odd}
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()}
+    assert got == {r[0]: len(library.encode(r[1] or "", add_special_tokens=False)) for r in rows}
+
+
 def test_token_counts_of_model_files(docs, rows):
     import sentencepiece
 

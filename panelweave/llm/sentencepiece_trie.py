@@ -12,33 +12,35 @@ computed once.
   which the last piece before t and t stay apart when both are merged alone.
   It is unique, depends on the prefix only, and gives the library's ids.
 
-Words are cut before each run of marks, which is exact for models without a
-piece in which a mark follows another character; for other models the text is
-one word.
+Texts are cut into words between two characters that stand side by side in no
+piece, which is exact: no piece and no merge spans such a place. A word keeps
+its ids, and whether they decode to the word itself, for as long as the memory
+for it lasts; a text is put together from its words' ids, and decoded from them
+one by one only if some word does not decode to itself.
 
 Defined cases: a null or empty text has no ids and decodes to an empty string;
 a character outside the vocabulary becomes its bytes or the unknown piece;
-repeated rows are encoded row by row; empty tables give empty results; a word
-of any length takes time in proportion to it.
+repeated rows are encoded row by row; empty tables give empty results; a very
+long text is one slice, a word of any length takes time in proportion to it;
+only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import sliced, texts_only
 
 MARK = "▁"
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNIGRAM, BPE = 1, 2
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean"
 
@@ -69,9 +71,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class TrieEncoder:
-    """Encodes and decodes with a .model file. Words seen lately keep their ids, ``memo`` of them at most."""
+    """Encodes and decodes with a .model file. Words seen lately keep their ids, in about ``memo_bytes`` at most."""
 
-    def __init__(self, path: str, memo: int = 150_000):
+    def __init__(self, path: str, memo_bytes: int = 64 << 20):
         import sentencepiece
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -81,8 +83,8 @@ class TrieEncoder:
         self.dummy_prefix = bool(dict(_fields(fields.get(3, b""))).get(3, 1))
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
-        self.memo_size = memo
-        self.memo: dict[str, array] = {}
+        self.memo_bytes = memo_bytes
+        self._forget()
         n = p.vocab_size()
         self.unk = p.unk_id()
         normal = [i for i in range(n) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
@@ -99,10 +101,25 @@ class TrieEncoder:
             for c in reversed(piece):
                 at = at.setdefault(c, {})
             at[""] = piece
-        self.cut = WORD if not any(MARK in x.lstrip(MARK) for x in self.pieces) else re.compile(r"(?s).+")
+        pairs = {x[i : i + 2] for x in self.pieces for i in range(len(x) - 1)}
+        chars = sorted({c for x in pairs for c in x})
+        #: The number of each character that stands beside others in pieces, else 0; or the last, for unknown ones that become one piece.
+        self.number = np.zeros(0x110000, np.uint16)
+        if not self.bytes_ids:
+            self.number[:] = len(chars) + 1
+            self.number[[ord(x) for x in self.pieces if len(x) == 1]] = 0
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joint = np.zeros((len(chars) + 2,) * 2, bool)
+        self.joint[-1, -1] = True
+        for x in pairs:
+            self.joint[self.number[ord(x[0])], self.number[ord(x[1])]] = True
         self.unk_score = min(self.scores.values(), default=0) - 10
         self.apart: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        #: Of pieces that merging their own characters gives, the two parts of the last merge.
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        merged = sorted((x for x in self.pieces if len(x) > 1), key=lambda x: -self.scores[x])
+        self.turn = {x: k for k, x in enumerate(merged)}
+        self.ties = len({self.scores[x] for x in merged}) < len(merged)
 
     # -- BPE: do two pieces stay apart
 
@@ -125,6 +142,8 @@ class TrieEncoder:
             _, i, j, size = heapq.heappop(heap)
             if parts[i] is None or parts[j] is None or len(parts[i]) + len(parts[j]) != size or right[i] != j:
                 continue
+            if size == len(text):
+                self.halves[text] = parts[i], parts[j]
             parts[i], parts[j] = parts[i] + parts[j], None
             right[i] = right[j]
             if right[j] < len(parts):
@@ -136,49 +155,85 @@ class TrieEncoder:
     def _stay(self, a: str, b: str) -> bool:
         found = self.apart.get((a, b))
         if found is None:
-            if len(self.apart) > 300_000:
+            if len(self.apart) > 150_000:
                 self.apart.clear()
-            found = self.apart[a, b] = self._reachable(b) and self._merge(a + b) == [a, b]
+            found = self.apart[a, b] = self._reachable(b) and (self._merge(a + b) == [a, b] if self.ties else self._never_joined(a, b))
         return found
 
+    def _never_joined(self, a: str, b: str) -> bool:
+        """Whether no merge crosses from a to b: undo their merges, the latest first, and see at each state if the two parts
+        at the border would have been merged before what was undone."""
+        turn = self.turn
+        before = len(turn)
+        while True:
+            if turn.get(a + b, before) < before:
+                return False
+            turn_a, turn_b = turn.get(a, -1), turn.get(b, -1)
+            if turn_a < 0 and turn_b < 0:
+                return True
+            if turn_a > turn_b:
+                before, a = turn_a, self._parts(a)[1]
+            else:  # of equal merges the left one comes first
+                before, b = turn_b + 1, self._parts(b)[0]
+
+    def _parts(self, piece: str) -> tuple[str, str]:
+        if piece not in self.halves:
+            self._reachable(piece)
+        return self.halves[piece]
+
     def _reachable(self, piece: str) -> bool:
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self._merge(piece) == [piece]
-        return found
+        if len(piece) == 1:
+            return True
+        if piece not in self.halves and self._merge(piece) != [piece]:
+            self.halves[piece] = None
+        return self.halves[piece] is not None
 
     # -- forward states along a path of the trie
 
-    def _ending(self, word: str, i: int) -> list[str]:
-        """Pieces of two characters or more that end at i, from the shortest to the longest."""
-        found = []
-        at = self.backward.get(word[i - 1])
-        j = i - 2
-        while at is not None and j >= 0:
-            at = at.get(word[j])
-            if at is not None and "" in at:
-                found.append(at[""])
-            j -= 1
-        return found
-
-    def _extend_bpe(self, word: str, i: int, last: list[str]) -> None:
-        for piece in reversed(self._ending(word, i)):
-            j = i - len(piece)
-            if self._reachable(piece) if not j else self.apart.get((last[j], piece)) or (last[j], piece) not in self.apart and self._stay(last[j], piece):
-                last.append(piece)
-                return
-        last.append(word[i - 1])
-
-    def _extend_unigram(self, word: str, i: int, last: list[str], best: list[float]) -> None:
-        top, chosen = best[i - 1] + self.scores.get(word[i - 1], self.unk_score), word[i - 1]
-        for piece in self._ending(word, i):
-            score = best[i - len(piece)] + self.scores[piece]
-            if score > top:
-                top, chosen = score, piece
-        last.append(chosen)
-        best.append(top)
-
-    def _ids(self, word: str, last: list[str]) -> array:
+    def _extend_bpe(self, word: str, start: int, last: list[str]) -> None:
+        """Last pieces of the prefixes longer than ``start``."""
+        backward, apart = self.backward, self.apart
+        for i in range(start + 1, len(word) + 1):
+            chosen = word[i - 1]
+            at, j, found = backward.get(chosen), i - 2, []
+            while at is not None and j >= 0:
+                at = at.get(word[j])
+                if at is None:
+                    break
+                if "" in at:
+                    found.append(at[""])
+                j -= 1
+            while found:  # from the longest on
+                piece = found.pop()
+                j = i - len(piece)
+                if j:
+                    fits = apart.get((last[j], piece))
+                    if fits is None:
+                        fits = self._stay(last[j], piece)
+                else:
+                    fits = self._reachable(piece)
+                if fits:
+                    chosen = piece
+                    break
+            last.append(chosen)
+
+    def _extend_unigram(self, word: str, start: int, last: list[str], best: list[float]) -> None:
+        """Last pieces and best scores of the prefixes longer than ``start``."""
+        for i in range(start + 1, len(word) + 1):
+            chosen = word[i - 1]
+            top = best[i - 1] + self.scores.get(chosen, self.unk_score)
+            at, j = self.backward.get(chosen), i - 2
+            while at is not None and j >= 0:
+                at = at.get(word[j])
+                if at is not None and "" in at:
+                    score = best[j] + self.scores[at[""]]
+                    if score > top:
+                        top, chosen = score, at[""]
+                j -= 1
+            last.append(chosen)
+            best.append(top)
+
+    def _ids(self, word: str, last: list[str]) -> list[int]:
         out: list[int] = []
         i = len(word)
         while i:
@@ -191,44 +246,79 @@ class TrieEncoder:
             elif not out or out[-1] != self.unk:
                 out.append(self.unk)
             i -= len(piece)
-        return array("i", reversed(out))
+        out.reverse()
+        return out
+
+    # -- words that are known
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}  # word -> number
+        self.flat, self.stops, self.plain = array("i"), array("q", [0]), array("b")
+        self.held = 0
 
     def learn(self, words: set[str]) -> None:
-        """Put the ids of these words into the memo."""
-        if len(self.memo) + len(words) > self.memo_size:
-            self.memo.clear()
-        before = ""
+        """Put the ids of these words into the memo, and whether they decode to the word."""
+        before, names = "", self.names
         last, best = [""], [0.0]
         for word in sorted(words):
-            shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                if self.kind == BPE:
-                    self._extend_bpe(word, i, last)
-                else:
-                    self._extend_unigram(word, i, last, best)
-            self.memo[word] = self._ids(word, last)
+            del last[shared + 1 :]
+            if self.kind == BPE:
+                self._extend_bpe(word, shared, last)
+            else:
+                del best[shared + 1 :]
+                self._extend_unigram(word, shared, last, best)
+            ids = self._ids(word, last)
+            self.memo[word] = len(self.plain)
+            self.flat.extend(ids)
+            self.stops.append(len(self.flat))
+            self.plain.append("".join([names[i] for i in ids]) == word or self._text(ids) == word.replace(MARK, " "))
+            self.held += 200 + 4 * len(word) + 4 * len(ids)
             before = word
 
-    def encode_batch(self, texts: list[str]) -> list[array]:
-        cut = [self.cut.findall(self.processor.normalize(x)) if x else [] for x in texts]
-        fresh = {w for x in cut for w in x}.difference(self.memo)
-        if len(self.memo) + len(fresh) > self.memo_size:
-            fresh = {w for x in cut for w in x}
+    def ids_of(self, word: str) -> list[int]:
+        k = self.memo[word]
+        return list(self.flat[self.stops[k] : self.stops[k + 1]])
+
+    def encode_normal(self, normal: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of normalised texts one after another, n + 1 offsets, and whether all words of a text decode to themselves."""
+        n = len(normal)
+        whole = "".join(normal)
+        if not whole:
+            return np.zeros(0, np.int32), np.zeros(n + 1, np.int64), np.ones(n, bool)
+        ends = np.cumsum([0, *map(len, normal)])
+        kinds = self.number[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cut = np.ones(len(whole) + 1, bool)
+        cut[1:-1] = ~self.joint[kinds[:-1], kinds[1:]]
+        cut[ends] = True
+        places = np.flatnonzero(cut)
+        at = places.tolist()
+        words = [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
+        fresh = set(words).difference(self.memo)
+        if self.held > self.memo_bytes:
+            self._forget()
+            fresh = set(words)
         self.learn(fresh)
-        out = []
-        for x in cut:
-            ids = array("i")
-            for w in x:
-                ids += self.memo[w]
-            out.append(ids)
-        return out
-
-    def decode(self, ids) -> str:
+        known = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        # no array may be extended while numpy looks into it
+        stops, flat, plain = (np.frombuffer(x, t).copy() for x, t in ((self.stops, np.int64), (self.flat, np.int32), (self.plain, np.int8)))
+        sizes = stops[known + 1] - stops[known]
+        before = np.cumsum(sizes) - sizes
+        ids = flat[np.repeat(stops[known] - before, sizes) + np.arange(int(sizes.sum()))]
+        first = np.searchsorted(places, ends)
+        bounds = np.append(before, len(ids))[first]
+        odd = np.concatenate([[0], np.cumsum(plain[known] == 0)])[first]
+        return ids, bounds, odd[1:] == odd[:-1]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        ids, bounds, _ = self.encode_normal([self.processor.normalize(x) if x else "" for x in texts])
+        return np.split(ids, bounds[1:-1]) if texts else []
+
+    # -- decoding
+
+    def _text(self, ids) -> str:
         """Text of the ids: marks become blanks, runs of byte pieces are read as UTF-8."""
         parts: list[str] = []
         held = bytearray()
@@ -245,11 +335,16 @@ class TrieEncoder:
             parts.append(" ⁇ " if i == self.unk else self.names[i])
         if held:
             parts.append(held.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
+        return "".join(parts).replace(MARK, " ")
+
+    def unprefixed(self, text: str) -> str:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
+    def decode(self, ids) -> str:
+        return self.unprefixed(self._text(ids))
+
 
-def encode(docs: DataFrame, model: str, batch_chars: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids, sha256 of the decoded text and whether it is the model's normal form of the text.
 
     No shuffle: each worker builds the tries of its own batches.
@@ -257,41 +352,27 @@ def encode(docs: DataFrame, model: str, batch_chars: int = 1 << 20) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TrieEncoder(model)
-        for batch in sliced(batches, 1, batch_chars):
-            ids_of, texts = batch.column(0), batch.column(1).to_pylist()
-            start = 0
-            while start < len(texts):
-                stop, held = start, 0
-                while stop < len(texts) and (stop == start or held < batch_chars):
-                    held += len(texts[stop])
-                    stop += 1
-                part = texts[start:stop]
-                ids = encoder.encode_batch(part)
-                decoded = [encoder.decode(x) for x in ids]
-                normal = [_unmarked(encoder, x) for x in part]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.frombuffer(b"".join(x.tobytes() for x in ids), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids_of.slice(start, stop - start),
-                        pa.array([len(x.encode()) for x in part], pa.int64()),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]),
-                        pa.array([a == b for a, b in zip(decoded, normal, strict=True)]),
-                    ],
-                    names=["doc_id", "n_bytes", "n_tokens", "ids", "decoded_sha256", "round_trip"],
-                )
-                start = stop
+        normalize = encoder.processor.normalize
+        for batch in sliced(batches, 1, batch_bytes):
+            normal = [normalize(x) if x else "" for x in batch.column(1).to_pylist()]
+            ids, bounds, plain = encoder.encode_normal(normal)
+            expected = [encoder.unprefixed(x.replace(MARK, " ")) for x in normal]
+            decoded = [x if same else encoder.decode(ids[a:b].tolist()) for x, same, a, b in zip(expected, plain.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pc.binary_length(batch.column(1)).cast(pa.int64()),
+                    pa.array(np.diff(bounds)),
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
+                    pa.array([a == b for a, b in zip(decoded, expected, strict=True)], pa.bool_()),
+                ],
+                names=["doc_id", "n_bytes", "n_tokens", "ids", "decoded_sha256", "round_trip"],
+            )
 
     return texts_only(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SCHEMA)
 
 
-def _unmarked(encoder: TrieEncoder, text: str) -> str:
-    normal = encoder.processor.normalize(text).replace(MARK, " ") if text else ""
-    return normal[1:] if encoder.dummy_prefix and normal.startswith(" ") else normal
-
-
 def decode(ids: Column | str, model: str) -> Column:
     """Texts of a column of ids."""
     held: dict[str, TrieEncoder] = {}

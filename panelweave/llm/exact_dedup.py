@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import drop_path, new_path, write_table
 
-#: State on disk; without preallocation, which takes 4 MB a store whatever it holds.
+#: State on disk, with one bound on the memory of all stores of an executor, which lies outside the JVM's heap; without
+#: preallocation, which takes 4 MB a store whatever it holds.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "8",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Hits are broadcast up to this many rows (about 100 bytes each), else joined by a shuffle.

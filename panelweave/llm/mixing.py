@@ -32,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from panelweave.llm.common import SPACE, give_back, sliced, utf8, words, write_table
 
+WORD = r"[^\x20\x09-\x0D]+"
 #: Weights in the order of the sources, repeating.
 WEIGHTS = (3, 1, 2)
 MODULUS = 2147483647
@@ -177,29 +177,26 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     planned = keyed(plan(docs, **options), F.col("size").alias("__size"), "taken", "copies", "lo", "hi", "lo2", "hi2")
     names = docs.columns
     row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names]).alias("__row")
-    inner = docs.schema
-
-    def size_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = pa.array(word_count(pa.compute.struct_field(b.column(4), names.index("text"))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], size, b.column(4)], names=[*keys, "__row"])
-            give_back()
-
-    rows = keyed(docs, row)
-    kinds = (LongType(), BooleanType(), StringType(), BooleanType(), LongType())
-    schema = StructType([*(StructField(k, kind) for k, kind in zip(keys, kinds, strict=True)), StructField("__row", inner)])
-    rows = rows.mapInArrow(size_of, schema).withColumn("__nth", F.row_number().over(each))
+    # words are counted in the JVM here, so whole rows don't travel to Python and back
+    size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
+    rows = keyed(docs, size.alias("__size"), row).withColumn("__nth", F.row_number().over(each))
     planned = planned.withColumn("__nth", F.row_number().over(each))
     both = rows.join(planned, [*keys, "__nth"]).where("taken > 0").select("__row", "copies", "lo", "hi", "lo2", "hi2")
     whole = both.where("copies > 0").select(F.explode(F.expr("array_repeat(__row, cast(copies as int))")).alias("__row"))
     full = (F.col("hi") - F.col("lo") + F.col("hi2") - F.col("lo2"))
 
-    @F.pandas_udf("string")
-    def cut(text, lo, hi, lo2, hi2):
-        import pandas as pd
+    at = names.index("text")
 
-        return pd.Series([cut_words(t or "", sorted([(a, b), (c, d)])) for t, a, b, c, d in zip(text, lo, hi, lo2, hi2, strict=True)])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with the words of the spans for their text; the last four columns are the spans."""
+        for batch in batches:
+            spans = zip(*(c.to_pylist() for c in batch.columns[len(names) :]), strict=True)
+            texts = [cut_words(t or "", sorted([(a, b), (c, d)])) for t, (a, b, c, d) in zip(batch.column(at).to_pylist(), spans, strict=True)]
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            give_back()
 
-    part = both.where(full > 0).withColumn("__text", cut(F.col("__row.text"), "lo", "hi", "lo2", "hi2"))
-    part = part.select(F.struct(*[(F.col("__text") if c == "text" else F.col("__row").getField(c)).alias(c) for c in names]).alias("__row"))
-    return whole.union(part).select("__row.*")
+    split = both.where(full > 0).select(*[F.col("__row").getField(c).alias(f"c{i}") for i, c in enumerate(names)], "lo", "hi", "lo2", "hi2")
+    part = split.mapInArrow(cut, docs.schema)
+    return whole.select("__row.*").union(part)

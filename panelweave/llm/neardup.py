@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import BASE, SPACE, mix, shingles, sliced, texts_only, utf8, words, write_table
@@ -127,10 +127,10 @@ def inverted_lists(sets: DataFrame, need) -> DataFrame:
     6 n / 7 shared hashes, has its first shared hash no later than here."""
     entries = _exploded(sets)
     counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = entries.join(counts, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))  # no longer than the set
-    x = F.size("values")
-    kept = shared.where(x >= need).select("id", "n", x.cast("long").alias("x"), F.posexplode(F.slice("values", F.lit(1), x - need + 1)).alias("at", "v"))
-    return kept.select(F.col("v.value").alias("value"), "id", "n", "x", (7 * (F.col("x") - F.col("at")) >= 6 * F.col("n")).alias("inner"))
+    rarest = Window.partitionBy("id").orderBy("df", "value")  # no more rows than the set has hashes
+    shared = entries.join(counts, "value").withColumns({"at": F.row_number().over(rarest), "x": F.count(F.lit(1)).over(Window.partitionBy("id"))})
+    kept = shared.where((F.col("x") >= need) & (F.col("at") <= F.col("x") - need + 1))
+    return kept.select("value", "id", "n", "x", (7 * (F.col("x") - F.col("at") + 1) >= 6 * F.col("n")).alias("inner"))
 
 
 def sketch_need():

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import sliced, texts_only
+from panelweave.llm.common import give_back, sliced, texts_only
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -73,7 +73,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class TrieEncoder:
     """Encodes and decodes with a .model file. Words seen lately keep their ids, in about ``memo_bytes`` at most."""
 
-    def __init__(self, path: str, memo_bytes: int = 64 << 20):
+    def __init__(self, path: str, memo_bytes: int = 48 << 20):
         import sentencepiece
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -369,6 +369,8 @@ def encode(docs: DataFrame, model: str, batch_bytes: int = 1 << 20) -> DataFrame
                 ],
                 names=["doc_id", "n_bytes", "n_tokens", "ids", "decoded_sha256", "round_trip"],
             )
+        del encoder, normalize
+        give_back()
 
     return texts_only(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SCHEMA)
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import sliced, texts_only
+from panelweave.llm.common import give_back, sliced, texts_only
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -146,5 +146,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, batch_bytes
                 n_tokens = pa.array(balanced(texts.to_pylist(), lengths_of), pa.int64())
             n_bytes = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_tokens, pc.greater(n_tokens, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        known.clear()
+        give_back()
 
     return texts_only(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SCHEMA)

@@ -13,17 +13,45 @@ BINS = 50
 
 def moments(df: DataFrame, x: str) -> DataFrame:
     """One row: n, mean, sd, skew, kurtosis (3 for a normal), p01, p05, median, p95, p99."""
-    c = F.col(x)
-    return df.agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.skewness(c).alias("skew"), (F.kurtosis(c) + 3).alias("kurtosis"),
-        *[F.percentile(c, F.lit(p)).alias(name) for name, p in (("p01", 0.01), ("p05", 0.05), ("median", 0.5), ("p95", 0.95), ("p99", 0.99))],
-    )
+    c, names = F.col(x), {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
+    found = dict(zip(names, quantiles(df, x, list(names.values())), strict=True))
+    row = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.skewness(c).alias("skew"), (F.kurtosis(c) + 3).alias("kurtosis"))
+    return row.withColumns({name: F.lit(v).cast("double") for name, v in found.items()})
+
+
+def quantiles(df: DataFrame, x: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles with straight lines between order statistics. Distinct values are counted, cut into ranges and
+    numbered range by range, so no task holds them all; only the values next to a wanted rank come back."""
+    counted = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("k"))
+    parts, starts = _ranges(counted, ["k"])
+    n = parts.agg(F.sum("k").alias("n")).first().n
+    if not n:
+        return [None] * len(shares)
+    ranks = [p * (n - 1) for p in shares]
+    wanted = sorted({f(r) for r in ranks for f in (math.floor, math.ceil)})
+    run = parts.withColumn("stop", F.sum("k").over(Window.partitionBy("part").orderBy("x"))).join(F.broadcast(starts), "part")
+    run = run.select("x", (F.col("k0") + F.col("stop") - F.col("k")).alias("a"), (F.col("k0") + F.col("stop")).alias("b"))
+    found = run.select("x", F.explode(F.filter(F.array(*[F.lit(w) for w in wanted]), lambda r: (r >= F.col("a")) & (r < F.col("b")))).alias("rank")).collect()  # a row for each wanted rank
+    at = {r.rank: r.x for r in found}
+    return [at[math.floor(r)] + (r - math.floor(r)) * (at[math.ceil(r)] - at[math.floor(r)]) for r in ranks]
 
 
 def trimmed(df: DataFrame, x: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows within the two percentiles; the others are dropped."""
-    row = df.agg(F.percentile(x, F.lit(low)).alias("a"), F.percentile(x, F.lit(high)).alias("b")).first()
-    return df.where(F.col(x).between(row.a, row.b))
+    a, b = quantiles(df, x, [low, high])
+    return df.where(F.col(x).between(a, b)) if a is not None else df.where("false")
+
+
+def _ranges(counted: DataFrame, counts: list[str], ranges: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Distinct values x with their ``counts`` and range, and for each range the counts before it (``ranges`` rows)."""
+    bounds = counted.agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)]).alias("q")).first().q or []
+    part = F.lit(0)
+    for q in sorted(set(bounds)):
+        part = part + (F.col("x") > q).cast("int")
+    parts = counted.withColumn("part", part)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("part").agg(*[F.sum(c).alias(c) for c in counts])
+    return parts, sums.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in counts])
 
 
 def _counted(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -37,42 +65,34 @@ def ks(a: DataFrame, b: DataFrame) -> DataFrame:
     Running counts go over value ranges: each range is summed up in parallel and starts from the counts before it.
     """
     counted = _counted(a, b)
-    bounds = counted.agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)]).alias("q")).first().q or []
-    part = F.lit(0)
-    for q in sorted(set(bounds)):
-        part = part + (F.col("x") > q).cast("int")
-    parts = counted.withColumn("part", part)
+    parts, starts = _ranges(counted, ["na", "nb"])
     inner = Window.partitionBy("part").orderBy("x")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows
-    sums = parts.groupBy("part").agg(F.sum("na").alias("a"), F.sum("nb").alias("b"))
-    starts = sums.select("part", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"))
     total = counted.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     run = parts.withColumns({"ca": F.sum("na").over(inner), "cb": F.sum("nb").over(inner)}).join(F.broadcast(starts), "part").crossJoin(F.broadcast(total))
-    return run.agg(F.max(F.abs((F.col("a0") + F.col("ca")) / F.col("ta") - (F.col("b0") + F.col("cb")) / F.col("tb"))).alias("ks"))
+    return run.agg(F.max(F.abs((F.col("na0") + F.col("ca")) / F.col("ta") - (F.col("nb0") + F.col("cb")) / F.col("tb"))).alias("ks"))
 
 
-def wasserstein(a: DataFrame, b: DataFrame, points: int = QUANTILES) -> float:
-    """Mean distance of the quantile functions over a grid of points."""
-    grid = F.array(*[F.lit((i + 0.5) / points) for i in range(points)])
-    q = [df.agg(F.percentile("x", grid).alias("q")).first().q for df in (a, b)]
-    return sum(abs(x - y) for x, y in zip(*q, strict=True)) / points
+def wasserstein(a: DataFrame, b: DataFrame, points: int = QUANTILES, accuracy: int = 1_000_000) -> float:
+    """Mean distance of the quantile functions over a grid of shares from 0.001 to 0.999. Quantiles are sample values, exact
+    for samples of up to ``accuracy`` distinct values and within one in ``accuracy`` of the rank beyond."""
+    grid = F.array(*[F.lit(0.001 + 0.998 * i / (points - 1)) for i in range(points)])
+    q = [df.agg(F.percentile_approx("x", grid, accuracy).alias("q")).first().q for df in (a, b)]
+    return math.fsum(abs(x - y) for x, y in zip(*q, strict=True)) / points
 
 
-def jensen_shannon(a: DataFrame, b: DataFrame, bins: int = BINS) -> float:
-    """Divergence in nats of two histograms over the joint range."""
-    both = _counted(a, b)
-    span = both.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    if span.lo is None or span.hi <= span.lo:
+def jensen_shannon(a: DataFrame, b: DataFrame, bins: int = BINS, cut: float = 0.005) -> float:
+    """Divergence in bits, from 0 to 1, of two histograms between the pooled sample's outer quantiles."""
+    low, high = quantiles(a.select("x").unionByName(b.select("x")), "x", [cut, 1 - cut])
+    if low is None or high <= low:
         return 0.0
-    place = F.least(F.floor((F.col("x") - span.lo) / ((span.hi - span.lo) / bins)), F.lit(bins - 1))
-    rows = both.groupBy(place.alias("bin")).agg(F.sum("na").alias("a"), F.sum("nb").alias("b")).collect()  # ``bins`` rows
+    inside = _counted(a, b).where(F.col("x").between(low, high))
+    place = F.least(F.floor((F.col("x") - low) / (high - low) * bins), F.lit(bins - 1))
+    rows = inside.groupBy(place.alias("bin")).agg(F.sum("na").alias("a"), F.sum("nb").alias("b")).collect()  # ``bins`` rows
+    share = lambda total, k: (k / total if total else 0.0) + 1e-12
     ta, tb = sum(r.a for r in rows), sum(r.b for r in rows)
-    out = 0.0
-    for r in rows:
-        p, q = r.a / ta, r.b / tb
-        m = (p + q) / 2
-        out += sum(0.5 * v * math.log(v / m) for v in (p, q) if v > 0)
-    return out
+    p, q = ([share(total, getattr(r, side)) for r in rows] + [1e-12] * (bins - len(rows)) for side, total in (("a", ta), ("b", tb)))
+    p, q = [x / math.fsum(p) for x in p], [x / math.fsum(q) for x in q]
+    return math.fsum(0.5 * v * math.log2(2 * v / (x + y)) for x, y in zip(p, q, strict=True) for v in (x, y))
 
 
 def panel_correlations(df: DataFrame, x: str) -> DataFrame:

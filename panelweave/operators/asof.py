@@ -17,8 +17,8 @@ from panelweave.plans.syntax import ExpressionError
 
 
 def decisions_grid(decisions: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Each decision date with each instrument (a dimension, broadcast)."""
-    return decisions.select("date").distinct().crossJoin(F.broadcast(instruments.select("sid").distinct()))
+    """Each decision date, of which there are few (broadcast), with each instrument."""
+    return instruments.select("sid").distinct().crossJoin(F.broadcast(decisions.select("date").distinct())).select("date", "sid")
 
 
 def effective(lag_days: int = 0):

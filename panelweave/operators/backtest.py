@@ -76,15 +76,21 @@ def delayed(df: DataFrame, days: int, x: str = "weight", out: str = "held") -> D
     return df.withColumn(out, F.coalesce(F.lag(x, days).over(of_time()), F.lit(0.0)) if days else F.col(x))
 
 
-def positions(panel: Panel, expression: str, settings: SimulationSettings, n_instruments: int | None = None, mask: str | None = None) -> DataFrame:
-    """The panel with signal (after all stages), weight and held (delayed weight)."""
+def positions(panel: Panel, expression: str, settings: SimulationSettings, n_instruments: int | None = None, mask: str | None = None, top: int | None = None) -> DataFrame:
+    """The panel with signal (after all stages), weight and held (delayed weight). top: size of the universe, in place of
+    the settings'."""
     df = panel.with_expressions({"signal": expression}, settings.unitHandling.upper() == "VERIFY")
+    return staged(df, panel, settings, n_instruments, mask, top)
+
+
+def staged(df: DataFrame, panel: Panel, settings: SimulationSettings, n_instruments: int | None = None, mask: str | None = None, top: int | None = None) -> DataFrame:
+    """The stages of ``positions`` over a panel that has its signal."""
     if mask is None:
         adv = "adv20" if "adv20" in panel.fields else None
         if adv is None and {"close", "volume"} <= set(panel.fields):
             adv = "__liquidity"
             df = df.withColumn(adv, F.abs(F.col("close") * F.col("volume")))
-        df = universe(df, UNIVERSES.get(settings.universe, 3000), n_instruments, adv) if adv else df.withColumn("in_universe", F.lit(True))
+        df = universe(df, top or UNIVERSES.get(settings.universe, 3000), n_instruments, adv) if adv else df.withColumn("in_universe", F.lit(True))
         keep = F.col("in_universe")
         if settings.pasteurization.upper() == "ON":
             for c in ("close", "adv20" if "adv20" in panel.fields else "volume"):
@@ -238,14 +244,35 @@ def equity(days: DataFrame) -> DataFrame:
 
 
 def top_positions(df: DataFrame, n: int = 3, x: str = "weight") -> DataFrame:
-    """The largest cells by size; of equals the earliest date, then the least sid."""
-    return df.select("date", "t", "sid", x).orderBy(F.abs(x).desc(), "t", "sid").limit(n)
+    """The largest cells by size, to 12 digits; of equals the earliest date, then the least sid."""
+    return df.select("date", "t", "sid", x).orderBy(F.round(F.abs(x), 12).desc(), "t", "sid").limit(n)
+
+
+def sides_by_year(df: DataFrame, x: str = "signal") -> DataFrame:
+    """year, mean_long, min_long, mean_short, min_short: names above and below the date's mean, over dates with
+    ``MIN_NAMES`` known values; 0 in years without such a date."""
+    known = df.select("t", "date", "sid", F.col(x).alias("__x"))
+    means = known.groupBy("t").agg(F.avg("__x").alias("__mean"), F.count("__x").alias("__n"))
+    sides = known.join(F.broadcast(means), "t").groupBy("t", "date").agg(F.first("__n").alias("n"), F.count_if(F.col("__x") > F.col("__mean")).alias("long"), F.count_if(F.col("__x") < F.col("__mean")).alias("short"))
+    full = F.col("n") >= MIN_NAMES
+    found = [f(F.when(full, F.col(side))).alias(f"{name}_{side}") for side in ("long", "short") for name, f in (("mean", F.avg), ("min", F.min))]
+    return sides.groupBy(F.year("date").alias("year")).agg(*found).fillna(0)
 
 
 def cost_lens(days: DataFrame, bps: float, book: float = 1.0) -> DataFrame:
     return days.withColumn("net_pnl", F.col("pnl") - F.col("turnover") * book * bps / 1e4)
 
 
+def gates_of(found: dict, cutoffs: dict | None = None) -> dict[str, bool]:
+    """Gates that the metrics alone decide."""
+    return {
+        "sharpe": found["sharpe"] > get_cutoff("sharpe_min", cutoffs),
+        "fitness": found["fitness"] > get_cutoff("fitness_min", cutoffs),
+        "turnover": get_cutoff("turnover_min", cutoffs) <= found["turnover_pct"] / 100 <= get_cutoff("turnover_max", cutoffs),
+        "weight_concentration": found["weight_concentration_pct"] / 100 <= get_cutoff("weight_conc_max", cutoffs) + 1e-9,
+    }
+
+
 def simulate(expression: str, panel: Panel, refs: DataFrame | None = None, ref_sharpes: dict[str, float] | None = None, settings: SimulationSettings | dict | None = None, cutoffs: dict | None = None, execution: ExecutionSettings | None = None, log=None) -> dict:
     """Run an expression through the whole back-test.
 
@@ -267,12 +294,7 @@ def simulate(expression: str, panel: Panel, refs: DataFrame | None = None, ref_s
         days = daily(df).cache()
         found = {k: (None if v is None or math.isnan(v) else round(v, 4)) for k, v in metrics(days).first().asDict().items()}
         series = days.orderBy("t").select("t", "date", "pnl").collect()  # a row for each date
-        gates = {
-            "sharpe": found["sharpe"] > get_cutoff("sharpe_min", cutoffs),
-            "fitness": found["fitness"] > get_cutoff("fitness_min", cutoffs),
-            "turnover": get_cutoff("turnover_min", cutoffs) <= found["turnover_pct"] / 100 <= get_cutoff("turnover_max", cutoffs),
-            "weight_concentration": found["weight_concentration_pct"] / 100 <= get_cutoff("weight_conc_max", cutoffs) + 1e-9,
-        }
+        gates = gates_of(found, cutoffs)
         if panel.subuniverse:
             sub_n = panel.df.where(F.col(panel.subuniverse).cast("boolean")).select("sid").distinct().count()
             limit = subuniverse_cutoff(sub_n, min(n, UNIVERSES.get(settings.universe, n)), found["sharpe"], cutoffs)

@@ -133,8 +133,9 @@ def _group_backfill(x, g, *_):
 def _regression_neut(df, out, x, *factors):
     """residual of x on up to five factors and a constant, by date; minimum-norm solution.
 
-    Sums of products are taken by date, a row for each date is solved, and the
-    coefficients are joined back: the cells themselves never leave the JVM.
+    Means and then sums of centred products are taken by date, a row for each
+    date is solved, and the coefficients are joined back: the cells themselves
+    never leave the JVM.
     """
     import numpy as np
 
@@ -143,25 +144,32 @@ def _regression_neut(df, out, x, *factors):
     seen = F.lit(True)
     for c in (x, *factors):
         seen = seen & c.isNotNull()
-    design = [F.lit(1.0), *factors]
-    k = len(design)
+    k = len(factors)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = [F.sum(F.when(seen, design[i] * design[j])).alias(f"a{i}_{j}") for i, j in pairs] + [F.sum(F.when(seen, design[i] * x)).alias(f"b{i}") for i in range(k)]
-    daily = df.groupBy("t").agg(F.count(F.when(seen, 1)).alias("n"), *sums).where(F.col("n") >= k + 1)
+    # centred by date before products are taken: sums of raw products would lose half the digits
+    columns = [x, *factors]
+    means = df.groupBy("t").agg(F.count(F.when(seen, 1)).alias("__n"), *[F.avg(F.when(seen, c)).alias(f"__m{i}") for i, c in enumerate(columns)]).where(F.col("__n") >= k + 2)
+    near = df.join(F.broadcast(means), "t")  # a row for each date
+    centred = [F.when(seen, c - F.col(f"__m{i}")) for i, c in enumerate(columns)]
+    sums = [F.sum(centred[i + 1] * centred[j + 1]).alias(f"a{i}_{j}") for i, j in pairs] + [F.sum(centred[i + 1] * centred[0]).alias(f"b{i}") for i in range(k)]
+    daily = near.groupBy("t").agg(*[F.first(f"__m{i}").alias(f"m{i}") for i in range(k + 1)], *sums)
 
     @F.pandas_udf("array<double>")
     def solve(sums: pd.DataFrame) -> pd.Series:
         out = []
         for row in sums.itertuples(index=False):
+            means, row = row[: k + 1], row[k + 1 :]
             gram = np.zeros((k, k))
             for (i, j), v in zip(pairs, row, strict=False):
                 gram[i, j] = gram[j, i] = v
             size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
-            out.append((np.linalg.pinv(gram / np.outer(size, size), rcond=1e-12, hermitian=True) @ (np.array(row[len(pairs) :]) / size) / size).tolist())
+            slopes = np.linalg.pinv(gram / np.outer(size, size), rcond=1e-12, hermitian=True) @ (np.array(row[len(pairs) :]) / size) / size
+            out.append([means[0] - float(slopes @ np.array(means[1:])), *slopes.tolist()])
         return pd.Series(out)
 
-    beta = daily.select(F.col("t").alias("__t"), solve(F.struct(*[f"a{i}_{j}" for i, j in pairs], *[f"b{i}" for i in range(k)])).alias("__beta"))
+    beta = daily.select(F.col("t").alias("__t"), solve(F.struct(*[f"m{i}" for i in range(k + 1)], *[f"a{i}_{j}" for i, j in pairs], *[f"b{i}" for i in range(k)])).alias("__beta"))
+    design = [F.lit(1.0), *factors]
     fit = F.lit(0.0)
     for i, c in enumerate(design):
         fit = fit + F.col("__beta")[i] * c
-    return df.join(beta, F.col("t") == F.col("__t"), "left").withColumn(out, F.when(seen, x - fit)).drop("__t", "__beta")
+    return df.join(F.broadcast(beta), F.col("t") == F.col("__t"), "left").withColumn(out, F.when(seen, x - fit)).drop("__t", "__beta")

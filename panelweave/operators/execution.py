@@ -93,6 +93,15 @@ def execution_report(df: DataFrame, settings: ExecutionSettings) -> dict:
 
 def capacity_frontier(df: DataFrame, settings: ExecutionSettings, hurdle: float = 1.25, low: float = 1e5, high: float = 1e10, points: int = 24, least_fill: float = 0.5) -> DataFrame:
     """notional, net_sharpe, fill_rate, feasible over a logarithmic grid of book sizes; all of them in one plan."""
+    if not all(isinstance(v, (int, float)) and math.isfinite(v) for v in (hurdle, low, high, least_fill)):
+        raise ValueError("hurdle, low, high and least_fill must be finite numbers")
+    if not 0 < low < high:
+        raise ValueError("the grid needs 0 < low < high")
+    if isinstance(points, bool) or points != int(points) or points < 2:
+        raise ValueError("points must be an integer from 2")
+    if not 0 < least_fill <= 1:
+        raise ValueError("least_fill must lie in (0, 1]")
+    points = int(points)
     grid = [(float(low * (high / low) ** (i / (points - 1))),) for i in range(points)]
     sizes = df.sparkSession.createDataFrame(grid, "__scale double")
     cells = _cells(df).crossJoin(F.broadcast(sizes))  # ``points`` rows
@@ -100,3 +109,10 @@ def capacity_frontier(df: DataFrame, settings: ExecutionSettings, hurdle: float
     out = costed(fills(cells, settings, keys=keys), settings, keys=keys)
     found = report_frame(out, settings, ("__scale",))
     return found.select(F.col("__scale").alias("notional"), "net_sharpe", "fill_rate", ((F.col("net_sharpe") >= hurdle) & (F.col("fill_rate") >= least_fill)).alias("feasible"))
+
+
+def capacity(df: DataFrame, settings: ExecutionSettings, **options) -> dict:
+    """The largest feasible book size of the frontier, and the curve; None where no sampled size is feasible."""
+    curve = [tuple(r) for r in capacity_frontier(df, settings, **options).orderBy("notional").collect()]  # a row for each point
+    best = max((r for r in curve if r[3]), default=None)
+    return {"feasible": best is not None, "capacity_notional": best and round(best[0], 2), "net_sharpe_at_capacity": best and best[1], "curve": [(round(n, 2), s, f) for n, s, f, _ in curve]}

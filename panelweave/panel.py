@@ -74,8 +74,8 @@ class Panel:
 
 
 def densify(facts: DataFrame, dates: DataFrame, instruments: DataFrame) -> DataFrame:
-    """One row for each date and instrument. dates: t, date; instruments: sid and its groups (a dimension)."""
-    grid = dates.crossJoin(F.broadcast(instruments))
+    """One row for each date and instrument. dates: t, date, few and so broadcast; instruments: sid and its groups."""
+    grid = instruments.crossJoin(F.broadcast(dates))
     return grid.join(facts, ["sid", "t"], "left")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelweave.config import ExecutionSettings, SimulationSettings
+from panelweave.config import SimulationSettings
 from panelweave.functions import fidelity, risk
-from panelweave.operators import asof, backtest, execution, search, selection
+from panelweave.operators import asof, backtest, search, selection
 from panelweave.panel import Panel, coverage
 from panelweave.queries import DATE, TIME, Query, _tidy, _tidy_sql, over
 from panelweave.sources import tables
@@ -168,8 +168,7 @@ def turnover_cost(spark, sf_dir):
 
 @query("top_positions", f"{POSITIONS_SQL}, o AS (SELECT date, t, sid, weight FROM held ORDER BY round(abs(weight), 12) DESC, t, sid LIMIT 3) {tidied_sql('o', ['date', 't', 'sid'], ['weight'])}", ("date",))
 def top_positions(spark, sf_dir):
-    df = _held(spark, sf_dir).withColumn("__size", F.round(F.abs("weight"), 12))
-    return tidied(df.orderBy(F.desc("__size"), "t", "sid").limit(3).select("date", "t", "sid", "weight"), "date", "t", "sid")
+    return tidied(backtest.top_positions(_held(spark, sf_dir)), "date", "t", "sid")
 
 
 POOL = {"mom": "ts_delta(qty, 1)", "level": "qty", "price": "-px"}
@@ -234,9 +233,11 @@ def pit_multi(spark, sf_dir):
     return asof.asof_multi(long, _grid(spark, sf_dir, rows), ["price", "quantity"]).select("date", "sid", "price", "quantity", "price__kts")
 
 
-@query("pit_leaks", "SELECT CAST(0 AS BIGINT) AS leaks")
+@query("pit_leaks", f"WITH {tables.REVISIONS_SQL}, served AS ({_ASOF.format(lag=0)}), early AS (SELECT * REPLACE (date - 20 AS date) FROM served) SELECT CAST(year(date) AS INT) AS year, count(*) AS leaks FROM early WHERE knowledge_ts > date OR period_end > date OR (value IS NOT NULL AND knowledge_ts IS NULL) GROUP BY 1")
 def pit_leaks(spark, sf_dir):
-    return asof.leaks(_pit(0)(spark, sf_dir)).agg(F.count(F.lit(1)).alias("leaks"))
+    """Served values, as if each had been served 20 days before."""
+    early = _pit(0)(spark, sf_dir).withColumn("date", F.date_sub("date", 20))
+    return asof.leaks(early).groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("leaks"))
 
 
 # -- statistics
@@ -247,9 +248,12 @@ def var_es_hist(spark, sf_dir):
     return tidied(risk.var_es_frame(_days(spark, sf_dir), 0.95), digits=8)
 
 
-@query("cond_var", f"{POSITIONS_SQL}, l AS (SELECT t, list_sort(list(CASE WHEN t > 0 THEN -pnl END) OVER (ORDER BY t ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)) AS raw FROM days), c AS (SELECT t, list_filter(raw, lambda x: x IS NOT NULL) AS l FROM l), o AS (SELECT t, CASE WHEN t >= 40 THEN l[CAST(ceil(0.95 * len(l)) AS INT)] END AS hist_var, CASE WHEN t >= 40 THEN list_avg(l[CAST(ceil(0.95 * len(l)) AS INT):]) END AS hist_es FROM c) {tidied_sql('o', ['t'], ['hist_var', 'hist_es'], 8)}")
+_T_ES = risk.var_es_t(0.0, 1.0, 6.0, 0.95)[1]
+
+
+@query("cond_var", f"{POSITIONS_SQL}, l AS (SELECT t, list_sort(list(CASE WHEN t > 0 THEN -pnl END) OVER (ORDER BY t ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)) AS raw FROM days), c AS (SELECT t, list_filter(raw, lambda x: x IS NOT NULL) AS l FROM l), o AS (SELECT t, CASE WHEN t >= 40 THEN l[CAST(ceil(0.95 * len(l)) AS INT)] END AS hist_var, CASE WHEN t >= 40 THEN list_avg(l[CAST(ceil(0.95 * len(l)) AS INT):]) END AS hist_es, CASE WHEN t >= 40 THEN list_avg(l) + list_stddev_samp(l) * {_T_ES!r} END AS t_es FROM c) {tidied_sql('o', ['t'], ['hist_var', 'hist_es', 't_es'], 8)}")
 def cond_var(spark, sf_dir):
-    return tidied(risk.conditional_risk(_days(spark, sf_dir), 40).select("t", "hist_var", "hist_es"), "t", digits=8)
+    return tidied(risk.conditional_risk(_days(spark, sf_dir), 40).select("t", "hist_var", "hist_es", "t_es"), "t", digits=8)
 
 
 @query("pivot_heatmap", f"{POSITIONS_SQL}, o AS (SELECT CAST(year(date) AS INT) AS year, " + ", ".join(f"sum(pnl) FILTER (month(date) = {m}) AS m{m}" for m in range(1, 13)) + " FROM days GROUP BY 1) " + tidied_sql("o", ["year"], [f"m{m}" for m in range(1, 13)]))
@@ -263,17 +267,17 @@ def field_coverage(spark, sf_dir):
     return coverage(tables.supplier_month(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("nesting_anti", f"WITH {tables.USER_DAY_SQL} SELECT count(*) AS broken FROM panel a WHERE a.peak IS NOT NULL AND NOT EXISTS (SELECT 1 FROM panel b WHERE b.sid = a.sid AND b.t = a.t AND b.total IS NOT NULL)")
+@query("nesting_anti", f"{MARKET_SQL} SELECT a.t, count(*) AS broken FROM market a WHERE a.px IS NOT NULL AND NOT EXISTS (SELECT 1 FROM market b WHERE b.sid = a.sid AND b.t = a.t AND b.returns IS NOT NULL) GROUP BY a.t")
 def nesting_anti(spark, sf_dir):
-    df = tables.user_day(spark, sf_dir).df
-    return df.where("peak is not null").select("sid", "t").join(df.where("total is not null").select("sid", "t"), ["sid", "t"], "left_anti").agg(F.count(F.lit(1)).alias("broken"))
+    df = market(spark, sf_dir).df
+    return df.where("px is not null").select("sid", "t").join(df.where("returns is not null").select("sid", "t"), ["sid", "t"], "left_anti").groupBy("t").agg(F.count(F.lit(1)).alias("broken"))
 
 
-@query("compare_full_outer", f"{SQL_START}, a AS (SELECT sid, avg(qty) AS x FROM panel WHERE t < 40 AND sid % 3 != 0 GROUP BY sid), b AS (SELECT sid, avg(qty) AS y FROM panel WHERE t >= 40 AND sid % 3 != 1 GROUP BY sid), o AS (SELECT coalesce(a.sid, b.sid) AS key, x AS left_value, y AS right_value, y - x AS delta FROM a FULL JOIN b ON a.sid = b.sid) {tidied_sql('o', ['key'], ['left_value', 'right_value', 'delta'])}")
+@query("compare_full_outer", f"{SQL_START}, a AS (SELECT sid, avg(qty) AS x FROM panel WHERE n >= 9 GROUP BY sid), b AS (SELECT sid, avg(qty) AS y FROM panel WHERE qty <= 5 GROUP BY sid), o AS (SELECT coalesce(a.sid, b.sid) AS key, x AS left_value, y AS right_value, y - x AS delta FROM a FULL JOIN b ON a.sid = b.sid) {tidied_sql('o', ['key'], ['left_value', 'right_value', 'delta'])}")
 def compare_full_outer(spark, sf_dir):
     df = tables.supplier_month(spark, sf_dir).df
     side = lambda when: df.where(when).groupBy(F.col("sid").alias("key")).agg(F.avg("qty").alias("value"))
-    return tidied(selection.compare(side("t < 40 and sid % 3 != 0"), side("t >= 40 and sid % 3 != 1")), "key")
+    return tidied(selection.compare(side("n >= 9"), side("qty <= 5")), "key")
 
 
 @query("pareto_anti", f"{SQL_START}, c AS (SELECT sid, round(avg(qty), 4) AS a, round(avg(n), 4) AS b, round(-avg(px), 4) AS c FROM panel GROUP BY sid) SELECT sid, a, b, c FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND (y.a > x.a OR y.b > x.b OR y.c > x.c))")
@@ -282,9 +286,9 @@ def pareto_anti(spark, sf_dir):
     return search.pareto(df, ["a", "b", "c"])
 
 
-@query("pool_union", f"{SQL_START}, p AS (SELECT sid, qty AS v FROM panel WHERE t < 10 UNION ALL SELECT sid, px FROM panel WHERE t < 10), o AS (SELECT sid, count(v) AS k, avg(v) AS bias FROM p GROUP BY sid) {tidied_sql('o', ['sid', 'k'], ['bias'])}")
+@query("pool_union", f"{SQL_START}, p AS (SELECT sid, qty AS v FROM panel UNION ALL SELECT sid, px FROM panel), o AS (SELECT sid, count(v) AS k, avg(v) AS bias FROM p GROUP BY sid) {tidied_sql('o', ['sid', 'k'], ['bias'])}")
 def pool_union(spark, sf_dir):
-    df = tables.supplier_month(spark, sf_dir).df.where("t < 10")
+    df = tables.supplier_month(spark, sf_dir).df
     pooled = df.select("sid", F.col("qty").alias("v")).unionByName(df.select("sid", F.col("px").alias("v")))
     return tidied(pooled.groupBy("sid").agg(F.count("v").alias("k"), F.avg("v").alias("bias")), "sid", "k")
 
@@ -294,9 +298,12 @@ def ols_slope(spark, sf_dir):
     return tidied(selection.ols(tables.supplier_month(spark, sf_dir).df, "qty", "n"), "points")
 
 
-@query("moments", f"{SQL_START}, o AS (SELECT avg(qty) AS mean, stddev_samp(qty) AS sd, quantile_cont(qty, 0.01) AS p01, quantile_cont(qty, 0.99) AS p99, median(qty) AS median FROM panel) {tidied_sql('o', [], ['mean', 'sd', 'p01', 'p99', 'median'])}")
+_MOMENTS = ["n", "mean", "sd", "skew", "kurtosis", "p01", "p05", "median", "p95", "p99"]
+
+
+@query("moments", f"{SQL_START}, m AS (SELECT avg(qty) AS mu FROM panel), o AS (SELECT count(qty) AS n, avg(qty) AS mean, stddev_samp(qty) AS sd, avg(pow(qty - mu, 3)) / pow(stddev_pop(qty), 3) AS skew, avg(pow(qty - mu, 4)) / pow(stddev_pop(qty), 4) AS kurtosis, quantile_cont(qty, 0.01) AS p01, quantile_cont(qty, 0.05) AS p05, median(qty) AS median, quantile_cont(qty, 0.95) AS p95, quantile_cont(qty, 0.99) AS p99 FROM panel, m) {tidied_sql('o', ['n'], _MOMENTS[1:])}")
 def moments(spark, sf_dir):
-    return tidied(fidelity.moments(tables.supplier_month(spark, sf_dir).df, "qty").select("mean", "sd", "p01", "p99", "median"))
+    return tidied(fidelity.moments(tables.supplier_month(spark, sf_dir).df, "qty").select(*_MOMENTS), "n")
 
 
 @query("ks_distance", f"{SQL_START}, a AS (SELECT qty AS x FROM panel WHERE t < 40 AND qty IS NOT NULL), b AS (SELECT qty AS x FROM panel WHERE t >= 40 AND qty IS NOT NULL), p AS (SELECT x FROM a UNION SELECT x FROM b), o AS (SELECT max(abs((SELECT count(*) FROM a WHERE a.x <= p.x) / CAST((SELECT count(*) FROM a) AS DOUBLE) - (SELECT count(*) FROM b WHERE b.x <= p.x) / CAST((SELECT count(*) FROM b) AS DOUBLE))) AS ks FROM p) {tidied_sql('o', [], ['ks'])}")
@@ -305,16 +312,6 @@ def ks_distance(spark, sf_dir):
     return tidied(fidelity.ks(df.where("t < 40").select(F.col("qty").alias("x")), df.where("t >= 40").select(F.col("qty").alias("x"))))
 
 
-@query("capacity_frontier")
-def capacity(spark, sf_dir):
-    return execution.capacity_frontier(_held(spark, sf_dir), ExecutionSettings(mode="high_fidelity"), hurdle=0.0, low=1e4, high=1e9)
-
-
-@query("pbo")
-def pbo(spark, sf_dir):
-    return selection.pbo_frame(_pool(spark, sf_dir), 8)
-
-
 @query("stepm")
 def stepm(spark, sf_dir):
     return selection.bootstrap_maxima(_pool(spark, sf_dir))

@@ -151,7 +151,11 @@ on_months("cs_densify", "densify(n)", each("CASE WHEN n IS NOT NULL THEN dense_r
 on_months("densify_group", "densify(industry)", each("g", "(SELECT p.sid, p.t, c.g FROM panel p JOIN (SELECT industry, dense_rank() OVER (ORDER BY industry) - 1 AS g FROM (SELECT DISTINCT industry FROM panel)) c ON c.industry = p.industry)"))
 on_months("vector_neut", "vector_neut(qty, n)", each(f"CASE WHEN qty IS NOT NULL AND count(qty) {DATE} >= 2 THEN qty - sum(qty * n) {DATE} / sum(n * n) {DATE} * n END"))
 on_months("regression_neut", "regression_neut(qty, n)", each(f"CASE WHEN regr_count(qty, n) {DATE} >= 3 THEN qty - regr_intercept(qty, n) {DATE} - regr_slope(qty, n) {DATE} * n END"), 4)
-on_months("regression_neut_two", "regression_neut(qty, n, px)", None, 4)
+_RESIDUALS = """WITH m AS (SELECT sid, t, qty AS y, n AS a, px AS b, qty IS NOT NULL AND n IS NOT NULL AND px IS NOT NULL AS ok FROM panel),
+    c AS (SELECT t, y - avg(y) FILTER (ok) OVER d AS y, a - avg(a) FILTER (ok) OVER d AS a, b - avg(b) FILTER (ok) OVER d AS b, sid, ok, count(*) FILTER (ok) OVER d AS k FROM m WINDOW d AS (PARTITION BY t)),
+    s AS (SELECT t, sum(a * a) FILTER (ok) AS aa, sum(a * b) FILTER (ok) AS ab, sum(b * b) FILTER (ok) AS bb, sum(a * y) FILTER (ok) AS ay, sum(b * y) FILTER (ok) AS yb FROM c GROUP BY t)
+    SELECT sid, t, CASE WHEN ok AND k >= 4 THEN y - (ay * bb - yb * ab) / (aa * bb - ab * ab) * a - (yb * aa - ay * ab) / (aa * bb - ab * ab) * b END AS value FROM c JOIN s USING (t)"""
+on_months("regression_neut_two", "regression_neut(qty, n, px)", _RESIDUALS, 4)
 on_months("group_neutralize", "group_neutralize(qty, industry)", each("qty - avg(qty) OVER (PARTITION BY t, industry)"))
 on_months("group_mean", "group_mean(qty, industry)", each("CASE WHEN qty IS NOT NULL THEN avg(qty) OVER (PARTITION BY t, industry) END"))
 on_months("group_rank", "group_rank(qty, sector)", each("CASE WHEN qty IS NOT NULL THEN (row_number() OVER (PARTITION BY t, sector ORDER BY qty NULLS LAST, sid) - 1) / CAST(greatest(count(qty) OVER (PARTITION BY t, sector) - 1, 1) AS DOUBLE) END"))

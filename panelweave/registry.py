@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave import pipeline_queries, queries as language
+from panelweave import method_queries, pipeline_queries, queries as language
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -57,53 +58,34 @@ def from_parquet(spark: SparkSession, path: str, instruments: str | None = None,
     return Panel(df, (*fields, "returns", "adv20", "vwap"), have, (), None, path)
 
 
-@provider("synthetic")
-def synthetic(spark: SparkSession, n: int = 100, start: str = "2020-01-01", end: str = "2020-12-31", seed: int = 11) -> Panel:
-    """Random panel: a market factor, sector factors and idiosyncratic fat-tailed returns with clustered volatility, prices,
-    volumes, sparse sentiment and quarterly fundamentals served after a lag. Each instrument is made by one task from the
-    seed and its id, so the panel does not depend on partitioning."""
-    import numpy as np
-    import pandas as pd
-
-    dates = business_days(spark, start, end)
-    days = [r.date for r in dates.orderBy("t").collect()]  # a row for each day
-    size = len(days)
-    rng = np.random.default_rng(seed)
-    market = 0.0003 + 0.008 * rng.standard_t(5, size) / np.sqrt(5 / 3)
-    sectors = 0.004 * rng.standard_normal((11, size))
-
-    def make(batches):
-        for batch in batches:
-            for sid in batch["id"]:
-                own = np.random.default_rng([seed, int(sid)])
-                sector = int(sid) % 11
-                vol, level = np.empty(size), 1.0
-                shocks = own.standard_t(4, size) / np.sqrt(2)
-                for t in range(size):
-                    vol[t] = level
-                    level = 0.05 + 0.1 * level * shocks[t] ** 2 + 0.85 * level
-                returns = np.clip(own.uniform(0.6, 1.4) * market + sectors[sector] + 0.015 * np.sqrt(vol) * shocks, -0.9, 3)
-                close = own.uniform(10, 200) * np.cumprod(1 + returns)
-                spread = np.abs(own.standard_normal(size)) * 0.01
-                volume = np.exp(own.normal(13, 1) + 0.4 * own.standard_normal(size) + 8 * np.abs(returns))
-                quarter = np.arange(size) // 63
-                sales = np.exp(own.normal(6, 1)) * np.cumprod(1 + own.normal(0.01, 0.05, quarter[-1] + 2))
-                lagged = quarter - 1
-                stale = np.where(lagged >= 0, sales[np.maximum(lagged, 0)], np.nan)
-                assets = stale * own.uniform(1, 4)
-                debt = assets * own.uniform(0.2, 0.7)
-                sparse = np.where(own.random(size) < 0.05, own.normal(0, 1, size), np.nan)
-                frame = pd.DataFrame({"sid": int(sid), "t": np.arange(size), "date": days, "sector": sector, "industry": int(sid) % 33, "subindustry": int(sid) % 66, "open": close * (1 - returns / 2), "high": close * (1 + spread), "low": close * (1 - spread), "close": close, "volume": volume, "returns": returns, "vwap": close, "sales": stale, "assets": assets, "debt": debt, "liabilities": debt, "equity": assets - debt, "snt_news": sparse})
-                yield frame.astype({"sid": "int32", "t": "int32", "sector": "int32", "industry": "int32", "subindustry": "int32"})
-
-    numbers = ("open", "high", "low", "close", "volume", "returns", "vwap", "sales", "assets", "debt", "liabilities", "equity", "snt_news")
-    schema = "sid int, t int, date date, sector int, industry int, subindustry int, " + ", ".join(f"{c} double" for c in numbers)
-    df = clean(spark.range(n).repartition(min(n, 64), "id").mapInPandas(make, schema), numbers)
-    past = Window.partitionBy("sid").orderBy("t")
-    df = df.withColumns({"adv20": F.avg(F.col("close") * F.col("volume")).over(past.rowsBetween(-19, 0)), "adv60": F.avg(F.col("close") * F.col("volume")).over(past.rowsBetween(-59, 0))})
-    middle = df.groupBy("sid").agg(F.avg("adv20").alias("__liquid")).withColumn("sub", F.row_number().over(Window.orderBy(F.desc("__liquid"), "sid")) <= n // 2)
-    df = df.join(F.broadcast(middle.select("sid", "sub")), "sid")
-    return Panel(df, (*numbers, "adv20", "adv60"), ("sector", "industry", "subindustry"), (), "sub", f"synthetic-{n}-{start}-{end}-{seed}")
+def graded_revision_log(values: DataFrame, seed: int = 3, restated: float = 0.02, more: float = 0.4, spread: float = 0.02) -> DataFrame:
+    """Revisions of quarterly values (sid, field, period_end, value, liquidity from 0 to 1, distress): the more liquid an
+    instrument, the sooner it reports (20 days and a binomial rest of up to 25), fourth quarters 10 days later and with
+    half as many restatements again. A restated value has 1 to 4 revisions in all, each 30 to 120 days after the one
+    before, in distress larger and lower by 1 % on average. All draws are hashes of the row, so reruns agree."""
+    key = ["sid", "field", "period_end"]
+
+    def uniform(*salt):
+        return (F.pmod(F.xxhash64(*key, *[F.lit(x) if isinstance(x, int) else x for x in (seed, *salt)]), F.lit(1 << 30)) + 0.5) / (1 << 30)
+
+    fourth = F.month("period_end") == 12
+    slow = F.size(F.filter(F.sequence(F.lit(1), F.lit(25)), lambda i: uniform(1, i) < 0.5 - 0.25 * F.col("liquidity")))
+    first = values.where("value is not null").withColumn("__lag", F.lit(20) + slow + F.when(fourth, 10).otherwise(0))
+    again = uniform(2) < F.when(fourth, 1.5 * restated).otherwise(restated)
+    # 1 and a Poisson number, 3 at most, by its distribution function
+    u, steps, mass, total = uniform(3), F.lit(1), math.exp(-more), 0.0
+    for k in range(2):
+        total += mass
+        steps = steps + (u > total).cast("int")
+        mass *= more / (k + 1)
+    rows = first.withColumn("__k", F.explode(F.sequence(F.lit(1), F.when(again, 1 + steps).otherwise(1))))
+    gap = F.least(F.floor(30 - 25 * F.log(uniform(4, F.col("__k")))), F.lit(120))
+    by = Window.partitionBy(*key).orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    late = F.sum(F.when(F.col("__k") > 1, gap).otherwise(0)).over(by)
+    normal = F.sqrt(-2 * F.log(uniform(5, F.col("__k")))) * F.cos(2 * math.pi * uniform(6, F.col("__k")))
+    moved = 1 + F.when(F.col("distress"), -0.01 + 0.05 * normal).otherwise(spread * normal)
+    value = F.when(F.col("__k") == 1, F.col("value")).otherwise(F.col("value") * moved)
+    return rows.select("sid", "field", "period_end", F.date_add("period_end", (F.col("__lag") + late).cast("int")).alias("knowledge_ts"), value.alias("value"), F.col("__k").alias("rev_seq"))
 
 
 def revision_log(panel: Panel, field: str, report_lag: int = 45, restated: float = 0.2, seed: int = 3) -> DataFrame:
@@ -132,3 +114,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both; of rows with equal keys the new one."""
     kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(new.dropDuplicates(keys))
+
+
+from panelweave.sources import synthetic as _synthetic  # noqa: E402, F401  registers the provider

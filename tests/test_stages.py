@@ -206,12 +206,17 @@ def test_search(panel, tmp_path):
     settings = config.SimulationSettings(neutralization="SECTOR", decay=0, truncation=0.1)
     found = search.evolve(panel, ["-ts_delta(close, 5)", "rank(returns)"], settings, generations=2, population=4)
     assert found["best"] in found["scores"] and found["front"]
+    assert found["log"][0]["evaluated"] + found["log"][0]["pruned"] == 4
     one = search.evaluate(panel, {"e0": "rank(returns)"}, settings).first()
-    whole = backtest.metrics(backtest.daily(backtest.delayed(backtest.weights(backtest.neutralized(panel.with_expressions({"signal": "rank(returns)"}), "signal", "SECTOR", panel.groups), "signal", 0.1), 1))).first()
-    assert math.isclose(one.sharpe, whole.sharpe, rel_tol=1e-6)
-    game = search.Competition(panel, settings, tmp_path, {"a": {"price": "close", "returns": "returns", "volume": "volume"}})
-    game.round(0)
-    assert game.leaderboard()[0]["wins"] == 1 and (tmp_path / "leaderboard.json").exists()
+    whole = backtest.metrics(backtest.daily(backtest.positions(panel, "rank(returns)", settings))).first()
+    assert math.isclose(one.sharpe, whole.sharpe, rel_tol=1e-6) and math.isclose(one.fitness, whole.fitness, rel_tol=1e-6)
+    game = search.Competition(panel, settings, tmp_path, {"a": {"price": "close", "returns": "returns", "volume": "volume"}, "b": {"debt": "debt", "assets": "assets"}})
+    reports = game.round(1)
+    board = {r["player"]: r for r in game.leaderboard()}
+    assert set(board) == {"a", "b"} and sum(r["wins"] for r in board.values()) == int(any(r["passed"] for r in reports.values()))
+    manifest = json.loads((tmp_path / "manifest.json").read_text())
+    assert manifest["rounds"][0]["players"]["b"]["family"] == "fundamental" and (tmp_path / "leaderboard.json").exists()
+    assert all(x["fix"] and x["failed"] for x in json.loads((tmp_path / "lessons.json").read_text()))
 
 
 def test_logs_skip_bad_lines(spark, tmp_path):

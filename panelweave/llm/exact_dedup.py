@@ -12,9 +12,13 @@ different texts, these are told apart by text.
 Of equal texts the row with the largest doc_id stays; of rows that also share
 that doc_id, one.
 
+The number of stores is fixed when a state is born: as many partitions as make
+each about ``STORE_BYTES`` of the first batch, or as ``stores`` says.
+
 Defined cases: null text is the empty text; null doc_ids come before all
-others; an empty table gives an empty result; only doc_id and text are read,
-so other columns cannot clash.
+others; of rows that repeat in full one stays; a very long text is hashed and
+compared whole, a row at a time; an empty table gives an empty result; only
+doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import drop_path, new_path, write_table
+from panelweave.llm.common import drop_path, new_path, parts_for, write_table
 
 #: State on disk, with one bound on the memory of all stores of an executor, which lies outside the JVM's heap; without
 #: preallocation, which takes 4 MB a store whatever it holds.
@@ -34,6 +38,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "8",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Bytes of documents for each store of a new state; a digest takes some 150 bytes there.
+STORE_BYTES = 256 << 20
 #: Hits are broadcast up to this many rows (about 100 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 200_000
 LEDGER = "text_sha256 string, doc_id long, locator string"
@@ -50,16 +56,19 @@ def digest(text: str | Column = "text") -> Column:
 class ExactDeduper:
     """Keyed state over all rows ever added; ``home`` is a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, home: str | None = None):
+    def __init__(self, spark: SparkSession, home: str | None = None, stores: int | None = None):
         self.spark = spark
         self.home = home or new_path(spark, "exact-dedup")
+        self.stores = stores
 
     def add(self, docs: DataFrame) -> None:
         """Take in the rows of ``docs``."""
         docs.select(digest().alias("text_sha256"), F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("locator")).write.mode("append").parquet(f"{self.home}/ledger")
         conf = self.spark.conf
-        before = {k: conf.get(k, None) for k in STATE}
-        for k, v in STATE.items():
+        # a state that exists keeps its number, whatever is set here
+        state = STATE | {"spark.sql.shuffle.partitions": str(self.stores or parts_for(docs, STORE_BYTES))}
+        before = {k: conf.get(k, None) for k in state}
+        for k, v in state.items():
             conf.set(k, v)
         try:
             query = (

@@ -17,10 +17,11 @@ a kept term uses all its terms instead.
 Terms are runs of ASCII letters, digits and non-ASCII bytes, lower-cased A-Z.
 
 Defined cases: a null or empty text has an empty fingerprint, like 1 to another
-empty one and 0 to others; equal texts have equal fingerprints; rows that share
-a doc_id are ordered by text; a null doc_id comes last; a single row is its own
-next document; an empty table gives an empty result; only doc_id and text are
-read.
+empty one and 0 to others; equal texts have equal fingerprints; a very long text
+is one slice, in memory in proportion to its length; rows that share a doc_id
+are ordered by text, repeated rows follow each other; a null doc_id comes last;
+a single row is its own next document; an empty table gives an empty result;
+only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

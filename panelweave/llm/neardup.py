@@ -29,9 +29,13 @@ sketch holds the ``K`` smallest. Documents are linked when 100 * intersection
 All joins are keyed, hot keys are aggregated before shuffles or split by AQE.
 
 Defined cases: null or empty texts and texts without a word have an empty set,
-are linked with nothing and are kept; fewer than five words give one shingle;
-rows that share a doc_id are one vertex; a null doc_id has no component and is
-kept; an empty table gives an empty result; only doc_id and text are read.
+are linked with nothing and are kept; fewer than five words give one shingle; a
+very long text is one slice, in memory in proportion to its length; repeated
+rows are one vertex, as are all rows of a doc_id whose sets no smaller doc_id
+has too (those with such a set belong to that one); a null doc_id has no
+component and is kept, ``keep_one_of_each`` tells its rows apart by text; an
+empty table gives an empty result; only doc_id and text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import BASE, SPACE, mix, shingles, sliced, texts_only, utf8, words, write_table
+from panelweave.llm.common import BASE, SPACE, drop_table, mix, shingles, sliced, texts_only, utf8, words, write_table
 
 K = 64
 NEED = 24
@@ -100,7 +104,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        now = write_table(small, "edges")
+        old, now = now, write_table(small, "edges")
+        drop_table(old)
         before, seen = seen, mark(now)
         if seen == before:
             break
@@ -248,6 +253,7 @@ def link(docs: DataFrame) -> DataFrame:
         nonlocal labels
         likely = write_table(_estimate(pairs, reps), "neardup-likely")
         passed = write_table(_verify(likely, docs).distinct(), "neardup-links")
+        drop_table(likely)
         found = bool(passed.limit(1).count())
         if labels is None:
             labels = write_table(components(passed), "neardup-components")
@@ -284,6 +290,22 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their components, with all their columns."""
-    gone = write_table(link(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "neardup-gone")
-    return docs.join(_small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that are the first of their components, with all their columns.
+
+    Unlike texts that share a doc_id, or have none, are vertices of their own here: the first of a doc_id, by a hash of
+    the text, keeps its place in the order, the others and null doc_ids come after all ids below 2^62.
+    """
+    id_, mark = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    shared = docs.select(id_.alias("__shared"), mark.alias("__mark")).where("__shared is not null").groupBy("__shared").agg(F.min("__mark").alias("__first"), F.max("__mark").alias("__last")).where("__first != __last")
+    shared = write_table(shared.drop("__last"), "neardup-shared")
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("__row")
+    after = F.pmod(F.xxhash64("__doc", "__mark"), F.lit(1 << 62)) + F.lit(1 << 62)
+    own = F.when(F.col("__doc").isNull() | (F.col("__first") != F.col("__mark")), after).otherwise(F.col("__doc"))
+
+    def keyed(*columns) -> DataFrame:
+        rows = docs.select(id_.alias("__doc"), mark.alias("__mark"), *columns)
+        return rows.join(_small(shared), F.col("__doc") == F.col("__shared"), "left").withColumn("__id", own).drop("__doc", "__mark", "__shared", "__first")
+
+    vertices = keyed(F.col("text").alias("text")).withColumnRenamed("__id", "doc_id")
+    gone = write_table(link(vertices).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "neardup-gone")
+    return keyed(row).join(_small(gone), F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")

@@ -23,9 +23,10 @@ sums are taken by slices of the parameter vector, so no task sees more than a
 slice of each. The parameters (a fixed size, 0.8 MB) are broadcast.
 
 Defined cases: null or empty texts have no tokens and score 0 with no mean;
-places beyond the text's ends are a token of their own; repeated rows are
-trained on and scored row by row; an empty table gives an empty result; only
-doc_id and text are read.
+places beyond the text's ends are a token of their own; a very long text is one
+slice of words, trained on and scored in batches; repeated rows are trained on
+and scored row by row, null doc_ids too; an empty table gives an empty result;
+only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

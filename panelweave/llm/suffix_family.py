@@ -54,7 +54,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import BASE, MIX1, give_back, mix, parts_for, table_bytes, texts_only, utf8, write_table
+from panelweave.llm.common import BASE, MIX1, drop_table, give_back, mix, parts_for, table_bytes, texts_only, utf8, write_table
 
 LENGTH = 100
 GRAM = 32
@@ -272,6 +272,7 @@ def repeated_grams(rows: DataFrame, n: int, length: int = LENGTH, input_bytes: i
     bits = np.zeros((buckets, slice_bytes), np.uint8)
     for r in found.toLocalIterator():  # FILTER_BYTES at most
         bits[r.bucket] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.blob), np.uint8)
+    drop_table(found)
     return Filter(bits)
 
 

@@ -51,6 +51,27 @@ def test_run(spark, sf):
     assert library.decode(list(out[0].ids))
 
 
+def test_odd_rows_go_through_all_stages(spark, sf, tmp_path):
+    home, rows = sf
+    texts = [r[1] for r in rows if len(r[1] or "") > 100][:8]
+    odd = [(1, texts[0], "a", 1), (1, texts[0], "a", 1), (1, texts[1], None, 2), (None, texts[2], "b", 3), (None, texts[3], "b", 4), (None, None, "b", 5), (6, "", "c", 6), (7, " ".join(texts * 40), "a", 7)]
+    schema = "doc_id long, text string, source string, `my col` int"
+    spark.createDataFrame(odd, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        found = {r["my col"] for r in docs.collect()}
+        wanted = {1, 2, 3, 4, 5, 6, 7} if name == "toxicity" else {1, 2, 3, 4, 7}
+        assert found - {5, 6} == wanted - {5, 6}, name
+        if name != "mixing":
+            assert found & {5, 6}, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 5
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_registered():
     import __spark_entry__
 

@@ -1,6 +1,15 @@
 """Documents to training tokens: toxicity, exact dedup, near-dedup, mixing, SentencePiece.
 
-Each stage takes (spark, docs, sf_dir) and returns what it keeps.
+Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the
+columns of documents but for the last.
+
+Defined cases, of all stages: an empty table gives an empty result, of the
+stage's columns; very long texts are worked on whole; other columns, whatever
+their names, are passed on untouched until the last stage, which returns its
+own. A null or empty text is clean if the model's bias says so, is a copy of
+other such texts, is near to none, has no words to mix, and so never reaches the
+last stage. Repeated rows become one in exact dedup; unlike texts that share a
+doc_id, or have none, are rows of their own in every stage.
 """
 
 from __future__ import annotations

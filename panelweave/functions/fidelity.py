@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,13 +96,104 @@ def jensen_shannon(a: DataFrame, b: DataFrame, bins: int = BINS, cut: float = 0.
     return math.fsum(0.5 * v * math.log2(2 * v / (x + y)) for x, y in zip(p, q, strict=True) for v in (x, y))
 
 
-def panel_correlations(df: DataFrame, x: str) -> DataFrame:
-    """sid, other, corr over pairs of instruments of a panel, over dates on which both are known."""
+def panel_correlations(df: DataFrame, x: str, most: int = 2000) -> DataFrame:
+    """sid, other, corr over pairs of instruments of a panel, over dates on which both are known. All pairs are a row each,
+    so a panel of over ``most`` instruments is refused: choose some first."""
+    n = df.select("sid").distinct().count()
+    if n > most:
+        raise ValueError(f"{n} instruments make {n * (n - 1) // 2} pairs; at most {most} instruments are paired")
     one = df.select("t", "sid", F.col(x).alias("a")).where("a is not null")
     two = one.select("t", F.col("sid").alias("other"), F.col("a").alias("b"))
     return one.join(two, "t").where("sid < other").groupBy("sid", "other").agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("corr"))
 
 
+#: Least and greatest of each figure of a panel in the market's records, and how much of that span a warning
+#: reaches beyond it.
+EXPECTED = {
+    "sales_g_vol": (0.15, 0.25, 0.20),
+    "gm_mean": (0.32, 0.40, 0.15),
+    "gm_std": (0.18, 0.25, 0.20),
+    "ebitda_kurt": (5.0, 15.0, 0.30),
+    "lev_median": (0.20, 0.30, 0.15),
+    "lev_iqr": (0.20, 0.30, 0.25),
+    "ret_kurt": (6.0, 14.0, 0.25),
+    "paircorr_all": (0.12, 0.25, 0.30),
+    "paircorr_tail": (0.35, 0.55, 0.20),
+    "fund_ar1": (0.70, 0.90, 0.10),
+}
+#: Figures that must not fail.
+HARD = ("lev_median", "ret_kurt", "paircorr_tail")
+QUARTER = 63
+
+
+def verdict(value: float | None, low: float, high: float, reach: float) -> str:
+    if value is None or not math.isfinite(value):
+        return "fail"
+    beyond = max(low - value, value - high, 0.0)
+    return "pass" if not beyond else "warn" if beyond <= reach * (high - low) else "fail"
+
+
+def _excess(df: DataFrame, x: str) -> float | None:
+    return df.agg(F.kurtosis(x).alias("k")).first().k
+
+
+def panel_moments(df: DataFrame, pairs: int = 200) -> dict[str, float | None]:
+    """The ten figures of a panel (sid, t, returns, sales, cogs, ebitda, debt, assets).
+
+    Accounts count from the second quarter on; their margins and leverages are trimmed to the middle 98 %. Growth and
+    memory are taken between quarters, as days in between repeat the same figures. Returns are those beyond the date's
+    mean; correlations are those of the first ``pairs`` instruments, over all dates and over the worst 5 % of them.
+    """
+    df = df.select("sid", "t", "returns", "sales", "cogs", "ebitda", "debt", "assets").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _panel_moments(df, pairs)
+    finally:
+        df.unpersist()
+
+
+def _panel_moments(df: DataFrame, pairs: int) -> dict[str, float | None]:
+    sales = F.greatest(F.col("sales"), F.lit(1e-12))
+    later = df.where(F.col("t") >= QUARTER)
+    ratios = {"gm": (F.col("sales") - F.col("cogs")) / sales, "ebitda": F.col("ebitda") / sales, "lev": F.col("debt") / F.greatest(F.col("assets"), F.lit(1e-12))}
+    cut = {name: trimmed(later.select(x.alias("x")).where("x is not null"), "x") for name, x in ratios.items()}
+    by = Window.partitionBy("sid").orderBy("t")
+    ends = later.where(F.col("t") % QUARTER == 0).select("sid", "t", F.log(sales).alias("s"), ratios["ebitda"].alias("m")).where("s is not null")
+    steps = ends.withColumns({"g": F.col("s") - F.lag("s").over(by), "before": F.lag("m").over(by)})
+    growth = steps.groupBy("sid").agg(F.stddev_pop("g").alias("sd"))
+    gm = cut["gm"].agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd")).first()
+    low, middle, high = quantiles(cut["lev"], "x", [0.25, 0.5, 0.75])
+    r = df.where("t > 0").select("sid", "t", "returns")
+    means = r.groupBy("t").agg(F.avg("returns").alias("m"))
+    beyond = r.join(F.broadcast(means), "t").select((F.col("returns") - F.col("m")).alias("x"))
+    some = r.where(F.col("sid") < pairs)
+    worst = quantiles(some.groupBy("t").agg(F.avg("returns").alias("x")), "x", [0.05])[0]
+    bad = some.groupBy("t").agg(F.avg("returns").alias("m")).where(F.col("m") < worst).select("t") if worst is not None else some.select("t").limit(0)
+    mean_corr = lambda x: panel_correlations(x, "returns", pairs).agg(F.avg("corr").alias("c")).first().c
+    return {
+        "sales_g_vol": quantiles(growth, "sd", [0.5])[0],
+        "gm_mean": gm.m,
+        "gm_std": gm.sd,
+        "ebitda_kurt": _excess(cut["ebitda"], "x"),
+        "lev_median": middle,
+        "lev_iqr": None if low is None else high - low,
+        "ret_kurt": _excess(beyond, "x"),
+        "paircorr_all": mean_corr(some),
+        "paircorr_tail": mean_corr(some.join(F.broadcast(bad), "t")),
+        "fund_ar1": steps.where("before is not null").agg(F.corr("before", "m").alias("c")).first().c,
+    }
+
+
+def panel_report(df: DataFrame, leaks: int | None = None) -> dict:
+    """Figures with verdicts, whether point-in-time values were checked and free of leaks, the hard failures, and whether the
+    panel may be used: no leak, no hard failure and two failures at most."""
+    found = panel_moments(df)
+    figures = {name: {"value": None if found[name] is None else round(found[name], 4), "expected": bounds[:2], "verdict": verdict(found[name], *bounds)} for name, bounds in EXPECTED.items()}
+    failed = [name for name, f in figures.items() if f["verdict"] == "fail"]
+    hard = [name for name in HARD if name in failed]
+    leakage = "not checked" if leaks is None else "none" if leaks == 0 else f"{leaks} rows"
+    return {"figures": figures, "leakage": leakage, "failed": failed, "hard": hard, "ship": leakage == "none" and not hard and len(failed) <= 2}
+
+
 def fidelity_report(real: DataFrame, made: DataFrame) -> dict:
     """Distances and moments of two samples (x), with a verdict for each and whether all pass."""
     a, b = moments(real, "x").first().asDict(), moments(made, "x").first().asDict()

@@ -385,3 +385,27 @@ def wasserstein(spark, sf_dir):
 )
 def jensen_shannon(spark, sf_dir):
     return tidied(spark.createDataFrame([(fidelity.jensen_shannon(*_two(spark, sf_dir)),)], "bits double"))
+
+
+# -- a panel's ten figures, and fronts
+
+
+@query(
+    "panel_moments",
+    f"""{MARKET_SQL}, base AS (SELECT sid, t, returns, rev AS sales, rev * (0.5 + sid % 5 / 20.0) AS cogs, rev * ((sid + t) % 7) / 20 AS ebitda, rev * (sid % 9 + t % 5) / 10 AS debt, rev * 2 AS assets FROM market),
+    later AS (SELECT * FROM base WHERE t >= 63), ends AS (SELECT sid, t, ln(greatest(sales, 1e-12)) AS s, ebitda / greatest(sales, 1e-12) AS m FROM later WHERE t % 63 = 0 AND sales IS NOT NULL),
+    gm AS (SELECT (sales - cogs) / greatest(sales, 1e-12) AS x FROM later WHERE sales IS NOT NULL), gmt AS (SELECT x FROM gm, (SELECT quantile_cont(x, 0.01) AS a, quantile_cont(x, 0.99) AS b FROM gm) WHERE x BETWEEN a AND b),
+    eb AS (SELECT ebitda / greatest(sales, 1e-12) AS x FROM later WHERE sales IS NOT NULL), ebt AS (SELECT x FROM eb, (SELECT quantile_cont(x, 0.01) AS a, quantile_cont(x, 0.99) AS b FROM eb) WHERE x BETWEEN a AND b),
+    lev AS (SELECT debt / greatest(assets, 1e-12) AS x FROM later WHERE assets IS NOT NULL), levt AS (SELECT x FROM lev, (SELECT quantile_cont(x, 0.01) AS a, quantile_cont(x, 0.99) AS b FROM lev) WHERE x BETWEEN a AND b),
+    r AS (SELECT sid, t, returns, returns - avg(returns) {DATE} AS x, avg(returns) {DATE} AS m FROM base WHERE t > 0),
+    o AS (SELECT (SELECT avg(x) FROM gmt) AS gm_mean, (SELECT stddev_pop(x) FROM gmt) AS gm_std, (SELECT avg(pow((x - mu) / sd, 4)) - 3 FROM ebt, (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM ebt)) AS ebitda_kurt,
+        (SELECT median(x) FROM levt) AS lev_median, (SELECT quantile_cont(x, 0.75) - quantile_cont(x, 0.25) FROM levt) AS lev_iqr, (SELECT avg(pow((x - mu) / sd, 4)) - 3 FROM r, (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM r)) AS ret_kurt,
+        (SELECT avg(c) FROM (SELECT corr(a.returns, b.returns) AS c FROM r a JOIN r b ON a.t = b.t AND a.sid < b.sid GROUP BY a.sid, b.sid)) AS paircorr_all)
+    {tidied_sql('o', [], ['gm_mean', 'gm_std', 'ebitda_kurt', 'lev_median', 'lev_iqr', 'ret_kurt', 'paircorr_all'])}""",
+)
+def panel_moments(spark, sf_dir):
+    r, s, t = F.col("rev"), F.col("sid"), F.col("t")
+    df = market(spark, sf_dir).df.select("sid", "t", "returns", r.alias("sales"), (r * (0.5 + s % 5 / 20)).alias("cogs"), (r * ((s + t) % 7) / 20).alias("ebitda"), (r * (s % 9 + t % 5) / 10).alias("debt"), (r * 2).alias("assets"))
+    found = fidelity.panel_moments(df, 2000)
+    names = ["gm_mean", "gm_std", "ebitda_kurt", "lev_median", "lev_iqr", "ret_kurt", "paircorr_all"]
+    return tidied(spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} double" for n in names)))

@@ -184,6 +184,46 @@ def test_components_are_diagnosed(panel):
     assert "snt_news" in search.sparse_fields(panel) and "close" not in search.sparse_fields(panel)
 
 
+def test_panel_moments_are_the_plain_ones(panel):
+    frame = panel.df.select("sid", "t", "returns", "sales", "cogs", "ebitda", "debt", "assets").toPandas().sort_values(["t", "sid"])
+    wide = {c: frame.pivot(index="t", columns="sid", values=c).to_numpy() for c in ("returns", "sales", "cogs", "ebitda", "debt", "assets")}
+    found = fidelity.panel_moments(panel.df)
+
+    def middle(x):
+        x = x[63:].ravel()
+        x = x[np.isfinite(x)]
+        return x[(x >= np.quantile(x, 0.01)) & (x <= np.quantile(x, 0.99))]
+
+    kurtosis = lambda x: (((x - x.mean()) / x.std()) ** 4).mean() - 3
+    gm, eb, lev = middle((wide["sales"] - wide["cogs"]) / wide["sales"]), middle(wide["ebitda"] / wide["sales"]), middle(wide["debt"] / wide["assets"])
+    r = wide["returns"][1:]
+    pairs = np.triu_indices(24, 1)
+    market_ = r.mean(1)
+    margin = (wide["ebitda"] / wide["sales"])[63::63]
+    wanted = {
+        "sales_g_vol": np.median(np.diff(np.log(wide["sales"][63::63]), axis=0).std(0)), "gm_mean": gm.mean(), "gm_std": gm.std(), "ebitda_kurt": kurtosis(eb), "lev_median": np.median(lev),
+        "lev_iqr": np.quantile(lev, 0.75) - np.quantile(lev, 0.25), "ret_kurt": kurtosis((r - market_[:, None]).ravel()), "paircorr_all": np.corrcoef(r.T)[pairs].mean(),
+        "paircorr_tail": np.corrcoef(r[market_ < np.quantile(market_, 0.05)].T)[pairs].mean(), "fund_ar1": np.corrcoef(margin[:-1].ravel(), margin[1:].ravel())[0, 1],
+    }
+    for name, value in wanted.items():
+        assert math.isclose(found[name], value, rel_tol=1e-6, abs_tol=1e-9), name
+    assert [fidelity.verdict(v, 1.0, 2.0, 0.1) for v in (1.0, 2.05, 2.2, None, math.nan)] == ["pass", "warn", "fail", "fail", "fail"]
+    report = fidelity.panel_report(panel.df, 0)
+    assert set(report["figures"]) == set(fidelity.EXPECTED) and report["leakage"] == "none" and report["ship"] == (not report["hard"] and len(report["failed"]) <= 2)
+    with pytest.raises(ValueError):
+        fidelity.panel_correlations(panel.df, "returns", 5)
+
+
+def test_pareto_over_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 12, (300, 3)).astype(float)
+    rows = [(i, *map(float, v)) for i, v in enumerate(values)] + [(900, None, 50.0, 50.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double").repartition(7)
+    best = {i for i, v in enumerate(values) if not ((values >= v).all(1) & (values > v).any(1)).any()}
+    assert {r.id for r in search.pareto(df, ["a", "b", "c"]).collect()} == best
+    assert search.pareto(df.where("id < 0"), ["a", "b"]).count() == 0
+
+
 def test_capacity(spark):
     rng = np.random.default_rng(1)
     returns = 0.0008 + rng.normal(0, 0.01, (120, 20))

@@ -40,14 +40,14 @@ _STRIKES = ", ".join(f"({k})" for k in options.MONEYNESS)
 
 
 @query(
-    "options_surface",
+    "vol_surface",
     f"""{SQL_START}, base AS (SELECT sid, t, 15.0 + (sid * 7 + t * 3) % 20 AS iv, (sid % 10) / 10.0 AS liquidity, ((sid % 7) - 3) / 100.0 + 0.03 AS skew0, CASE WHEN t % 12 < 2 THEN 1.0 ELSE 0.0 END AS crisis FROM panel),
     shaped AS (SELECT *, greatest(-0.85, least(0, -tanh(0.35 + 2.5 * skew0 + 0.1 * crisis))) AS rho, least(0.6 - 0.25 * liquidity + 0.15 * crisis, 0.75) AS eta FROM base),
     grid AS (SELECT *, pow(iv / 100 * greatest(0.85, least(1.15, 1 + 0.08 / ln(12) * ln(tenor / 60.0))), 2) * tenor / 365.0 AS w FROM shaped, (VALUES {_TENORS}) x(tenor), (VALUES {_STRIKES}) y(k)),
     vols AS (SELECT t, tenor, k, sqrt(w / 2 * (1 + rho * eta / sqrt(w) * k + sqrt(pow(eta / sqrt(w) * k + rho, 2) + 1 - rho * rho)) / (tenor / 365.0)) * 100 AS vol FROM grid),
     o AS (SELECT t, tenor, CAST(k AS DOUBLE) AS k, avg(vol) AS mean, min(vol) AS least, max(vol) AS most FROM vols GROUP BY t, tenor, k) {tidied_sql('o', ['t', 'tenor', 'k'], ['mean', 'least', 'most'])}""",
 )
-def options_surface(spark, sf_dir):
+def vol_surface(spark, sf_dir):
     return tidied(options.surface(_smiles(spark, sf_dir)).groupBy("t", "tenor", "k").agg(F.avg("vol").alias("mean"), F.min("vol").alias("least"), F.max("vol").alias("most")), "t", "tenor", "k")
 
 
@@ -60,12 +60,12 @@ _W = [f"pow((20 + (sid * {j + 1} + t) % 15) / 100.0, 2) * {d} / 365.0" for j, d
 
 
 @query(
-    "options_arbitrage",
+    "surface_arbitrage",
     f"""{SQL_START}, w AS (SELECT t, {', '.join(f'{x} AS w{j}' for j, x in enumerate(_W))}, 0.3 + (sid % 5) / 2.0 AS eta, -(sid % 9) / 10.0 AS rho FROM panel)
     SELECT t, count(*) FILTER (w1 - w0 < -1e-8 OR w2 - w1 < -1e-8 OR w3 - w2 < -1e-8) AS falling,
         count(*) FILTER (w2 * eta / sqrt(w2) * (1 + abs(rho)) >= 4 OR w2 * pow(eta / sqrt(w2), 2) * (1 + abs(rho)) > 4 + 1e-9) AS unbounded FROM w GROUP BY t""",
 )
-def options_arbitrage(spark, sf_dir):
+def surface_arbitrage(spark, sf_dir):
     df = tables.supplier_month(spark, sf_dir).df
     w = [F.pow((20 + (F.col("sid") * (j + 1) + F.col("t")) % 15) / 100, F.lit(2)) * d / 365 for j, d in enumerate(options.TENORS)]
     df = df.select("t", F.array(*w).alias("w"), (0.3 + F.col("sid") % 5 / 2).alias("eta"), (-(F.col("sid") % 9) / 10).alias("rho"))
@@ -93,11 +93,11 @@ def garman_klass(spark, sf_dir):
 
 
 @query(
-    "option_density",
+    "call_density",
     f"""{SQL_START}, c AS (SELECT DISTINCT sid, CAST(strike AS DOUBLE) AS strike, greatest(100 + sid % 7 - strike, 0) + 30 * exp(-(strike - 60) / 40.0) + 0.05 * (strike * sid % 3) AS call FROM panel, (SELECT unnest(range(60, 141, 5)) AS strike)),
     o AS (SELECT sid, strike, (lead(call) OVER w - 2 * call + lag(call) OVER w) / 25 * exp(0.01) AS density FROM c WINDOW w AS (PARTITION BY sid ORDER BY strike)), k AS (SELECT * FROM o WHERE density IS NOT NULL) {tidied_sql('k', ['sid', 'strike'], ['density'])}""",
 )
-def option_density(spark, sf_dir):
+def call_density(spark, sf_dir):
     df = tables.instruments(spark, sf_dir).select("sid", F.explode(F.sequence(F.lit(60), F.lit(140), F.lit(5))).alias("strike"))
     call = F.greatest(100 + F.col("sid") % 7 - F.col("strike"), F.lit(0)) + 30 * F.exp(-(F.col("strike") - 60) / 40) + 0.05 * (F.col("strike") * F.col("sid") % 3)
     return tidied(options.density(df.select("sid", F.col("strike").cast("double").alias("strike"), call.alias("call")), ["sid"], 0.01, 1.0), "sid", "strike")

@@ -432,6 +432,8 @@ def brute_components(rows):
 def test_near_dedup(docs, rows, empty, spark, monkeypatch, short):
     monkeypatch.setattr(neardup, "SHORT", short)
     monkeypatch.setattr(neardup, "ROUNDS", 2)
+    if short == 2:
+        monkeypatch.setattr(neardup, "ONE_TASK", 0)  # components over all tasks
     rng = random.Random(8)
     base = sentence(rng, 60).split(" ")
     more = []
@@ -451,6 +453,22 @@ def test_near_dedup(docs, rows, empty, spark, monkeypatch, short):
     assert len(odd) == 3 and {r.component_id for r in odd} == {None, 7} and all(r.kept for r in odd)
 
 
+def test_components_of_one_task_and_of_many_are_the_same(spark, monkeypatch):
+    rng = random.Random(13)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(3, 3)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    one = {tuple(r) for r in neardup.components(edges).collect()}
+    monkeypatch.setattr(neardup, "ONE_TASK", 0)
+    assert one == {tuple(r) for r in neardup.components(edges).collect()}
+    label = {i: i for p in pairs for i in p if p[0] != p[1]}
+    for _ in label:
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert one == set(label.items())
+    assert neardup.components(edges.limit(0)).count() == 0
+
+
 def plain_kneser_ney(texts):
     """Trigram model by dictionaries; returns the probability of a word after two others."""
     tri, bi, uni = Counter(), {}, {}

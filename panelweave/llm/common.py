@@ -7,6 +7,7 @@ instead of word by word.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,6 +76,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver find what nothing refers to any more: only then do executors drop the broadcasts and shuffle files of
+    finished queries, which otherwise fill their memory over many short queries."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete what ``write_table`` wrote, once nothing reads it any more."""
     drop_path(table.sparkSession, table.written_to)

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import BASE, SPACE, drop_table, mix, shingles, sliced, texts_only, utf8, words, write_table
+from panelweave.llm.common import BASE, SPACE, drop_table, mix, shingles, sliced, sweep, texts_only, utf8, words, write_table
 
 K = 64
 NEED = 24
@@ -138,7 +138,8 @@ def components(edges: DataFrame) -> DataFrame:
         before, seen = seen, mark(now)
         if seen == before:
             break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    stars = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return write_table(stars, "neardup-joined")
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
@@ -275,6 +276,7 @@ def link(docs: DataFrame) -> DataFrame:
     named = rows.select("doc_id", *key).join(known, key, "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     reps = write_table(full.join(known, key, "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "neardup-reps")
     lists = write_table(inverted_lists(reps, sketch_need()).withColumns({"x": F.col("n"), "inner": F.lit(True)}), "neardup-lists")
+    sweep(docs.sparkSession)
     labels = None
 
     def settle(pairs: DataFrame) -> bool:
@@ -285,9 +287,10 @@ def link(docs: DataFrame) -> DataFrame:
         drop_table(likely)
         found = bool(passed.limit(1).count())
         if labels is None:
-            labels = write_table(components(passed), "neardup-components")
+            labels = components(passed)
         elif found:
-            labels = write_table(components(passed.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))), "neardup-components")
+            labels = components(passed.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        sweep(docs.sparkSession)
         return found
 
     entries, stats = _lists_now(lists, None, 0)
@@ -298,7 +301,10 @@ def link(docs: DataFrame) -> DataFrame:
         members = write_table(entries.join(_small(long_.select("value"), 200_000), "value", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "neardup-ids")
         settle(_candidates(entries, stats, False, SHORT))
         if members.limit(1).count():
-            lists = write_table(feasible(inverted_lists(full_sets(docs, members), full_need())), "neardup-lists")
+            sets = write_table(full_sets(docs, members), "neardup-sets")
+            lists = write_table(feasible(inverted_lists(sets, full_need())), "neardup-lists")
+            drop_table(sets)
+            sweep(docs.sparkSession)
             turn, last = 0, False
             while not last:
                 # short lists are compared in full once

@@ -217,7 +217,7 @@ def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    ids = write_table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids")
+    ids = write_table(pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct(), "neardup-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,9 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
 Tokens are words of ``[^\\x20\\x09-\\x0D]+`` as written, so that shouting and
-glued-on marks count as other words. The model is trained on documents that
-labels call good, ``max_trusted`` of them at most, the first by a hash of their
-id (a documented bound of the sample, not of its words).
+glued-on marks count as other words. The model is trained on all documents that
+labels call good, but for those held out for the thresholds.
 
 The model is a table: counts of trigrams, numbers of continuations, discounts
 and the mass left to lower orders are keyed aggregations, and nothing but the
@@ -50,6 +49,8 @@ UNIGRAM, BIGRAM, BIGRAM_REST, TRIGRAM, TRIGRAM_REST, UNKNOWN = range(6)
 COLUMNS = "three long, before long, two long, back1 long, one long"
 #: Rows of a model that is sent to the workers; 16 bytes each.
 BROADCAST_ROWS = 6_000_000
+#: Ids of trusted documents that are sent to the workers; beyond them texts are joined to the ids by a shuffle.
+BROADCAST_IDS = 2_000_000
 START = mix(np.array([0x5354], np.uint64))[0]
 
 
@@ -119,7 +120,7 @@ def _counts_of_counts(df: DataFrame, count: str) -> tuple[dict[int, int], int]:
 
 
 def count_trigrams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """three, before, two, back1, one (hashes) and n of the rows of ``docs`` whose doc_id is in ``trusted`` (bounded)."""
+    """three, before, two, back1, one (hashes) and n of the rows of ``docs`` whose doc_id is in ``trusted``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -127,7 +128,8 @@ def count_trigrams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in columns] + [pa.array(n.astype(np.int64))], names=["three", "before", "two", "back1", "one", "n"])
 
-    rows = texts_only(docs).join(F.broadcast(trusted), "doc_id", "left_semi").mapInArrow(count, f"{COLUMNS}, n long")
+    few = trusted.count() <= BROADCAST_IDS
+    rows = texts_only(docs).join(F.broadcast(trusted) if few else trusted, "doc_id", "left_semi").mapInArrow(count, f"{COLUMNS}, n long")
     return rows.groupBy("three", "before", "two", "back1", "one").agg(F.sum("n").alias("n"))
 
 
@@ -274,10 +276,10 @@ def perplexities(docs: DataFrame, model: DataFrame | None, broadcast_rows: int =
     return scored.select("doc_id", "lang", "n_words", _perplexity(F.col("log_p"), F.col("n_words")).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, max_trusted: int = 3000, least: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, kept of every row."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    trusted = good.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    trusted = good.where(~held_out())
     unseen = good.where(held_out())
     scored = write_table(perplexities(docs, train(docs, trusted), broadcast_rows), "kneser-ney-scores")
     known = scored.where("perplexity is not null").join(unseen, "doc_id", "left_semi").withColumn("lang", F.col("lang"))

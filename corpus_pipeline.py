@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm import exact_dedup, mixing, neardup, sentencepiece_trie, toxicity
-from panelweave.llm.common import write_table
+from panelweave.llm.common import shrink, write_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = write_table(docs, f"stage-{name.replace(' ', '-')}")
+            shrink(spark)  # a stage's heap is not the next one's
     return docs
 
 

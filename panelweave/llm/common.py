@@ -83,6 +83,14 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink(spark: SparkSession) -> None:
+    """``sweep``, then a full collection on every executor, after which its JVM gives unused heap back to the system: what one
+    stage's sorts and joins took would otherwise stand beside the next stage's Python workers."""
+    sweep(spark)
+    tasks = 4 * spark.sparkContext.defaultParallelism  # more than there are places, so that every executor gets some
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete what ``write_table`` wrote, once nothing reads it any more."""
     drop_path(table.sparkSession, table.written_to)

@@ -1,8 +1,19 @@
-"""Trusted text of the classifier."""
+"""Trusted text of the classifier, memory of the pipeline's stages."""
 
+import corpus_pipeline
 from panelweave.llm import kneser_ney
 
 
+def test_heaps_are_given_back_between_stages(spark, tmp_path, monkeypatch):
+    seen, beans = [], spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    stages = [(str(k), lambda spark, docs, sf_dir: seen.append(full()) or docs) for k in range(3)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+    assert all(b - a > 1 for a, b in zip(seen, seen[1:], strict=False))
+
+
 def test_all_trusted_text_counts(spark, monkeypatch):
     docs = spark.range(5000).selectExpr("id AS doc_id", "concat('w', id) AS text", "'en' AS lang")
     labels = docs.selectExpr("doc_id", "1 AS quality")

@@ -64,12 +64,20 @@ def fresh(seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, 0.1, N_PARAMETERS).astype(np.float32)
 
 
-def _softmax_log(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax over the rows, in place, and the logarithms of the entries named for each column."""
+    columns = np.arange(x.shape[1])
+    x -= x.max(0)
+    chosen = x[at, columns]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    x /= total
+    return x, chosen - np.log(total)
 
 
 class Network:
+    """Tokens are worked on sorted by class, so that those of a class stand together; scores have a column for each."""
+
     def __init__(self, flat: np.ndarray):
         self.flat = flat.copy()
         self.p = views(self.flat)
@@ -77,43 +85,49 @@ class Network:
 
     def _forward(self, context: np.ndarray, target: np.ndarray):
         p = self.p
-        h = np.tanh(sum(p["embed"][k][context[k]] for k in range(len(SIDES))) + p["hidden"])
-        kind = target // CLASS
-        log_c = _softmax_log(h @ p["class_w"] + p["class_b"])
+        kind = (target // CLASS).astype(np.uint16)
         order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(VOCABULARY // CLASS + 1))
-        return h, kind, log_c, order, cuts
+        context, kind, within = context[:, order], kind[order], target[order] % CLASS
+        cuts = np.searchsorted(kind, np.arange(VOCABULARY // CLASS + 1))
+        h = np.take(p["embed"][0], context[0], axis=0)
+        for k in range(1, len(SIDES)):
+            h += np.take(p["embed"][k], context[k], axis=0)
+        h += p["hidden"]
+        np.tanh(h, out=h)
+        share, log_p = _softmax(p["class_w"].T @ h.T + p["class_b"][:, None], kind)
+        groups = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if a < b]
+        return h, context, kind, within, share, log_p, order, groups
+
+    def _inner(self, c: int, h: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _softmax(self.p["word_w"][c].T @ h.T + self.p["word_b"][c][:, None], within)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h, kind, log_c, order, cuts = self._forward(context, target)
-        out = log_c[np.arange(len(target)), kind]
-        for c in range(VOCABULARY // CLASS):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                out[at] += _softmax_log(h[at] @ self.p["word_w"][c] + self.p["word_b"][c])[np.arange(len(at)), target[at] % CLASS]
+        h, _, _, within, _, log_p, order, groups = self._forward(context, target)
+        for c, at in groups:
+            log_p[at] += self._inner(c, h[at], within[at])[1]
+        out = np.empty_like(log_p)
+        out[order] = log_p
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        h, kind, log_c, order, cuts = self._forward(context, target)
+        h, context, kind, within, d_c, _, _, groups = self._forward(context, target)
         n = len(target)
         grad = np.zeros(N_PARAMETERS, np.float32)
         g = views(grad)
-        d_c = np.exp(log_c)
-        d_c[np.arange(n), kind] -= 1
-        g["class_w"][:], g["class_b"][:] = h.T @ d_c, d_c.sum(0)
-        d_h = d_c @ self.p["class_w"].T
-        for c in range(VOCABULARY // CLASS):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                d_w = np.exp(_softmax_log(h[at] @ self.p["word_w"][c] + self.p["word_b"][c]))
-                d_w[np.arange(len(at)), target[at] % CLASS] -= 1
-                g["word_w"][c], g["word_b"][c] = h[at].T @ d_w, d_w.sum(0)
-                d_h[at] += d_w @ self.p["word_w"][c].T
-        d_h *= 1 - h * h
-        g["hidden"][:] = d_h.sum(0)
+        d_c[kind, np.arange(n)] -= 1
+        g["class_w"][:], g["class_b"][:] = (d_c @ h).T, d_c.sum(1)
+        d_h = self.p["class_w"] @ d_c
+        for c, at in groups:
+            d_w, _ = self._inner(c, h[at], within[at])
+            d_w[within[at], np.arange(d_w.shape[1])] -= 1
+            g["word_w"][c], g["word_b"][c] = (d_w @ h[at]).T, d_w.sum(1)
+            d_h[:, at] += self.p["word_w"][c] @ d_w
+        d_h *= 1 - (h * h).T
+        g["hidden"][:] = d_h.sum(1)
+        d_h = d_h.astype(np.float64)
         for k in range(len(SIDES)):
             for j in range(WIDTH):
-                g["embed"][k][:, j] = np.bincount(context[k], d_h[:, j], VOCABULARY + 1)
+                g["embed"][k][:, j] = np.bincount(context[k], d_h[j], VOCABULARY + 1)
         grad /= n
         self.squares += grad * grad
         self.flat -= rate * grad / np.sqrt(self.squares)

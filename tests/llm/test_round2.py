@@ -1,7 +1,9 @@
-"""Trusted text of the classifier, memory of the pipeline's stages."""
+"""Trusted text of the classifier, memory of the pipeline's stages, work of the pseudo-likelihood network."""
+
+import numpy as np
 
 import corpus_pipeline
-from panelweave.llm import kneser_ney
+from panelweave.llm import kneser_ney, pseudo_likelihood
 
 
 def test_heaps_are_given_back_between_stages(spark, tmp_path, monkeypatch):
@@ -14,6 +16,16 @@ def test_heaps_are_given_back_between_stages(spark, tmp_path, monkeypatch):
     assert all(b - a > 1 for a, b in zip(seen, seen[1:], strict=False))
 
 
+def test_a_step_takes_one_exponential_of_each_logit(monkeypatch):
+    rng, n, taken, exp = np.random.default_rng(3), 500, [], np.exp
+    network = pseudo_likelihood.Network(pseudo_likelihood.fresh())
+    context, target = rng.integers(0, pseudo_likelihood.VOCABULARY + 1, (4, n)), rng.integers(0, pseudo_likelihood.VOCABULARY, n)
+    monkeypatch.setattr(np, "exp", lambda x, **more: taken.append(np.size(x)) or exp(x, **more))
+    network.step(context, target, 0.1)
+    logits = n * (pseudo_likelihood.VOCABULARY // pseudo_likelihood.CLASS + pseudo_likelihood.CLASS)
+    assert sum(taken) == logits
+
+
 def test_all_trusted_text_counts(spark, monkeypatch):
     docs = spark.range(5000).selectExpr("id AS doc_id", "concat('w', id) AS text", "'en' AS lang")
     labels = docs.selectExpr("doc_id", "1 AS quality")

@@ -139,18 +139,21 @@ def fitness(sharpe_, returns, turnover):
 
 def metrics(days: DataFrame, book: float = 1.0, cost_bps: float = CUTOFFS["cost_bps"]) -> DataFrame:
     """One row: sharpe, fitness, turnover_pct, returns_pct, returns_geo_pct, drawdown_pct, margin_bps,
-    weight_concentration_pct, cost_drag_pct, returns_net_pct."""
+    weight_concentration_pct, cost_drag_pct, returns_net_pct.
+
+    A day that loses more than what is invested leaves no geometric return: returns_geo_pct is NaN then, unlike the NULL of
+    no days; one that loses just that makes it -100."""
     invested, year = book / 2, CUTOFFS["annualization"]
     run = days.withColumn("cum", F.when(F.col("t") > 0, F.sum(F.when(F.col("t") > 0, F.col("pnl"))).over(by_day().rowsBetween(*ALL_PAST))))
     run = run.withColumn("fall", F.max("cum").over(by_day().rowsBetween(*ALL_PAST)) - F.col("cum"))
     late = F.col("t") > 0
     p, turn = F.when(late, F.col("pnl")), F.when(F.col("t") > 1, F.col("turnover"))
-    d = F.stddev_pop(p)
+    d, worst = F.stddev_pop(p), F.min(p / invested)
     row = run.agg(
         F.when(d > TINY, F.try_divide(F.avg(p), d) * math.sqrt(year)).otherwise(0.0).alias("sharpe"),
         F.coalesce(F.avg(turn) / book, F.lit(0.0)).alias("turnover"),
         (F.avg(p) * year / invested).alias("returns"),
-        F.when(F.min(p / invested) > -1, F.exp(F.sum(F.log1p(p / invested)) * year / F.count(p)) - 1).alias("geo"),
+        F.when(worst > -1, F.exp(F.sum(F.log1p(p / invested)) * year / F.count(p)) - 1).when(worst == -1, -1.0).when(worst < -1, math.nan).alias("geo"),
         (F.max("fall") / book).alias("drawdown"),
         F.sum(p).alias("total"),
         F.sum(turn).alias("traded"),

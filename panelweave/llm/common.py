@@ -78,8 +78,9 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Let the driver find what nothing refers to any more: only then do executors drop the broadcasts and shuffle files of
-    finished queries, which otherwise fill their memory over many short queries."""
+    finished queries, which otherwise fill their memory over many short queries. The driver's Python gives back what it freed."""
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import NON_TERM, owners, prefixes, sliced, texts_only, utf8, words
+from panelweave.llm.common import NON_TERM, give_back, owners, prefixes, sliced, texts_only, utf8, words
 
 SCHEMA = "doc_id long, score double, predicted int"
 BUCKETS = 1 << 20
 #: Bytes of the beginnings that are features beside whole terms.
 PREFIXES = (4, 5, 6)
+#: Examples whose features are put together at once.
+AT_ONCE = 256
 
 
 @dataclass
@@ -73,13 +75,20 @@ def held_out(doc_id="doc_id"):
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, keep: int = 4096, gap: float = 4.5, steps: int = 400, rate: float = 0.3, decay: float = 2e-3) -> Model:
-    """positive, unlabelled: distinct features of each example."""
+    """positive, unlabelled: distinct features of each example. They are put together some at a time: the driver holds them
+    once, and of the rest only what carries a weight."""
     weights = np.zeros(BUCKETS, np.float32)
     if not positive or not unlabelled:
         return Model(weights, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-20.0 if prior <= 0 else 20.0))
     n_p, n_u = len(positive), len(unlabelled)
-    seen_p = np.bincount(np.concatenate(positive), minlength=BUCKETS)
-    seen_u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS)
+
+    def seen(examples: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(BUCKETS, np.int64)
+        for a in range(0, len(examples), AT_ONCE):
+            total += np.bincount(np.concatenate(examples[a : a + AT_ONCE]), minlength=BUCKETS)
+        return total
+
+    seen_p, seen_u = seen(positive), seen(unlabelled)
     # features told apart best by presence: standardised difference of the two rates
     rate_p, rate_u, both = seen_p / n_p, seen_u / n_u, (seen_p + seen_u) / (n_p + n_u)
     apart = (rate_p - rate_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
@@ -90,9 +99,13 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     place[chosen] = np.arange(len(chosen))
 
     def sparse(examples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(examples)), [len(x) for x in examples])
-        col = place[np.concatenate(examples)]
-        return row[col >= 0], col[col >= 0]
+        rows, cols = [], []
+        for a in range(0, len(examples), AT_ONCE):
+            some = examples[a : a + AT_ONCE]
+            row, col = np.repeat(np.arange(a, a + len(some)), [len(x) for x in some]), place[np.concatenate(some)]
+            rows.append(row[col >= 0])
+            cols.append(col[col >= 0])
+        return np.concatenate(rows), np.concatenate(cols)
 
     (row_p, col_p), (row_u, col_u) = sparse(positive), sparse(unlabelled)
     w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
@@ -118,6 +131,20 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return Model(weights, b)
 
 
+def first_of_each(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """doc_id and features by doc_id, without a copy; of rows that share an id, one."""
+    ids = table.column(0).to_numpy()
+    _, first = np.unique(ids, return_index=True)
+    chunks = table.column(1).chunks
+    ends = np.cumsum([len(c) for c in chunks])
+    flat = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in chunks]
+    for at in first:
+        k = int(np.searchsorted(ends, at, side="right"))
+        offsets, values = flat[k]
+        row = at - (ends[k] - len(chunks[k]))
+        yield int(ids[at]), values[offsets[row] : offsets[row + 1]]
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, **options) -> Model:
     """Model from the labels that are not held out; U is drawn from all documents not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -140,16 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     examples: dict[str, list[np.ndarray]] = {"p": [], "u": []}
     if wanted["p"]:
         found = texts_only(docs).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(extract, "doc_id long, features array<int>")
-        seen = set()
-        table = found.toArrow().sort_by("doc_id")
-        for doc_id, features in zip(table.column(0).to_pylist(), table.column(1), strict=True):
-            if doc_id not in seen:  # of rows that share an id, one
-                seen.add(doc_id)
-                features = features.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                for kind in "pu":
-                    if doc_id in wanted[kind]:
-                        examples[kind].append(features)
-    return fit_nnpu(examples["p"], examples["u"], min(max(prior, 0.0), 1.0), **options)
+        for doc_id, features in first_of_each(found.toArrow()):
+            for kind in "pu":
+                if doc_id in wanted[kind]:
+                    examples[kind].append(features)
+    model = fit_nnpu(examples["p"], examples["u"], min(max(prior, 0.0), 1.0), **options)
+    del examples
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

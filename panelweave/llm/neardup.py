@@ -333,7 +333,8 @@ def link(docs: DataFrame) -> DataFrame:
         settle(_candidates(entries, stats, False, SHORT))
         if members.limit(1).count():
             sets = write_table(full_sets(docs, members), "neardup-sets")
-            lists = write_table(with_bits(feasible(inverted_lists(sets, full_need())), sets), "neardup-lists")
+            # the sets of a large group lie in few files: their hashes are listed by all tasks evenly
+            lists = write_table(with_bits(feasible(inverted_lists(sets.repartition("id"), full_need())), sets), "neardup-lists")
             drop_table(sets)
             sweep(docs.sparkSession)
             turn, last = 0, False

@@ -16,7 +16,14 @@ joins on the hash of an n-gram:
   joined to it, shuffled by hash, and their probabilities to the trigrams of
   each document. AQE splits the shards of frequent n-grams.
 
-Both give the same sums. A document passes if its perplexity is at most that
+Where the trusted text itself may give more rows than that, ``classify`` does
+not write the model of trigrams at all (``by_slices``): it and the documents'
+trigrams would take several times the texts' size. All texts are read once for
+each slice of the middle words; the bigrams and trigrams of a slice are counted,
+joined by hash shard, scored and summed by document, and only these sums and a
+table of words stay. A pass leaves nothing out: its slice of all the trigrams.
+
+All give the same sums. A document passes if its perplexity is at most that
 quantile of its language's trusted documents that the model has not seen;
 languages with fewer than ``least`` of them use the quantile over all such
 documents.
@@ -51,13 +58,37 @@ COLUMNS = "three long, before long, two long, back1 long, one long"
 BROADCAST_ROWS = 6_000_000
 #: Ids of trusted documents that are sent to the workers; beyond them texts are joined to the ids by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Passes over all texts, and over the trusted ones for the counts, of a model that is not sent: the more, the less disk at once.
+SLICES, TRUSTED_SLICES = 12, 3
+#: Middle words of a slice, which are sent to the workers; more make more slices.
+SLICE_WORDS = 1_000_000
+#: Words of a slice's shard on average, at most, and shards of a slice at least.
+SHARD_WORDS, LEAST_SHARDS = 250_000, 48
+#: Words of a slice that are dealt at once.
+DEAL_WORDS = 1 << 18
+#: Bits of a word's hash that are shifted away before it is dealt to a slice, where frequent words are not known yet.
+SHIFT = 33
+#: Words that occur after most others: their bigrams are dealt each by itself, not all to the word's shard.
+FREQUENT = 4096
+MESSAGE = "shard int, kind int, message binary"
+STATISTICS = ("total", "n1", "n2", "n3", "kinds")
+#: Words of more bytes are hashed by ``words``; the first bytes of eight.
+LONG = 64
+ENDS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 START = mix(np.array([0x5354], np.uint64))[0]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each word: its hash, the hashes of the bigram and trigram that it ends and of the bigram before it; and the
     texts' offsets. Two start marks stand before each text."""
-    one, _, _, bounds = words(data, offsets, SPACE, lower=False)
+    one, back1, back2, bounds = backs(data, offsets)
+    before = bigram(back2, back1)
+    return one, bigram(back1, one), trigram(before, one), before, bounds
+
+
+def backs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: its hash and those of the word before it and of the one before that; and the texts' offsets."""
+    one, bounds = hashed(data, offsets)
     n = len(one)
     back1, back2 = np.full(n, START), np.full(n, START)
     back1[1:], back2[2:] = one[:-1], one[:-2]
@@ -67,11 +98,50 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     back2[seconds[seconds < n]] = START
     starts = bounds[:-1][np.diff(bounds) > 1] + 1
     back2[starts] = START
+    return one, back1, back2, bounds
+
+
+def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, as written, and n + 1 offsets of each text's words: ``words`` in less time, eight bytes at once."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    blank = SPACE[data]
+    edge = np.ones(len(data), bool)
+    edge[1:] = blank[:-1]
+    heads = offsets[:-1]
+    edge[heads[heads < len(data)]] = True
+    starts = np.flatnonzero(edge & ~blank)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    stop = np.ones(len(data), bool)
+    stop[:-1] = blank[1:]
+    tails = offsets[1:] - 1
+    stop[tails[tails >= 0]] = True
+    lengths = np.flatnonzero(stop & ~blank) + 1 - starts
+    eights = np.ndarray(len(data) + 1, np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix((eights[starts] & ENDS[np.minimum(lengths, 8)]) * BASE + lengths.astype(np.uint64) * MIX1)
+        which, done = np.flatnonzero((lengths > 8) & (lengths <= LONG)), 8
+        while len(which):
+            out[which] = mix(out[which] * BASE + (eights[starts[which] + done] & ENDS[np.minimum(lengths[which] - done, 8)]))
+            done += 8
+            which = which[lengths[which] > done]
+    which = np.flatnonzero(lengths > LONG)
+    if len(which):
+        ends = np.concatenate([[0], np.cumsum(lengths[which])])
+        at = np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], lengths[which])
+        out[which] = words(data[at], ends, SPACE, lower=False)[0]
+    return out, np.searchsorted(starts, offsets)
+
+
+def bigram(back1: np.ndarray, one: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(back1 * BASE + one * MIX1)
+
+
+def trigram(before: np.ndarray, one: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        two = mix(back1 * BASE + one * MIX1)
-        before = mix(back2 * BASE + back1 * MIX1)
-        three = mix(before * BASE + one)
-    return one, two, three, before, bounds
+        return mix(before * BASE + one)
 
 
 @dataclass
@@ -268,6 +338,296 @@ def joined_up(rows: DataFrame, model: DataFrame) -> DataFrame:
     return texts.join(sums, "row", "left").select("doc_id", "lang", "n_words", F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
 
 
+def _message(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def _read(messages: list, *types) -> list[np.ndarray]:
+    """The arrays of all messages, put together."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in types]
+    for message in messages:
+        data = message.as_buffer()
+        at = 8 * len(types)
+        for into, t, n in zip(found, types, np.frombuffer(data, np.int64, len(types)), strict=True):
+            into.append(np.frombuffer(data, t, int(n), at))
+            at += int(n) * np.dtype(t).itemsize
+    return [np.concatenate(x) for x in found]
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys side by side, and where each run of them begins in it."""
+    order = np.argsort(keys, kind="stable")
+    return order, _heads(keys[order])
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _runs(heads: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(heads, n)).astype(np.uint32)
+
+
+def _slice(key, slices: int, shift: int):
+    """Slice of a word, of its hash in the JVM or in numpy."""
+    if isinstance(key, np.ndarray):
+        return (key >> np.uint64(shift)) % np.uint64(slices)
+    return F.shiftrightunsigned(key, shift) % slices
+
+
+def _even(keys: np.ndarray, weights: np.ndarray, slices: int) -> int:
+    """The shift that deals these words most evenly."""
+    return min(range(1, 41), key=lambda shift: np.bincount(_slice(keys, slices, shift).astype(np.int64), weights, slices).max())
+
+
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key & np.uint64(0x7FFFFFFF)) % np.uint64(shards)).astype(np.int32)
+
+
+def _batch(shards: list[int], kind: int, messages: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([kind] * len(shards), pa.int32()), pa.array(messages, pa.binary())], names=["shard", "kind", "message"])
+
+
+def _cuts(found: list[float]) -> np.ndarray:
+    return np.array([0.0, *found])
+
+
+def deal(texts: DataFrame, k: int, slices: int, shift: int, shards: int, frequent: np.ndarray | None) -> DataFrame:
+    """Messages of slice ``k``: the bigrams whose first word is in it, each with the words before it, by text.
+
+    texts: row (of the text), text, trusted. A bigram has one shard: that of its last word, or its own where that word is
+    among the sorted ``frequent`` (None: all are).
+    """
+
+    def pack(back1, one, before, row, trusted):
+        two = bigram(back1, one)
+        by = two.copy()
+        if frequent is not None:
+            at = np.minimum(np.searchsorted(frequent, one), max(len(frequent) - 1, 0))
+            rare = frequent[at] != one if len(frequent) else np.ones(len(one), bool)
+            by[rare] = one[rare]
+        shard = _shard(by, shards)
+        order = np.lexsort((row, before, two, shard))
+        back1, one, before, row, trusted, two, shard = (x[order] for x in (back1, one, before, row, trusted, two, shard))
+        heads = _heads(two, before, row)
+        n = _runs(heads, len(two)) * 2 + trusted[heads]  # the last bit: trusted
+        back1, one, before, row, two, shard = (x[heads] for x in (back1, one, before, row, two, shard))
+        pairs = _heads(two, shard)
+        sizes = _runs(pairs, len(two))
+        starts = _heads(shard)
+        ends = np.append(starts[1:], len(shard))
+        cut, stop = np.searchsorted(pairs, starts), np.searchsorted(pairs, ends)
+        yield _batch(
+            shard[starts].tolist(), 0, [_message(back1[pairs[c:d]], one[pairs[c:d]], sizes[c:d], before[a:b], row[a:b], n[a:b]) for a, b, c, d in zip(starts, ends, cut, stop, strict=True)]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in sliced(batches):
+            one, back1, back2, bounds = backs(*utf8(batch.column(1)))
+            at = np.flatnonzero(_slice(back1, slices, shift) == k)
+            text = np.searchsorted(bounds, at, side="right") - 1
+            row = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            trusted = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32)
+            held.append((back1[at], one[at], bigram(back2[at], back1[at]), row[text], trusted[text]))
+            size += len(at)
+            if size >= DEAL_WORDS:
+                yield from pack(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield from pack(*map(np.concatenate, zip(*held, strict=True)))
+
+    return texts.select("row", "text", "trusted").mapInArrow(run, MESSAGE)
+
+
+@dataclass
+class Shard:
+    """Bigrams and trigrams of one shard of ``deal``, each once, and the trigrams' texts."""
+
+    back1: np.ndarray
+    one: np.ndarray
+    #: Number of words that trusted text has before the bigram.
+    types: np.ndarray
+    #: For each trigram: its bigram, the bigram before its last word, its count in trusted text, its number of texts.
+    of: np.ndarray
+    before: np.ndarray
+    count: np.ndarray
+    texts: np.ndarray
+    #: In the trigrams' order: each text and how often it has the trigram.
+    row: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of_messages(cls, messages: list) -> Shard:
+        back1, one, sizes, before, row, n = _read(messages, np.uint64, np.uint64, np.uint32, np.uint64, np.uint64, np.uint32)
+        _, first, same = np.unique(bigram(back1, one), return_index=True, return_inverse=True)
+        last = np.repeat(np.arange(len(one)), sizes)
+        order, heads = _groups(trigram(before, one[last]))
+        n, row = n[order], row[order]
+        n, trusted = n >> np.uint32(1), (n & np.uint32(1)).astype(np.int64)
+        count = np.add.reduceat(n * trusted, heads) if len(heads) else np.zeros(0, np.int64)
+        of = same[last[order[heads]]]
+        return cls(back1[first], one[first], np.bincount(of[count > 0], minlength=len(first)), of, before[order[heads]], count, _runs(heads, len(n)), row, n)
+
+
+def statistics(messages: DataFrame) -> DataFrame:
+    """what, key and sums. Of words (0): numbers of trigrams with it in the middle, of bigrams that begin with it and have 1,
+    2 or more types (n1, n2, n3), of bigrams that end with it (kinds). How often (kinds) a trigram has a count (1) or a
+    bigram a number of types (2), more than 4 counting as 5."""
+
+    def run(table: pa.Table) -> pa.Table:
+        s = Shard.of_messages(table["message"].combine_chunks() if table.num_rows else [])
+        parts = []
+
+        def add(what, keys, *values):
+            order, heads = _groups(keys)
+            if len(heads):
+                parts.append([np.full(len(heads), what), keys[order[heads]].view(np.int64), *(np.add.reduceat(np.asarray(v, np.int64)[order], heads) for v in values)])
+
+        seen = s.types > 0
+        types, none = s.types[seen], np.zeros(int(seen.sum()), np.int64)
+        add(0, s.back1[seen], types, types == 1, types == 2, types > 2, none)
+        add(0, s.one[seen], none, none, none, none, none + 1)
+        for what, values in ((1, s.count[s.count > 0]), (2, types)):
+            zero = np.zeros(len(values), np.int64)
+            add(what, np.minimum(values, 5).astype(np.uint64), zero, zero, zero, zero, zero + 1)
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 7
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["what", "key", *STATISTICS])
+
+    return messages.groupBy("shard").applyInArrow(run, "what long, key long, " + ", ".join(f"{c} long" for c in STATISTICS))
+
+
+def _summed(table: DataFrame | None, more: DataFrame, keys: list[str], values: list[str], name: str) -> DataFrame:
+    """``more`` added to the sums of ``table``, whose files go."""
+    out = write_table((more if table is None else table.unionByName(more)).groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values)), name)
+    if table is not None:
+        drop_table(table)
+    return out
+
+
+@dataclass
+class Middles:
+    """Of the middle words of a slice: how many trigrams there are around each and the mass that its bigrams leave to single words."""
+
+    keys: np.ndarray
+    total: np.ndarray
+    left: np.ndarray
+
+
+def log_sums(messages: DataFrame, middles, frequent: tuple[np.ndarray, np.ndarray], cuts: list[np.ndarray], all_kinds: int, floor: float, shards: int) -> DataFrame:
+    """row, log_p: sums of log probabilities over the trigrams of the messages. Messages of kind 1 are words and their kinds.
+
+    The probability by bigram is found in the bigram's shard, where all of a trigram's count is known too; both go to the
+    shard of the trigram's first two words, which has all their continuations.
+    """
+    one_cut, two_cut, three_cut = cuts
+
+    def lower(table: pa.Table) -> pa.Table:
+        kinds_of = table["kind"].to_numpy()
+        found = table["message"].combine_chunks()
+        s = Shard.of_messages([found[int(i)] for i in np.flatnonzero(kinds_of == 0)])
+        keys, kinds = _read([found[int(i)] for i in np.flatnonzero(kinds_of == 1)], np.uint64, np.int64)
+        kinds = np.maximum(Table.of(keys, kinds).get(s.one), Table.of(*frequent).get(s.one)).astype(np.int64)
+        p = np.where(kinds > 0, (kinds - one_cut[np.minimum(kinds, 3)]) / all_kinds, 0) + floor
+        held = middles.value
+        if len(held.keys):
+            at = np.minimum(np.searchsorted(held.keys, s.back1), len(held.keys) - 1)
+            share = (s.types - two_cut[np.minimum(s.types, 3)]) / held.total[at]
+            p = np.where(held.keys[at] == s.back1, share + held.left[at] * p, p)
+        shard = _shard(s.before, shards)
+        order = np.argsort(shard, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(s.texts, dtype=np.int64)])
+        lengths = s.texts[order]
+        begins = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        at = np.arange(begins[-1]) + np.repeat(starts[:-1][order] - begins[:-1], lengths)
+        shard, before, p, count, row, n = shard[order], s.before[order], p[s.of][order], s.count[order].astype(np.uint32), s.row[at], s.n[at]
+        heads = _heads(shard)
+        out = [_message(before[a:b], p[a:b], count[a:b], lengths[a:b], row[begins[a] : begins[b]], n[begins[a] : begins[b]]) for a, b in zip(heads, np.append(heads[1:], len(shard)), strict=True)]
+        return pa.Table.from_batches([_batch(shard[heads].tolist(), 0, out)])
+
+    def higher(table: pa.Table) -> pa.Table:
+        before, p, count, texts, row, n = _read(table["message"].combine_chunks() if table.num_rows else [], np.uint64, np.float64, np.uint32, np.uint32, np.uint64, np.uint32)
+        _, context = np.unique(before, return_inverse=True)
+        total, left = np.bincount(context, count), np.bincount(context, three_cut[np.minimum(count, 3)])
+        total, left = total[context], left[context]
+        seen = total > 0
+        p[seen] = ((count - three_cut[np.minimum(count, 3)])[seen] + left[seen] * p[seen]) / total[seen]
+        rows, text = np.unique(row, return_inverse=True)
+        sums = np.bincount(text, n * np.repeat(np.log(p), texts), minlength=len(rows))
+        return pa.table({"row": pa.array(rows.view(np.int64)), "log_p": pa.array(sums)})
+
+    return messages.groupBy("shard").applyInArrow(lower, MESSAGE).groupBy("shard").applyInArrow(higher, "row long, log_p double")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """row, doc_id, lang, n_words of every row, as a table. Rows of one doc_id and text share a ``row``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            n = np.diff(hashed(*utf8(batch.column(1)))[1])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(3), pa.array(n.astype(np.int64))], names=["row", "doc_id", "lang", "n_words"])
+
+    rows = texts_only(docs, F.col("lang").cast("string").alias("lang")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return write_table(rows.select("doc_id", "text", _row(), "lang").mapInArrow(run, "row long, doc_id long, lang string, n_words long"), "kneser-ney-texts")
+
+
+def _row():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).alias("row")
+
+
+def by_slices(docs: DataFrame, trusted: DataFrame, n_words: int) -> DataFrame:
+    """row, log_p of every text with words, as a table; the model is of the rows whose doc_id is in ``trusted``, which have words.
+
+    Rows that share a ``row`` are added up. n_words: of all texts, for the number of shards.
+    """
+    spark = docs.sparkSession
+    few = trusted.count() <= BROADCAST_IDS
+    ids = trusted.select(F.col("doc_id").alias("__trusted"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__trusted"), "left")
+    marked = marked.select(_row(), F.coalesce("text", F.lit("")).alias("text"), F.col("__trusted").isNotNull().cast("int").alias("trusted"))
+    stats = None
+    for k in range(TRUSTED_SLICES):
+        shards = max(LEAST_SHARDS, n_words // TRUSTED_SLICES // SHARD_WORDS)
+        stats = _summed(stats, statistics(deal(marked.where("trusted = 1"), k, TRUSTED_SLICES, SHIFT, shards, None)), ["what", "key"], list(STATISTICS), "kneser-ney-statistics")
+    orders = {(r.what, r.key): r.kinds for r in stats.where("what > 0").collect()}  # ten rows
+    vocabulary = stats.where("what = 0")
+    kinds, all_kinds = _counts_of_counts(vocabulary.where("kinds > 0"), "kinds")
+    cuts = [_cuts(discounts(found)) for found in (kinds, *({key: n for (what, key), n in orders.items() if what == w} for w in (2, 1)))]
+    floor = sum(n * cuts[0][min(c, 3)] for c, n in kinds.items()) / all_kinds / (sum(kinds.values()) + 1)
+    top = vocabulary.where("kinds > 0").orderBy(F.desc("kinds"), "key").limit(FREQUENT).select("key", "kinds").toArrow()
+    order = np.argsort(top["key"].to_numpy().view(np.uint64))
+    frequent = top["key"].to_numpy().view(np.uint64)[order], top["kinds"].to_numpy()[order]
+    slices = max(SLICES, -(-vocabulary.where("total > 0").count() // SLICE_WORDS))
+    heavy = vocabulary.where("total > 0").orderBy(F.desc("total"), "key").limit(FREQUENT).select("key", "total").toArrow()
+    shift = _even(heavy["key"].to_numpy().view(np.uint64), heavy["total"].to_numpy(), slices)
+    shards = max(LEAST_SHARDS, n_words // slices // SHARD_WORDS)
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            shard = _shard(keys, shards)
+            order, heads = _groups(shard)
+            yield _batch(shard[order[heads]].tolist(), 1, [_message(keys[x], values[x]) for x in np.split(order, heads[1:])] if len(heads) else [])
+
+    sums = None
+    for k in range(slices):
+        found = vocabulary.where((F.col("total") > 0) & (_slice(F.col("key"), slices, shift) == k)).select("key", "total", "n1", "n2", "n3").toArrow()
+        keys = found["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        total = found["total"].to_numpy()[order].astype(np.float64)
+        middles = spark.sparkContext.broadcast(Middles(keys[order], total, sum(cuts[1][c] * found[f"n{c}"].to_numpy()[order] for c in (1, 2, 3)) / total))
+        messages = deal(marked, k, slices, shift, shards, frequent[0]).unionByName(vocabulary.where("kinds > 0").select("key", "kinds").mapInArrow(of_words, MESSAGE))
+        sums = _summed(sums, log_sums(messages, middles, frequent, cuts, all_kinds, floor, shards), ["row"], ["log_p"], "kneser-ney-sums")
+        middles.destroy()
+        del found, keys, order, total
+        give_back()
+    drop_table(stats)
+    return sums
+
+
 def perplexities(docs: DataFrame, model: DataFrame | None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, n_words, perplexity of every row."""
     rows = texts_only(docs, F.col("lang").cast("string").alias("lang")).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -281,7 +641,19 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least:
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     trusted = good.where(~held_out())
     unseen = good.where(held_out())
-    scored = write_table(perplexities(docs, train(docs, trusted), broadcast_rows), "kneser-ney-scores")
+    texts, sums = counted(docs), None
+    learnt = texts.join(F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted, "doc_id", "left_semi").agg(F.sum("n_words")).first()[0] or 0
+    if 5 * learnt <= broadcast_rows:  # a word gives five rows of a model at most
+        found = perplexities(docs, train(docs, trusted), broadcast_rows)
+    else:
+        sums = by_slices(docs, trusted, texts.agg(F.sum("n_words")).first()[0])
+        times = texts.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+        each = sums.join(times, "row").select("row", (F.col("log_p") / F.col("times")).alias("log_p"))
+        found = texts.join(each, "row", "left").select("doc_id", "lang", "n_words", _perplexity(F.col("log_p"), F.col("n_words")).alias("perplexity"))
+    scored = write_table(found, "kneser-ney-scores")
+    for table in (texts, sums):
+        if table is not None:
+            drop_table(table)
     known = scored.where("perplexity is not null").join(unseen, "doc_id", "left_semi").withColumn("lang", F.col("lang"))
     every = known.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
     by_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumnRenamed("lang", "__lang").drop("n")

@@ -356,10 +356,18 @@ def _read(messages: list, *types) -> list[np.ndarray]:
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal keys side by side, and where each run of them begins in it."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     return order, _heads(keys[order])
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key is found, and the number of each key among them."""
+    order, heads = _groups(keys)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.repeat(np.arange(len(heads)), _runs(heads, len(keys)))
+    return order[heads], number
+
+
 def _heads(*columns: np.ndarray) -> np.ndarray:
     new = np.ones(len(columns[0]), bool)
     if len(new):
@@ -409,19 +417,16 @@ def deal(texts: DataFrame, k: int, slices: int, shift: int, shards: int, frequen
             at = np.minimum(np.searchsorted(frequent, one), max(len(frequent) - 1, 0))
             rare = frequent[at] != one if len(frequent) else np.ones(len(one), bool)
             by[rare] = one[rare]
-        shard = _shard(by, shards)
-        order = np.lexsort((row, before, two, shard))
-        back1, one, before, row, trusted, two, shard = (x[order] for x in (back1, one, before, row, trusted, two, shard))
-        heads = _heads(two, before, row)
-        n = _runs(heads, len(two)) * 2 + trusted[heads]  # the last bit: trusted
-        back1, one, before, row, two, shard = (x[heads] for x in (back1, one, before, row, two, shard))
+        order = np.argsort((_shard(by, shards).astype(np.uint64) << np.uint64(40)) | (two >> np.uint64(24)))  # equal bigrams side by side
+        before, row, trusted, two = before[order], row[order], trusted[order], two[order]
+        shard = _shard(by, shards)[order]
         pairs = _heads(two, shard)
-        sizes = _runs(pairs, len(two))
+        back1, one, sizes = back1[order[pairs]], one[order[pairs]], _runs(pairs, len(two))
         starts = _heads(shard)
         ends = np.append(starts[1:], len(shard))
         cut, stop = np.searchsorted(pairs, starts), np.searchsorted(pairs, ends)
         yield _batch(
-            shard[starts].tolist(), 0, [_message(back1[pairs[c:d]], one[pairs[c:d]], sizes[c:d], before[a:b], row[a:b], n[a:b]) for a, b, c, d in zip(starts, ends, cut, stop, strict=True)]
+            shard[starts].tolist(), 0, [_message(back1[c:d], one[c:d], sizes[c:d], before[a:b], row[a:b], trusted[a:b]) for a, b, c, d in zip(starts, ends, cut, stop, strict=True)]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +436,7 @@ def deal(texts: DataFrame, k: int, slices: int, shift: int, shards: int, frequen
             at = np.flatnonzero(_slice(back1, slices, shift) == k)
             text = np.searchsorted(bounds, at, side="right") - 1
             row = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            trusted = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32)
+            trusted = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
             held.append((back1[at], one[at], bigram(back2[at], back1[at]), row[text], trusted[text]))
             size += len(at)
             if size >= DEAL_WORDS:
@@ -451,26 +456,23 @@ class Shard:
     one: np.ndarray
     #: Number of words that trusted text has before the bigram.
     types: np.ndarray
-    #: For each trigram: its bigram, the bigram before its last word, its count in trusted text, its number of texts.
+    #: For each trigram: its bigram, the bigram before its last word, its count in trusted text and in all.
     of: np.ndarray
     before: np.ndarray
     count: np.ndarray
     texts: np.ndarray
-    #: In the trigrams' order: each text and how often it has the trigram.
+    #: In the trigrams' order: the text of each occurrence.
     row: np.ndarray
-    n: np.ndarray
 
     @classmethod
     def of_messages(cls, messages: list) -> Shard:
-        back1, one, sizes, before, row, n = _read(messages, np.uint64, np.uint64, np.uint32, np.uint64, np.uint64, np.uint32)
-        _, first, same = np.unique(bigram(back1, one), return_index=True, return_inverse=True)
+        back1, one, sizes, before, row, trusted = _read(messages, np.uint64, np.uint64, np.uint32, np.uint64, np.uint64, np.uint8)
+        first, same = _numbered(bigram(back1, one))
         last = np.repeat(np.arange(len(one)), sizes)
         order, heads = _groups(trigram(before, one[last]))
-        n, row = n[order], row[order]
-        n, trusted = n >> np.uint32(1), (n & np.uint32(1)).astype(np.int64)
-        count = np.add.reduceat(n * trusted, heads) if len(heads) else np.zeros(0, np.int64)
+        count = np.add.reduceat(trusted[order].astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
         of = same[last[order[heads]]]
-        return cls(back1[first], one[first], np.bincount(of[count > 0], minlength=len(first)), of, before[order[heads]], count, _runs(heads, len(n)), row, n)
+        return cls(back1[first], one[first], np.bincount(of[count > 0], minlength=len(first)), of, before[order[heads]], count, _runs(heads, len(order)), row[order])
 
 
 def statistics(messages: DataFrame) -> DataFrame:
@@ -508,6 +510,12 @@ def _summed(table: DataFrame | None, more: DataFrame, keys: list[str], values: l
     return out
 
 
+def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their values."""
+    first, number = _numbered(keys)
+    return keys[first], np.bincount(number, values, minlength=len(first))
+
+
 @dataclass
 class Middles:
     """Of the middle words of a slice: how many trigrams there are around each and the mass that its bigrams leave to single words."""
@@ -521,7 +529,7 @@ def log_sums(messages: DataFrame, middles, frequent: tuple[np.ndarray, np.ndarra
     """row, log_p: sums of log probabilities over the trigrams of the messages. Messages of kind 1 are words and their kinds.
 
     The probability by bigram is found in the bigram's shard, where all of a trigram's count is known too; both go to the
-    shard of the trigram's first two words, which has all their continuations.
+    shard of the trigram's first two words, which has all their continuations, and a text's sums to the shard of the text.
     """
     one_cut, two_cut, three_cut = cuts
 
@@ -543,23 +551,29 @@ def log_sums(messages: DataFrame, middles, frequent: tuple[np.ndarray, np.ndarra
         lengths = s.texts[order]
         begins = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         at = np.arange(begins[-1]) + np.repeat(starts[:-1][order] - begins[:-1], lengths)
-        shard, before, p, count, row, n = shard[order], s.before[order], p[s.of][order], s.count[order].astype(np.uint32), s.row[at], s.n[at]
+        shard, before, p, count, row = shard[order], s.before[order], p[s.of[order]], s.count[order].astype(np.uint32), s.row[at]
         heads = _heads(shard)
-        out = [_message(before[a:b], p[a:b], count[a:b], lengths[a:b], row[begins[a] : begins[b]], n[begins[a] : begins[b]]) for a, b in zip(heads, np.append(heads[1:], len(shard)), strict=True)]
+        out = [_message(before[a:b], p[a:b], count[a:b], lengths[a:b], row[begins[a] : begins[b]]) for a, b in zip(heads, np.append(heads[1:], len(shard)), strict=True)]
         return pa.Table.from_batches([_batch(shard[heads].tolist(), 0, out)])
 
     def higher(table: pa.Table) -> pa.Table:
-        before, p, count, texts, row, n = _read(table["message"].combine_chunks() if table.num_rows else [], np.uint64, np.float64, np.uint32, np.uint32, np.uint64, np.uint32)
-        _, context = np.unique(before, return_inverse=True)
+        before, p, count, texts, row = _read(table["message"].combine_chunks() if table.num_rows else [], np.uint64, np.float64, np.uint32, np.uint32, np.uint64)
+        _, context = _numbered(before)
         total, left = np.bincount(context, count), np.bincount(context, three_cut[np.minimum(count, 3)])
         total, left = total[context], left[context]
         seen = total > 0
         p[seen] = ((count - three_cut[np.minimum(count, 3)])[seen] + left[seen] * p[seen]) / total[seen]
-        rows, text = np.unique(row, return_inverse=True)
-        sums = np.bincount(text, n * np.repeat(np.log(p), texts), minlength=len(rows))
-        return pa.table({"row": pa.array(rows.view(np.int64)), "log_p": pa.array(sums)})
+        row, sums = _added(row, np.repeat(np.log(p), texts))
+        shard = _shard(row, shards)
+        order, heads = _groups(shard)
+        parts = np.split(order, heads[1:]) if len(heads) else []
+        return pa.Table.from_batches([_batch(shard[order[heads]].tolist(), 0, [_message(row[x], sums[x]) for x in parts])])
+
+    def summed(table: pa.Table) -> pa.Table:
+        row, sums = _added(*_read(table["message"].combine_chunks() if table.num_rows else [], np.uint64, np.float64))
+        return pa.table({"row": pa.array(row.view(np.int64)), "log_p": pa.array(sums)})
 
-    return messages.groupBy("shard").applyInArrow(lower, MESSAGE).groupBy("shard").applyInArrow(higher, "row long, log_p double")
+    return messages.groupBy("shard").applyInArrow(lower, MESSAGE).groupBy("shard").applyInArrow(higher, MESSAGE).groupBy("shard").applyInArrow(summed, "row long, log_p double")
 
 
 def counted(docs: DataFrame) -> DataFrame:

@@ -129,9 +129,9 @@ def give_back() -> None:
         trim(0)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 19, every: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, or of one row: hashing takes some 30 times its text in
-    memory, and in half the time where that memory is used again. Freed memory is given back every 8 MB of text."""
+    memory, and in half the time where that memory is used again. Freed memory is given back after every ``every`` bytes of text."""
     done = 0
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -142,7 +142,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 <<
             yield batch.slice(a, b - a)
             done += int(ends[b - 1] - (ends[a - 1] if a else 0))
             a = b
-            if done >= 8 << 20:
+            if done >= every:
                 give_back()
                 done = 0
         del batch, sizes, ends

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import BASE, MIX1, SPACE, drop_table, give_back, mix, sliced, texts_only, utf8, words, write_table
+from panelweave.llm.common import BASE, MIX1, MIX2, SPACE, drop_table, give_back, mix, sliced, texts_only, utf8, words, write_table
 from panelweave.llm.toxicity import held_out
 
 SHARDS = 8
@@ -68,6 +68,8 @@ SHARD_WORDS, LEAST_SHARDS = 250_000, 48
 DEAL_WORDS = 1 << 18
 #: Bits of a word's hash that are shifted away before it is dealt to a slice, where frequent words are not known yet.
 SHIFT = 33
+#: So many bits of it are dealt by.
+SLICE_BITS = (1 << 24) - 1
 #: Words that occur after most others: their bigrams are dealt each by itself, not all to the word's shard.
 FREQUENT = 4096
 MESSAGE = "shard int, kind int, message binary"
@@ -89,43 +91,46 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def backs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each word: its hash and those of the word before it and of the one before that; and the texts' offsets."""
     one, bounds = hashed(data, offsets)
-    n = len(one)
-    back1, back2 = np.full(n, START), np.full(n, START)
-    back1[1:], back2[2:] = one[:-1], one[:-2]
-    heads = bounds[:-1][np.diff(bounds) > 0]
-    back1[heads] = back2[heads] = START
-    seconds = heads + 1
-    back2[seconds[seconds < n]] = START
-    starts = bounds[:-1][np.diff(bounds) > 1] + 1
-    back2[starts] = START
-    return one, back1, back2, bounds
+    back1 = preceding(one, bounds)
+    return one, back1, preceding(back1, bounds), bounds
+
+
+def preceding(one: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each word what the word before it has, or the start mark."""
+    out = np.empty(len(one), np.uint64)
+    out[1:] = one[:-1]
+    out[bounds[:-1][np.diff(bounds) > 0]] = START
+    return out
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, as written, and n + 1 offsets of each text's words: ``words`` in less time, eight bytes at once."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    blank = SPACE[data]
-    edge = np.ones(len(data), bool)
-    edge[1:] = blank[:-1]
-    heads = offsets[:-1]
-    edge[heads[heads < len(data)]] = True
-    starts = np.flatnonzero(edge & ~blank)
+    starts, lengths = spans(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    stop = np.ones(len(data), bool)
-    stop[:-1] = blank[1:]
-    tails = offsets[1:] - 1
-    stop[tails[tails >= 0]] = True
-    lengths = np.flatnonzero(stop & ~blank) + 1 - starts
     eights = np.ndarray(len(data) + 1, np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     with np.errstate(over="ignore"):
-        out = mix((eights[starts] & ENDS[np.minimum(lengths, 8)]) * BASE + lengths.astype(np.uint64) * MIX1)
-        which, done = np.flatnonzero((lengths > 8) & (lengths <= LONG)), 8
+        out = eights[starts]
+        out &= ENDS.take(lengths, mode="clip")
+        out *= BASE
+        more = lengths.astype(np.uint64)
+        more *= MIX1
+        out += more
+        _mix(out, more)
+        which, done = np.flatnonzero(lengths > 8), 8
+        left = lengths[which]
+        if len(which) and left.max() > LONG:
+            which = which[left <= LONG]
+            left = lengths[which]
+        at, held = starts[which], out[which]
         while len(which):
-            out[which] = mix(out[which] * BASE + (eights[starts[which] + done] & ENDS[np.minimum(lengths[which] - done, 8)]))
-            done += 8
-            which = which[lengths[which] > done]
+            at, left, done = at + 8, left - 8, done + 8
+            held *= BASE
+            held += eights[at] & ENDS.take(left, mode="clip")
+            _mix(held, np.empty_like(held))
+            ended = left <= 8
+            out[which[ended]] = held[ended]
+            which, at, left, held = (x[~ended] for x in (which, at, left, held))
     which = np.flatnonzero(lengths > LONG)
     if len(which):
         ends = np.concatenate([[0], np.cumsum(lengths[which])])
@@ -134,6 +139,33 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.searchsorted(starts, offsets)
 
 
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the words: blanks and other bytes take turns, but where two texts meet within a run."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = (data - np.uint8(0x09)) < 5
+    blank |= data == 0x20
+    turns = np.empty(len(data) + 1, bool)
+    turns[0], turns[-1] = not blank[0], not blank[-1]
+    np.not_equal(blank[1:], blank[:-1], out=turns[1:-1])
+    at = np.flatnonzero(turns)
+    heads = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    heads = heads[~(blank[heads - 1] | blank[heads])]
+    if len(heads):  # a word ends and another begins
+        at = np.insert(at, np.repeat(np.searchsorted(at, heads), 2), np.repeat(heads, 2))
+    starts = at[::2]
+    return np.ascontiguousarray(starts), at[1::2] - starts
+
+
+def _mix(x: np.ndarray, other: np.ndarray) -> None:
+    """``mix`` in place; ``other`` is overwritten."""
+    for shift, factor in ((30, MIX1), (27, MIX2), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=other)
+        x ^= other
+        if factor is not None:
+            x *= factor
+
+
 def bigram(back1: np.ndarray, one: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(back1 * BASE + one * MIX1)
@@ -356,8 +388,40 @@ def _read(messages: list, *types) -> list[np.ndarray]:
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal keys side by side, and where each run of them begins in it."""
-    order = np.argsort(keys)
-    return order, _heads(keys[order])
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).view(np.int64)  # in half the time of argsort
+    found = keys[order]
+    differ = found[1:] ^ found[:-1]
+    if ((differ > 0) & (differ <= low)).any():  # keys that the bits in place of which the index stands tell apart
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    return order, _heads(found)
+
+
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    """An order by shard."""
+    return (np.sort((shard.astype(np.uint64) << np.uint64(32)) | np.arange(len(shard), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+
+@dataclass
+class Places:
+    """Finds hashes among sorted distinct ones: by their first bits, then one by one."""
+
+    keys: np.ndarray
+
+    def __post_init__(self):
+        self.shift = np.uint64(63 - len(self.keys).bit_length())
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << int(64 - self.shift)))]).astype(np.int32)
+        self.most = int(np.diff(self.begins).max())
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Where each is, or -1."""
+        at = self.begins[(wanted >> self.shift).view(np.int64)]
+        out = np.full(len(wanted), -1, np.int32)
+        for k in range(self.most):
+            here = np.minimum(at + np.int32(k), np.int32(len(self.keys) - 1))
+            np.copyto(out, here, where=self.keys[here] == wanted)
+        return out
 
 
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -382,8 +446,8 @@ def _runs(heads: np.ndarray, n: int) -> np.ndarray:
 def _slice(key, slices: int, shift: int):
     """Slice of a word, of its hash in the JVM or in numpy."""
     if isinstance(key, np.ndarray):
-        return (key >> np.uint64(shift)) % np.uint64(slices)
-    return F.shiftrightunsigned(key, shift) % slices
+        return (((key >> np.uint64(shift)) & np.uint64(SLICE_BITS)) * np.uint64(slices)) >> np.uint64(24)
+    return F.shiftright(F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(SLICE_BITS)) * slices, 24)
 
 
 def _even(keys: np.ndarray, weights: np.ndarray, slices: int) -> int:
@@ -392,7 +456,7 @@ def _even(keys: np.ndarray, weights: np.ndarray, slices: int) -> int:
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
-    return ((key & np.uint64(0x7FFFFFFF)) % np.uint64(shards)).astype(np.int32)
+    return (((key & np.uint64(0x7FFFFFFF)) * np.uint64(shards)) >> np.uint64(31)).astype(np.int32)
 
 
 def _batch(shards: list[int], kind: int, messages: list[bytes]) -> pa.RecordBatch:
@@ -410,34 +474,45 @@ def deal(texts: DataFrame, k: int, slices: int, shift: int, shards: int, frequen
     among the sorted ``frequent`` (None: all are).
     """
 
+    known = None if frequent is None else Places(frequent)
+    starts_here = _slice(np.array([START]), slices, shift)[0] == k
+
     def pack(back1, one, before, row, trusted):
-        two = bigram(back1, one)
-        by = two.copy()
-        if frequent is not None:
-            at = np.minimum(np.searchsorted(frequent, one), max(len(frequent) - 1, 0))
-            rare = frequent[at] != one if len(frequent) else np.ones(len(one), bool)
-            by[rare] = one[rare]
-        order = np.argsort((_shard(by, shards).astype(np.uint64) << np.uint64(40)) | (two >> np.uint64(24)))  # equal bigrams side by side
-        before, row, trusted, two = before[order], row[order], trusted[order], two[order]
-        shard = _shard(by, shards)[order]
-        pairs = _heads(two, shard)
-        back1, one, sizes = back1[order[pairs]], one[order[pairs]], _runs(pairs, len(two))
+        order, pairs = _groups(bigram(back1, one))
+        sizes = _runs(pairs, len(order))
+        back1, one = back1[order[pairs]], one[order[pairs]]
+        by = bigram(back1, one)
+        if known is not None:
+            by = np.where(known.find(one) < 0, one, by)
+        shard = _shard(by, shards)
+        dealt = _by_shard(shard)
+        back1, one, sizes, shard, pairs = back1[dealt], one[dealt], sizes[dealt], shard[dealt], pairs[dealt]
+        stops = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        order = order[np.arange(len(order)) + np.repeat(pairs - stops[:-1], sizes)]
+        before, row, trusted = before[order], row[order], trusted[order]
         starts = _heads(shard)
-        ends = np.append(starts[1:], len(shard))
-        cut, stop = np.searchsorted(pairs, starts), np.searchsorted(pairs, ends)
-        yield _batch(
-            shard[starts].tolist(), 0, [_message(back1[c:d], one[c:d], sizes[c:d], before[a:b], row[a:b], trusted[a:b]) for a, b, c, d in zip(starts, ends, cut, stop, strict=True)]
-        )
+        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True))
+        yield _batch(shard[starts].tolist(), 0, [_message(back1[c:d], one[c:d], sizes[c:d], *(x[stops[c] : stops[d]] for x in (before, row, trusted))) for c, d in cuts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in sliced(batches):
-            one, back1, back2, bounds = backs(*utf8(batch.column(1)))
-            at = np.flatnonzero(_slice(back1, slices, shift) == k)
+        for batch in sliced(batches, every=64 << 20):
+            one, bounds = hashed(*utf8(batch.column(1)))
+            head = np.zeros(len(one), bool)
+            head[bounds[:-1][np.diff(bounds) > 0]] = True
+            chosen = np.empty(len(one), bool)
+            chosen[1:] = _slice(one[:-1], slices, shift) == k
+            chosen[head] = starts_here
+            at = np.flatnonzero(chosen)
+            if not len(at):
+                continue
             text = np.searchsorted(bounds, at, side="right") - 1
+            first = head[at]
+            back1 = np.where(first, START, one[at - 1])
+            back2 = np.where(first | head[at - 1], START, one[at - 2])
             row = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             trusted = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
-            held.append((back1[at], one[at], bigram(back2[at], back1[at]), row[text], trusted[text]))
+            held.append((back1, one[at], bigram(back2, back1), row[text], trusted[text]))
             size += len(at)
             if size >= DEAL_WORDS:
                 yield from pack(*map(np.concatenate, zip(*held, strict=True)))
@@ -510,6 +585,14 @@ def _summed(table: DataFrame | None, more: DataFrame, keys: list[str], values: l
     return out
 
 
+def _values(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of sorted distinct keys; 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = Places(keys).find(wanted)
+    return np.where(at >= 0, values[at], 0)
+
+
 def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their values."""
     first, number = _numbered(keys)
@@ -524,6 +607,12 @@ class Middles:
     total: np.ndarray
     left: np.ndarray
 
+    def places(self) -> Places:
+        """Made once in each worker."""
+        if not hasattr(self, "found"):
+            self.found = Places(self.keys)
+        return self.found
+
 
 def log_sums(messages: DataFrame, middles, frequent: tuple[np.ndarray, np.ndarray], cuts: list[np.ndarray], all_kinds: int, floor: float, shards: int) -> DataFrame:
     """row, log_p: sums of log probabilities over the trigrams of the messages. Messages of kind 1 are words and their kinds.
@@ -538,15 +627,16 @@ def log_sums(messages: DataFrame, middles, frequent: tuple[np.ndarray, np.ndarra
         found = table["message"].combine_chunks()
         s = Shard.of_messages([found[int(i)] for i in np.flatnonzero(kinds_of == 0)])
         keys, kinds = _read([found[int(i)] for i in np.flatnonzero(kinds_of == 1)], np.uint64, np.int64)
-        kinds = np.maximum(Table.of(keys, kinds).get(s.one), Table.of(*frequent).get(s.one)).astype(np.int64)
+        order = np.argsort(keys)
+        kinds = np.maximum(_values(keys[order], kinds[order], s.one), _values(*frequent, s.one))
         p = np.where(kinds > 0, (kinds - one_cut[np.minimum(kinds, 3)]) / all_kinds, 0) + floor
         held = middles.value
         if len(held.keys):
-            at = np.minimum(np.searchsorted(held.keys, s.back1), len(held.keys) - 1)
+            at = held.places().find(s.back1)
             share = (s.types - two_cut[np.minimum(s.types, 3)]) / held.total[at]
-            p = np.where(held.keys[at] == s.back1, share + held.left[at] * p, p)
+            p = np.where(at >= 0, share + held.left[at] * p, p)
         shard = _shard(s.before, shards)
-        order = np.argsort(shard, kind="stable")
+        order = _by_shard(shard)
         starts = np.concatenate([[0], np.cumsum(s.texts, dtype=np.int64)])
         lengths = s.texts[order]
         begins = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
@@ -565,7 +655,8 @@ def log_sums(messages: DataFrame, middles, frequent: tuple[np.ndarray, np.ndarra
         p[seen] = ((count - three_cut[np.minimum(count, 3)])[seen] + left[seen] * p[seen]) / total[seen]
         row, sums = _added(row, np.repeat(np.log(p), texts))
         shard = _shard(row, shards)
-        order, heads = _groups(shard)
+        order = _by_shard(shard)
+        heads = _heads(shard[order])
         parts = np.split(order, heads[1:]) if len(heads) else []
         return pa.Table.from_batches([_batch(shard[order[heads]].tolist(), 0, [_message(row[x], sums[x]) for x in parts])])
 
@@ -623,7 +714,8 @@ def by_slices(docs: DataFrame, trusted: DataFrame, n_words: int) -> DataFrame:
         for batch in batches:
             keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             shard = _shard(keys, shards)
-            order, heads = _groups(shard)
+            order = _by_shard(shard)
+            heads = _heads(shard[order])
             yield _batch(shard[order[heads]].tolist(), 1, [_message(keys[x], values[x]) for x in np.split(order, heads[1:])] if len(heads) else [])
 
     sums = None

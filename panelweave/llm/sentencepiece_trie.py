@@ -10,7 +10,9 @@ computed once.
 * BPE models: summing scores does not give the library's segmentation. The
   state is the last piece of the prefix's own segmentation: the piece t for
   which the last piece before t and t stay apart when both are merged alone.
-  It is unique, depends on the prefix only, and gives the library's ids.
+  It is unique, depends on the prefix only, and gives the library's ids. The
+  pieces that a prefix ends with are those of an automaton's state, which is
+  kept beside it.
 
 Texts are cut into words between two characters that stand side by side in no
 piece, which is exact: no piece and no merge spans such a place. A word keeps
@@ -30,7 +32,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,8 @@ from panelweave.llm.common import give_back, sliced, texts_only
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+#: Pieces of equal scores that texts are searched for; with more, every pair of pieces is merged to see if it stays apart.
+MOST_TIED = 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean"
 
 
@@ -70,6 +76,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         at += size
 
 
+def shared_with_last(words: list[str], most: int = 32) -> list[int]:
+    """How many characters each word shares with the one before it; the first ``most`` of all words are looked at together."""
+    if not words:
+        return []
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.array([x[:most] for x in words], f"U{most}").view(np.uint32).reshape(len(words), most)
+    differ = np.ones((len(words), most + 1), bool)
+    np.not_equal(first[1:], first[:-1], out=differ[1:, :most])
+    out = np.minimum(differ.argmax(axis=1), lengths)
+    out[1:] = np.minimum(out[1:], lengths[:-1])
+    out[0] = 0
+    for k in np.flatnonzero(out == most).tolist():
+        a, b = words[k - 1], words[k]
+        n, end = most, min(len(a), len(b))
+        while n < end and a[n] == b[n]:
+            n += 1
+        out[k] = n
+    return out.tolist()
+
+
 class TrieEncoder:
     """Encodes and decodes with a .model file. Words seen lately keep their ids, in about ``memo_bytes`` at most."""
 
@@ -94,13 +120,10 @@ class TrieEncoder:
         self.bytes_ids = {int(self.names[i][3:5], 16): i for i in range(n) if p.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes_ids.items()}
         self.hidden = {i for i in range(n) if p.is_control(i)}
-        #: Pieces by their characters from the last to the first; "" marks the end of one.
-        self.backward: dict = {}
-        for piece in self.pieces:
-            at = self.backward
-            for c in reversed(piece):
-                at = at.setdefault(c, {})
-            at[""] = piece
+        #: All that pieces begin with: the states of an automaton that knows the longest of them that a prefix ends with.
+        self.begun = {x[:k] for x in self.pieces for k in range(1, len(x) + 1)} | {""}
+        #: By state and next character, put together: the next state and the pieces of several characters that it ends with.
+        self.steps: dict[str, tuple[str, list[str]]] = {}
         pairs = {x[i : i + 2] for x in self.pieces for i in range(len(x) - 1)}
         chars = sorted({c for x in pairs for c in x})
         #: The number of each character that stands beside others in pieces, else 0; or the last, for unknown ones that become one piece.
@@ -119,7 +142,23 @@ class TrieEncoder:
         self.halves: dict[str, tuple[str, str] | None] = {}
         merged = sorted((x for x in self.pieces if len(x) > 1), key=lambda x: -self.scores[x])
         self.turn = {x: k for k, x in enumerate(merged)}
-        self.ties = len({self.scores[x] for x in merged}) < len(merged)
+        times = Counter(self.scores[x] for x in merged)
+        #: Pieces of equal scores that hold no shorter one of them.
+        self.tied: list[str] = []
+        for x in sorted((x for x in merged if times[self.scores[x]] > 1), key=len):
+            if len(self.tied) <= MOST_TIED and not any(y in x for y in self.tied):
+                self.tied.append(x)
+
+    @cached_property
+    def backward(self) -> dict:
+        """Pieces by their characters from the last to the first; "" marks the end of one."""
+        out: dict = {}
+        for piece in self.pieces:
+            at = out
+            for c in reversed(piece):
+                at = at.setdefault(c, {})
+            at[""] = piece
+        return out
 
     # -- BPE: do two pieces stay apart
 
@@ -157,9 +196,13 @@ class TrieEncoder:
         if found is None:
             if len(self.apart) > 150_000:
                 self.apart.clear()
-            found = self.apart[a, b] = self._reachable(b) and (self._merge(a + b) == [a, b] if self.ties else self._never_joined(a, b))
+            found = self.apart[a, b] = self._reachable(b) and (self._merge(a + b) == [a, b] if self._may_tie(a + b) else self._never_joined(a, b))
         return found
 
+    def _may_tie(self, text: str) -> bool:
+        """Whether merges of equal scores can meet in a text."""
+        return len(self.tied) > MOST_TIED or any(x in text for x in self.tied)
+
     def _never_joined(self, a: str, b: str) -> bool:
         """Whether no merge crosses from a to b: undo their merges, the latest first, and see at each state if the two parts
         at the border would have been merged before what was undone."""
@@ -190,32 +233,37 @@ class TrieEncoder:
 
     # -- forward states along a path of the trie
 
-    def _extend_bpe(self, word: str, start: int, last: list[str]) -> None:
-        """Last pieces of the prefixes longer than ``start``."""
-        backward, apart = self.backward, self.apart
-        for i in range(start + 1, len(word) + 1):
-            chosen = word[i - 1]
-            at, j, found = backward.get(chosen), i - 2, []
-            while at is not None and j >= 0:
-                at = at.get(word[j])
-                if at is None:
-                    break
-                if "" in at:
-                    found.append(at[""])
-                j -= 1
-            while found:  # from the longest on
-                piece = found.pop()
-                j = i - len(piece)
+    def _step(self, key: str) -> tuple[str, list[str]]:
+        """The longest end of the key that a piece begins with, and the pieces that it ends with, the longest first."""
+        if len(self.steps) > 200_000:
+            self.steps.clear()
+        state = key
+        while state not in self.begun:
+            state = state[1:]
+        ends = (state[k:] for k in range(len(state) - 1))
+        found = self.steps[key] = state, [x for x in ends if x in self.pieces and self._reachable(x)]
+        return found
+
+    def _extend_bpe(self, word: str, start: int, last: list[str], states: list[str]) -> None:
+        """Last pieces and states of the prefixes longer than ``start``."""
+        steps, apart, state = self.steps, self.apart, states[-1]
+        for i in range(start, len(word)):
+            chosen = word[i]
+            key = state + chosen
+            found = steps.get(key)
+            state, ends = self._step(key) if found is None else found
+            for piece in ends:
+                j = i + 1 - len(piece)
                 if j:
                     fits = apart.get((last[j], piece))
                     if fits is None:
                         fits = self._stay(last[j], piece)
-                else:
-                    fits = self._reachable(piece)
-                if fits:
-                    chosen = piece
-                    break
+                    if not fits:
+                        continue
+                chosen = piece
+                break
             last.append(chosen)
+            states.append(state)
 
     def _extend_unigram(self, word: str, start: int, last: list[str], best: list[float]) -> None:
         """Last pieces and best scores of the prefixes longer than ``start``."""
@@ -258,15 +306,14 @@ class TrieEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of these words into the memo, and whether they decode to the word."""
-        before, names = "", self.names
-        last, best = [""], [0.0]
-        for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
+        names = self.names
+        last, best, states = [""], [0.0], [""]
+        found = sorted(words)
+        for word, shared in zip(found, shared_with_last(found), strict=True):
             del last[shared + 1 :]
             if self.kind == BPE:
-                self._extend_bpe(word, shared, last)
+                del states[shared + 1 :]
+                self._extend_bpe(word, shared, last, states)
             else:
                 del best[shared + 1 :]
                 self._extend_unigram(word, shared, last, best)
@@ -276,7 +323,6 @@ class TrieEncoder:
             self.stops.append(len(self.flat))
             self.plain.append("".join([names[i] for i in ids]) == word or self._text(ids) == word.replace(MARK, " "))
             self.held += 200 + 4 * len(word) + 4 * len(ids)
-            before = word
 
     def ids_of(self, word: str) -> list[int]:
         k = self.memo[word]

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from panelweave.llm import kneser_ney
+from panelweave.llm import kneser_ney, sentencepiece_trie
 from panelweave.llm.common import utf8, words
 
 
@@ -70,3 +71,26 @@ def test_places_and_spans():
         starts, lengths = kneser_ney.spans(*utf8(column))
         _, plain_starts, plain_lengths, _ = words(*utf8(column), lower=False)
         assert starts.tolist() == plain_starts.tolist() and lengths.tolist() == plain_lengths.tolist()
+
+
+def test_pairs_are_merged_only_where_equal_scores_can_meet(monkeypatch):
+    rng = random.Random(5)
+    parts = ["ing", "the", "tion", "a", "e", "st", "▁", "▁▁", "0", "é", "梦", "\0", "th", "internationalisation" * 3]
+    words = ["▁" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    encoder, plain = (sentencepiece_trie.TrieEncoder(public_tokenizers.path("piece_bpe_32k.model")) for _ in range(2))
+    merged, merge = [], encoder._merge
+    encoder._merge = lambda text: merged.append(text) or merge(text)
+    encoder.learn(set(words))
+    assert [x for x in merged if x not in encoder.pieces and "▁▁" not in x] == []
+    monkeypatch.setattr(sentencepiece_trie, "MOST_TIED", -1, raising=False)
+    plain.learn(set(words))
+    assert plain.apart == encoder.apart and [plain.ids_of(w) for w in words] == [encoder.ids_of(w) for w in words]
+    texts = ["".join(rng.choice(["ing", " the", "tion", " ", "  ", "é", "梦", "\n", "internationalisation" * 2]) for _ in range(rng.randint(0, 20))) for _ in range(200)]
+    assert [x.tolist() for x in encoder.encode_batch(texts)] == encoder.processor.encode(texts)
+
+
+def test_shared_beginnings():
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("ab\0é") for _ in range(rng.randint(0, 8))) * rng.choice([1, 1, 9]) for _ in range(400)})
+    wanted = [0] + [next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(words, words[1:], strict=False)]
+    assert sentencepiece_trie.shared_with_last(words) == wanted and sentencepiece_trie.shared_with_last([]) == []

@@ -27,7 +27,9 @@ sketch holds the ``K`` smallest. Documents are linked when 100 * intersection
    ``BITS``; two sets share no more hashes than bits, plus the lesser number of
    hashes whose bit another hash of their set has set.
 4. Pairs are filtered by size and by the similarity that the union of their
-   sketches estimates; full sets of the rest are compared.
+   sketches estimates; full sets of the rest are compared. The hashes of few
+   members, which are counted, are sent to where the pairs are; others are joined
+   by shuffles.
 5. Components: of a checked number of edges in one task, else by alternating
    large-star and small-star steps.
 
@@ -64,6 +66,8 @@ BITS = 2048
 MEMBER = ("n", "x", "inner", "bits", "excess")
 #: Edges that one task joins up: 16 bytes each, and some 100 in memory.
 ONE_TASK = 500_000
+#: Up to so many pairs, and bytes of their members' hashes, these hashes are sent to the workers that compare the pairs.
+FEW_PAIRS, FEW_BYTES = 20_000, 1 << 20
 #: A side is broadcast up to this many rows of two longs.
 BROADCAST_ROWS = 1_000_000
 
@@ -191,14 +195,14 @@ def feasible(lists: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n, hashes: the whole sets of some documents (doc_id, a written table)."""
+    """id, n, hashes: the whole sets of some documents (doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = shingle_sets(*utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "hashes"])
 
-    return texts_only(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(_small(ids), "doc_id", "left_semi").mapInArrow(run, "id long, n long, hashes binary")
+    return texts_only(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, n long, hashes binary")
 
 
 def with_bits(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,44 +227,69 @@ def bits_allow():
     return F.col("bits").isNull() | F.col("bits2").isNull() | (7 * (common + F.least("excess", "excess2")) >= 3 * (F.col("n") + F.col("n2")))
 
 
-def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose union sketch has enough shared values."""
+def _alike_sketches(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the union of two sketches has enough shared values."""
+    union = np.sort(np.concatenate([x, y]))
+    twice = union[1:] == union[:-1]
+    # the K smallest of the union are known: K distinct values, or all of both
+    distinct = np.cumsum(np.concatenate([[1], ~twice]))[1:] <= K
+    shared, size = int((twice & distinct).sum()), min(K, len(union) - int(twice.sum()))
+    whole = len(x) < K and len(y) < K
+    return 100 * shared >= 75 * size if whole else shared * K >= NEED * size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                union = np.sort(np.concatenate([x, y]))
-                twice = union[1:] == union[:-1]
-                # the K smallest of the union are known: K distinct values, or all of both
-                distinct = np.cumsum(np.concatenate([[1], ~twice]))[1:] <= K
-                shared, size = int((twice & distinct).sum()), min(K, len(union) - int(twice.sum()))
-                whole = len(x) < K and len(y) < K
-                keep.append(100 * shared >= 75 * size if whole else shared * K >= NEED * size)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (reps.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+def _alike_sets(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= 75 * (len(both) - shared)
+
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    """doc_id: the members of each pair, as often as they occur."""
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    ids = write_table(pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct(), "neardup-ids")
+
+def _few(pairs: DataFrame, rows: DataFrame, size) -> bool:
+    """Whether the members of some pairs (a written table) may be sent to the workers: ``size`` of their rows (doc_id, ...) sums the bytes."""
+    if pairs.count() > FEW_PAIRS:
+        return False
+    return (rows.join(F.broadcast(_sides(pairs)), "doc_id", "left_semi").agg(F.sum(size)).first()[0] or 0) <= FEW_BYTES
+
+
+def _passing(pairs: DataFrame, members: DataFrame, alike, few: bool) -> DataFrame:
+    """The pairs (a, b) of members (id, hashes) that are ``alike``; few members are sent to where the pairs are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= 75 * (len(both) - shared))
+            found = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in found]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = full_sets(docs, ids)
-    left, right = (found.select(F.col("id").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    left, right = (members.select(F.col("id").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
+    if few:
+        left, right = F.broadcast(left), F.broadcast(right)
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+
+
+def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a written table) whose union sketch has enough shared values."""
+    few = _few(pairs, reps.withColumnRenamed("id", "doc_id"), F.length("sketch") + 16)
+    members = reps.join(F.broadcast(_sides(pairs)), F.col("id") == F.col("doc_id"), "left_semi") if few else reps
+    return _passing(pairs, members.select("id", F.col("sketch").alias("hashes")), _alike_sketches, few)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a written table) whose full sets are similar enough; a pair may come twice where rows share a doc_id.
+
+    rows: doc_id, n_shingles of all documents. sets: a table that has the sets of all members (id, n, hashes).
+    """
+    few = _few(pairs, rows, 8 * F.col("n_shingles") + 16)
+    ids = _sides(pairs)
+    if sets is None:
+        sets = full_sets(docs, F.broadcast(ids) if few else _small(write_table(ids.distinct(), "neardup-ids")))
+    elif few:
+        sets = sets.join(F.broadcast(ids), F.col("id") == F.col("doc_id"), "left_semi")
+    return _passing(pairs, sets, _alike_sets, few)
 
 
 def _lists_now(lists: DataFrame, labels: DataFrame | None, turn: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -310,11 +339,13 @@ def link(docs: DataFrame) -> DataFrame:
     sweep(docs.sparkSession)
     labels = None
 
-    def settle(pairs: DataFrame) -> bool:
+    def settle(pairs: DataFrame, sets: DataFrame | None = None) -> bool:
         """Check pairs and take the links among them into the components; whether there are any."""
         nonlocal labels
+        pairs = write_table(pairs, "neardup-pairs")
         likely = write_table(_estimate(pairs, reps), "neardup-likely")
-        passed = write_table(_verify(likely, docs).distinct(), "neardup-links")
+        drop_table(pairs)
+        passed = write_table(_verify(likely, docs, rows, sets), "neardup-links")
         drop_table(likely)
         found = bool(passed.limit(1).count())
         if labels is None:
@@ -332,10 +363,9 @@ def link(docs: DataFrame) -> DataFrame:
         members = write_table(entries.join(_small(long_.select("value"), 200_000), "value", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "neardup-ids")
         settle(_candidates(entries, stats, False, SHORT))
         if members.limit(1).count():
-            sets = write_table(full_sets(docs, members), "neardup-sets")
+            sets = write_table(full_sets(docs, _small(members)), "neardup-sets")
             # the sets of a large group lie in few files: their hashes are listed by all tasks evenly
             lists = write_table(with_bits(feasible(inverted_lists(sets.repartition("id"), full_need())), sets), "neardup-lists")
-            drop_table(sets)
             sweep(docs.sparkSession)
             turn, last = 0, False
             while not last:
@@ -343,13 +373,14 @@ def link(docs: DataFrame) -> DataFrame:
                 entries, stats = _lists_now(lists, labels, 2 + turn, SHORT if turn else 0)
                 if not stats.limit(1).count():
                     break
-                found = settle(_candidates(entries, stats, True, 0 if turn else SHORT))
+                found = settle(_candidates(entries, stats, True, 0 if turn else SHORT), sets)
                 turn += 1
                 last = turn >= ROUNDS or not found
             if last:
                 entries, stats = _lists_now(lists, labels, 2 + turn, SHORT)
                 if stats.limit(1).count():
-                    settle(_candidates(entries, stats, False, None))
+                    settle(_candidates(entries, stats, False, None), sets)
+            drop_table(sets)
     labels = labels.where("id != component")
     out = named.join(labels, named["rep"] == labels["id"], "left")
     component = F.coalesce("component", "rep")

@@ -371,7 +371,10 @@ def joined_up(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _message(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    """The arrays in one piece; counts, which are mostly small, take no more bytes than the largest needs."""
+    arrays = [a.astype(np.min_scalar_type(int(a.max(initial=0))), copy=False) if a.dtype in (np.uint32, np.int64) else a for a in arrays]
+    head = np.array([(len(a), a.itemsize) for a in arrays], np.int64)
+    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
 
 
 def _read(messages: list, *types) -> list[np.ndarray]:
@@ -379,10 +382,10 @@ def _read(messages: list, *types) -> list[np.ndarray]:
     found: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in types]
     for message in messages:
         data = message.as_buffer()
-        at = 8 * len(types)
-        for into, t, n in zip(found, types, np.frombuffer(data, np.int64, len(types)), strict=True):
-            into.append(np.frombuffer(data, t, int(n), at))
-            at += int(n) * np.dtype(t).itemsize
+        at = 16 * len(types)
+        for into, t, (n, size) in zip(found, map(np.dtype, types), np.frombuffer(data, np.int64, 2 * len(types)).reshape(-1, 2).tolist(), strict=True):
+            into.append(np.frombuffer(data, t if size == t.itemsize else f"u{size}", n, at))
+            at += n * size
     return [np.concatenate(x) for x in found]
 
 

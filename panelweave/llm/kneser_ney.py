@@ -22,6 +22,8 @@ trigrams would take several times the texts' size. All texts are read once for
 each slice of the middle words; the bigrams and trigrams of a slice are counted,
 joined by hash shard, scored and summed by document, and only these sums and a
 table of words stay. A pass leaves nothing out: its slice of all the trigrams.
+On the way a frequent word is named by two bytes and a text by its number among
+its task's texts, of which each task says once whose they are.
 
 All give the same sums. A document passes if its perplexity is at most that
 quantile of its language's trusted documents that the model has not seen;
@@ -44,6 +46,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,20 +62,24 @@ BROADCAST_ROWS = 6_000_000
 #: Ids of trusted documents that are sent to the workers; beyond them texts are joined to the ids by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Passes over all texts, and over the trusted ones for the counts, of a model that is not sent: the more, the less disk at once.
-SLICES, TRUSTED_SLICES = 12, 3
+SLICES, TRUSTED_SLICES = 7, 3
 #: Middle words of a slice, which are sent to the workers; more make more slices.
 SLICE_WORDS = 1_000_000
 #: Words of a slice's shard on average, at most, and shards of a slice at least.
-SHARD_WORDS, LEAST_SHARDS = 250_000, 48
+SHARD_WORDS, LEAST_SHARDS = 500_000, 48
 #: Words of a slice that are dealt at once.
-DEAL_WORDS = 1 << 18
+DEAL_WORDS = 1 << 19
 #: Bits of a word's hash that are shifted away before it is dealt to a slice, where frequent words are not known yet.
 SHIFT = 33
 #: So many bits of it are dealt by.
 SLICE_BITS = (1 << 24) - 1
 #: Words that occur after most others: their bigrams are dealt each by itself, not all to the word's shard.
 FREQUENT = 4096
+#: A word that most others with its first 16 bits occur less often than is named by these; of so many words that is found out.
+CODE_SHIFT, CODED_WORDS = np.uint64(48), 1 << 17
 MESSAGE = "shard int, kind int, message binary"
+#: Kinds of messages: bigrams with the words before them, words and their kinds, numbers of texts and their rows.
+GRAMS, WORDS, ROWS = range(3)
 STATISTICS = ("total", "n1", "n2", "n3", "kinds")
 #: Words of more bytes are hashed by ``words``; the first bytes of eight.
 LONG = 64
@@ -401,6 +408,34 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, _heads(found)
 
 
+def codes_of(words_: np.ndarray) -> np.ndarray:
+    """For each first 16 bits the first of these words that has them, or 0; the start mark before all. No word has the code 0."""
+    out = np.zeros(1 << 16, np.uint64)
+    for x in (words_[::-1], np.array([START])):
+        out[(x >> CODE_SHIFT).view(np.int64)] = x
+    out[0] = 0
+    return out
+
+
+def _coded(codes: np.ndarray, words_: np.ndarray, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes of the words, 0 for those without, which follow in full; each with its cuts, where ``cuts`` are those of the words."""
+    at = (words_ >> CODE_SHIFT).view(np.int64)
+    short = np.where(codes[at] == words_, at, 0).astype(np.uint16)
+    rest = np.flatnonzero(short == 0)
+    return [(short, cuts), (words_[rest], np.searchsorted(rest, cuts))]
+
+
+def _decoded(codes: np.ndarray, short: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    out = codes[short]
+    out[short == 0] = rest
+    return out
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for two below 2^31, no larger than the square of the larger one's successor."""
+    return np.where(a < b, b * b + a, a * a + a + b)
+
+
 def _by_shard(shard: np.ndarray) -> np.ndarray:
     """An order by shard."""
     return (np.sort((shard.astype(np.uint64) << np.uint64(32)) | np.arange(len(shard), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).view(np.int64)
@@ -462,6 +497,28 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return (((key & np.uint64(0x7FFFFFFF)) * np.uint64(shards)) >> np.uint64(31)).astype(np.int32)
 
 
+def _dealt(shard: np.ndarray, kind: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    """A message for each shard with its part of the arrays."""
+    order = _by_shard(shard)
+    shard = shard[order]
+    heads = _heads(shard)
+    ends = np.append(heads, len(shard)).tolist()
+    arrays = [a[order] for a in arrays]
+    return _batch(shard[heads].tolist(), kind, [_message(*(x[a:b] for x in arrays)) for a, b in zip(ends, ends[1:], strict=False)])
+
+
+def _of(table: pa.Table, kind: int) -> list:
+    """Messages of this kind."""
+    found = table["message"].combine_chunks() if table.num_rows else []
+    return [found[i] for i in np.flatnonzero(table["kind"].to_numpy() == kind).tolist()]
+
+
+def _passed(table: pa.Table) -> pa.RecordBatch:
+    """The rows of texts' numbers go on as they are."""
+    found = _of(table, ROWS)
+    return _batch(table["shard"].to_numpy()[: len(found)].tolist(), ROWS, [x.as_py() for x in found])  # a group has one shard
+
+
 def _batch(shards: list[int], kind: int, messages: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([kind] * len(shards), pa.int32()), pa.array(messages, pa.binary())], names=["shard", "kind", "message"])
 
@@ -470,17 +527,22 @@ def _cuts(found: list[float]) -> np.ndarray:
     return np.array([0.0, *found])
 
 
-def deal(texts: DataFrame, k: int, slices: int, shift: int, shards: int, frequent: np.ndarray | None) -> DataFrame:
-    """Messages of slice ``k``: the bigrams whose first word is in it, each with the words before it, by text.
+def deal(texts: DataFrame, k: int, slices: int, shift: int, shards: int, frequent: np.ndarray | None, codes: np.ndarray | None = None, end: int | None = None) -> DataFrame:
+    """Messages of slice ``k``, or of all from it to before ``end``: the bigrams whose first word is in it, each with the words
+    before it, by text.
 
     texts: row (of the text), text, trusted. A bigram has one shard: that of its last word, or its own where that word is
-    among the sorted ``frequent`` (None: all are).
+    among the sorted ``frequent`` (None: all are). With ``codes`` words are named by them, and texts by numbers, whose rows
+    are in messages of their own.
     """
 
     known = None if frequent is None else Places(frequent)
-    starts_here = _slice(np.array([START]), slices, shift)[0] == k
+    end = k + 1 if end is None else end
+    here = lambda key: _slice(key, slices, shift) - np.uint64(k) < np.uint64(end - k)
+    starts_here = here(np.array([START]))[0]
 
-    def pack(back1, one, before, row, trusted):
+    def pack(base, partition, back1, one, back2, text, row, trusted):
+        before = bigram(back2, back1) if codes is None else back2
         order, pairs = _groups(bigram(back1, one))
         sizes = _runs(pairs, len(order))
         back1, one = back1[order[pairs]], one[order[pairs]]
@@ -492,36 +554,56 @@ def deal(texts: DataFrame, k: int, slices: int, shift: int, shards: int, frequen
         back1, one, sizes, shard, pairs = back1[dealt], one[dealt], sizes[dealt], shard[dealt], pairs[dealt]
         stops = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         order = order[np.arange(len(order)) + np.repeat(pairs - stops[:-1], sizes)]
-        before, row, trusted = before[order], row[order], trusted[order]
+        before, text = before[order], text[order]
         starts = _heads(shard)
-        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True))
-        yield _batch(shard[starts].tolist(), 0, [_message(back1[c:d], one[c:d], sizes[c:d], *(x[stops[c] : stops[d]] for x in (before, row, trusted))) for c, d in cuts])
+        cuts = np.append(starts, len(shard))
+        ends = stops[cuts]
+        if codes is None:
+            columns = [(back1, cuts), (one, cuts), (sizes, cuts), (before, ends), (row[text], ends), (trusted[text], ends)]
+        else:
+            place = (2 * text + trusted[text]).astype(np.uint32)
+            where = np.stack([np.full(len(starts), base), np.full(len(starts), partition), np.diff(ends)], 1).ravel()
+            columns = [*_coded(codes, back1, cuts), *_coded(codes, one, cuts), (sizes, cuts), *_coded(codes, before, ends), (place, ends), (where, np.arange(len(cuts)) * 3)]
+        columns = [(x, at.tolist()) for x, at in columns]
+        yield _batch(shard[starts].tolist(), GRAMS, [_message(*(x[at[i] : at[i + 1]] for x, at in columns)) for i in range(len(starts))])
+        if codes is not None:
+            number = _pair(base + np.arange(len(row)), partition)
+            yield _dealt(_shard(mix(number), shards), ROWS, number, row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        context = TaskContext.get()
+        partition = context.partitionId() if context else 0
+        base = 0
+        held, size, n = [], 0, 0
+
+        def packed():
+            return pack(base, partition, *map(np.concatenate, zip(*held, strict=True)))
+
         for batch in sliced(batches, every=64 << 20):
             one, bounds = hashed(*utf8(batch.column(1)))
             head = np.zeros(len(one), bool)
             head[bounds[:-1][np.diff(bounds) > 0]] = True
             chosen = np.empty(len(one), bool)
-            chosen[1:] = _slice(one[:-1], slices, shift) == k
+            chosen[1:] = here(one[:-1])
             chosen[head] = starts_here
             at = np.flatnonzero(chosen)
             if not len(at):
                 continue
-            text = np.searchsorted(bounds, at, side="right") - 1
             first = head[at]
             back1 = np.where(first, START, one[at - 1])
             back2 = np.where(first | head[at - 1], START, one[at - 2])
-            row = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            trusted = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
-            held.append((back1, one[at], bigram(back2, back1), row[text], trusted[text]))
-            size += len(at)
+            words_of = np.diff(np.searchsorted(at, bounds))
+            of = np.flatnonzero(words_of)
+            row = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[of]
+            trusted = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)[of]
+            held.append((back1, one[at], back2, np.repeat(np.arange(n, n + len(of)), words_of[of]), row, trusted))
+            size, n = size + len(at), n + len(of)
             if size >= DEAL_WORDS:
-                yield from pack(*map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
+                yield from packed()
+                base += n
+                held, size, n = [], 0, 0
         if size:
-            yield from pack(*map(np.concatenate, zip(*held, strict=True)))
+            yield from packed()
 
     return texts.select("row", "text", "trusted").mapInArrow(run, MESSAGE)
 
@@ -539,33 +621,43 @@ class Shard:
     before: np.ndarray
     count: np.ndarray
     texts: np.ndarray
-    #: In the trigrams' order: the text of each occurrence.
+    #: In the trigrams' order: the text of each occurrence, by its number if words came by ``codes``.
     row: np.ndarray
 
     @classmethod
-    def of_messages(cls, messages: list) -> Shard:
-        back1, one, sizes, before, row, trusted = _read(messages, np.uint64, np.uint64, np.uint32, np.uint64, np.uint64, np.uint8)
+    def of_messages(cls, messages: list, codes: np.ndarray | None = None) -> Shard:
+        if codes is None:
+            back1, one, sizes, before, row, trusted = _read(messages, np.uint64, np.uint64, np.uint32, np.uint64, np.uint64, np.uint8)
+            last = np.repeat(np.arange(len(one)), sizes)
+        else:
+            named = (np.uint16, np.uint64)
+            *words_, sizes, back2, rest, place, where = _read(messages, *named, *named, np.uint32, *named, np.uint32, np.int64)
+            back1, one = _decoded(codes, *words_[:2]), _decoded(codes, *words_[2:])
+            last = np.repeat(np.arange(len(one)), sizes)
+            before = bigram(_decoded(codes, back2, rest), back1[last])
+            base, partition, n = where.reshape(-1, 3).T
+            trusted, row = place & 1, _pair((place >> 1) + np.repeat(base, n), np.repeat(partition, n))
         first, same = _numbered(bigram(back1, one))
-        last = np.repeat(np.arange(len(one)), sizes)
         order, heads = _groups(trigram(before, one[last]))
         count = np.add.reduceat(trusted[order].astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
         of = same[last[order[heads]]]
         return cls(back1[first], one[first], np.bincount(of[count > 0], minlength=len(first)), of, before[order[heads]], count, _runs(heads, len(order)), row[order])
 
 
-def statistics(messages: DataFrame) -> DataFrame:
+def statistics(messages: DataFrame, shards: int, codes: np.ndarray | None = None) -> DataFrame:
     """what, key and sums. Of words (0): numbers of trigrams with it in the middle, of bigrams that begin with it and have 1,
     2 or more types (n1, n2, n3), of bigrams that end with it (kinds). How often (kinds) a trigram has a count (1) or a
     bigram a number of types (2), more than 4 counting as 5."""
 
     def run(table: pa.Table) -> pa.Table:
-        s = Shard.of_messages(table["message"].combine_chunks() if table.num_rows else [])
+        s = Shard.of_messages(_of(table, GRAMS), codes)
         parts = []
 
         def add(what, keys, *values):
             order, heads = _groups(keys)
             if len(heads):
-                parts.append([np.full(len(heads), what), keys[order[heads]].view(np.int64), *(np.add.reduceat(np.asarray(v, np.int64)[order], heads) for v in values)])
+                keys = keys[order[heads]]
+                parts.append(_dealt(_shard(keys, shards), what, keys, *(np.add.reduceat(np.asarray(v, np.int64)[order], heads) for v in values)))
 
         seen = s.types > 0
         types, none = s.types[seen], np.zeros(int(seen.sum()), np.int64)
@@ -574,10 +666,17 @@ def statistics(messages: DataFrame) -> DataFrame:
         for what, values in ((1, s.count[s.count > 0]), (2, types)):
             zero = np.zeros(len(values), np.int64)
             add(what, np.minimum(values, 5).astype(np.uint64), zero, zero, zero, zero, zero + 1)
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 7
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["what", "key", *STATISTICS])
+        return pa.Table.from_batches(parts or [_batch([], 0, [])])
 
-    return messages.groupBy("shard").applyInArrow(run, "what long, key long, " + ", ".join(f"{c} long" for c in STATISTICS))
+    def summed(table: pa.Table) -> pa.Table:
+        parts = []
+        for what in range(3):
+            keys, *values = _read(_of(table, what), np.uint64, *[np.int64] * len(STATISTICS))
+            first, number = _numbered(keys)
+            parts.append([np.full(len(first), what), keys[first].view(np.int64), *(np.bincount(number, v, len(first)).astype(np.int64) for v in values)])
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], names=["what", "key", *STATISTICS])
+
+    return messages.groupBy("shard").applyInArrow(run, MESSAGE).groupBy("shard").applyInArrow(summed, "what long, key long, " + ", ".join(f"{c} long" for c in STATISTICS))
 
 
 def _summed(table: DataFrame | None, more: DataFrame, keys: list[str], values: list[str], name: str) -> DataFrame:
@@ -617,19 +716,18 @@ class Middles:
         return self.found
 
 
-def log_sums(messages: DataFrame, middles, frequent: tuple[np.ndarray, np.ndarray], cuts: list[np.ndarray], all_kinds: int, floor: float, shards: int) -> DataFrame:
-    """row, log_p: sums of log probabilities over the trigrams of the messages. Messages of kind 1 are words and their kinds.
+def log_sums(messages: DataFrame, middles, frequent: tuple[np.ndarray, np.ndarray], cuts: list[np.ndarray], all_kinds: int, floor: float, shards: int, codes: np.ndarray) -> DataFrame:
+    """row, log_p: sums of log probabilities over the trigrams of the messages.
 
     The probability by bigram is found in the bigram's shard, where all of a trigram's count is known too; both go to the
-    shard of the trigram's first two words, which has all their continuations, and a text's sums to the shard of the text.
+    shard of the trigram's first two words, which has all their continuations, and a text's sums to the shard of the text,
+    where its number's row has been sent.
     """
     one_cut, two_cut, three_cut = cuts
 
     def lower(table: pa.Table) -> pa.Table:
-        kinds_of = table["kind"].to_numpy()
-        found = table["message"].combine_chunks()
-        s = Shard.of_messages([found[int(i)] for i in np.flatnonzero(kinds_of == 0)])
-        keys, kinds = _read([found[int(i)] for i in np.flatnonzero(kinds_of == 1)], np.uint64, np.int64)
+        s = Shard.of_messages(_of(table, GRAMS), codes)
+        keys, kinds = _read(_of(table, WORDS), np.uint64, np.int64)
         order = np.argsort(keys)
         kinds = np.maximum(_values(keys[order], kinds[order], s.one), _values(*frequent, s.one))
         p = np.where(kinds > 0, (kinds - one_cut[np.minimum(kinds, 3)]) / all_kinds, 0) + floor
@@ -646,26 +744,32 @@ def log_sums(messages: DataFrame, middles, frequent: tuple[np.ndarray, np.ndarra
         at = np.arange(begins[-1]) + np.repeat(starts[:-1][order] - begins[:-1], lengths)
         shard, before, p, count, row = shard[order], s.before[order], p[s.of[order]], s.count[order].astype(np.uint32), s.row[at]
         heads = _heads(shard)
-        out = [_message(before[a:b], p[a:b], count[a:b], lengths[a:b], row[begins[a] : begins[b]]) for a, b in zip(heads, np.append(heads[1:], len(shard)), strict=True)]
-        return pa.Table.from_batches([_batch(shard[heads].tolist(), 0, out)])
+        ends = np.append(heads, len(shard))  # none where the shard has words or rows alone
+        out = [_message(before[a:b], p[a:b], count[a:b], lengths[a:b], row[begins[a] : begins[b]]) for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.Table.from_batches([_batch(shard[heads].tolist(), GRAMS, out), _passed(table)])
 
     def higher(table: pa.Table) -> pa.Table:
-        before, p, count, texts, row = _read(table["message"].combine_chunks() if table.num_rows else [], np.uint64, np.float64, np.uint32, np.uint32, np.uint64)
+        before, p, count, texts, number = _read(_of(table, GRAMS), np.uint64, np.float64, np.uint32, np.uint32, np.int64)
         _, context = _numbered(before)
         total, left = np.bincount(context, count), np.bincount(context, three_cut[np.minimum(count, 3)])
         total, left = total[context], left[context]
         seen = total > 0
         p[seen] = ((count - three_cut[np.minimum(count, 3)])[seen] + left[seen] * p[seen]) / total[seen]
-        row, sums = _added(row, np.repeat(np.log(p), texts))
-        shard = _shard(row, shards)
-        order = _by_shard(shard)
-        heads = _heads(shard[order])
-        parts = np.split(order, heads[1:]) if len(heads) else []
-        return pa.Table.from_batches([_batch(shard[order[heads]].tolist(), 0, [_message(row[x], sums[x]) for x in parts])])
+        first, at = _numbered(mix(number))
+        number, sums = number[first], np.bincount(at, np.repeat(np.log(p), texts), len(first))
+        return pa.Table.from_batches([_dealt(_shard(mix(number), shards), GRAMS, number, sums), _passed(table)])
 
     def summed(table: pa.Table) -> pa.Table:
-        row, sums = _added(*_read(table["message"].combine_chunks() if table.num_rows else [], np.uint64, np.float64))
-        return pa.table({"row": pa.array(row.view(np.int64)), "log_p": pa.array(sums)})
+        number, sums = _read(_of(table, GRAMS), np.int64, np.float64)
+        key, sums = _added(mix(number), sums)
+        known, row = _read(_of(table, ROWS), np.int64, np.uint64)
+        known = mix(known)
+        order = np.argsort(known)
+        known = known[order]
+        at = Places(known).find(key) if len(known) else np.full(len(key), -1)
+        if (at < 0).any() or (known[1:] == known[:-1]).any():
+            raise ValueError("a text's number has no row, or several: a task that ran anew dealt other texts")
+        return pa.table({"row": pa.array(row[order][at].view(np.int64)), "log_p": pa.array(sums)})
 
     return messages.groupBy("shard").applyInArrow(lower, MESSAGE).groupBy("shard").applyInArrow(higher, MESSAGE).groupBy("shard").applyInArrow(summed, "row long, log_p double")
 
@@ -686,6 +790,14 @@ def _row():
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).alias("row")
 
 
+def _frequent(stats: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The words that occur after most others, sorted, and their kinds; codes of words."""
+    top = stats.where("what = 0 and kinds > 0").orderBy(F.desc("kinds"), "key").limit(max(FREQUENT, CODED_WORDS)).select("key", "kinds").toArrow()
+    keys, kinds = top["key"].to_numpy().view(np.uint64), top["kinds"].to_numpy()
+    order = np.argsort(keys[:FREQUENT])
+    return (keys[order], kinds[order]), codes_of(keys)
+
+
 def by_slices(docs: DataFrame, trusted: DataFrame, n_words: int) -> DataFrame:
     """row, log_p of every text with words, as a table; the model is of the rows whose doc_id is in ``trusted``, which have words.
 
@@ -696,18 +808,18 @@ def by_slices(docs: DataFrame, trusted: DataFrame, n_words: int) -> DataFrame:
     ids = trusted.select(F.col("doc_id").alias("__trusted"))
     marked = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__trusted"), "left")
     marked = marked.select(_row(), F.coalesce("text", F.lit("")).alias("text"), F.col("__trusted").isNotNull().cast("int").alias("trusted"))
-    stats = None
-    for k in range(TRUSTED_SLICES):
-        shards = max(LEAST_SHARDS, n_words // TRUSTED_SLICES // SHARD_WORDS)
-        stats = _summed(stats, statistics(deal(marked.where("trusted = 1"), k, TRUSTED_SLICES, SHIFT, shards, None)), ["what", "key"], list(STATISTICS), "kneser-ney-statistics")
+    shards = max(LEAST_SHARDS, n_words // TRUSTED_SLICES // SHARD_WORDS)
+    stats = frequent = codes = None
+    for k, end in ((0, 1), (1, TRUSTED_SLICES)):  # the first slice tells which words are frequent
+        if k < end:
+            dealt = deal(marked.where("trusted = 1"), k, TRUSTED_SLICES, SHIFT, shards, frequent and frequent[0], codes, end)
+            stats = _summed(stats, statistics(dealt, shards, codes), ["what", "key"], list(STATISTICS), "kneser-ney-statistics")
+            frequent, codes = _frequent(stats)
     orders = {(r.what, r.key): r.kinds for r in stats.where("what > 0").collect()}  # ten rows
     vocabulary = stats.where("what = 0")
     kinds, all_kinds = _counts_of_counts(vocabulary.where("kinds > 0"), "kinds")
     cuts = [_cuts(discounts(found)) for found in (kinds, *({key: n for (what, key), n in orders.items() if what == w} for w in (2, 1)))]
     floor = sum(n * cuts[0][min(c, 3)] for c, n in kinds.items()) / all_kinds / (sum(kinds.values()) + 1)
-    top = vocabulary.where("kinds > 0").orderBy(F.desc("kinds"), "key").limit(FREQUENT).select("key", "kinds").toArrow()
-    order = np.argsort(top["key"].to_numpy().view(np.uint64))
-    frequent = top["key"].to_numpy().view(np.uint64)[order], top["kinds"].to_numpy()[order]
     slices = max(SLICES, -(-vocabulary.where("total > 0").count() // SLICE_WORDS))
     heavy = vocabulary.where("total > 0").orderBy(F.desc("total"), "key").limit(FREQUENT).select("key", "total").toArrow()
     shift = _even(heavy["key"].to_numpy().view(np.uint64), heavy["total"].to_numpy(), slices)
@@ -716,10 +828,7 @@ def by_slices(docs: DataFrame, trusted: DataFrame, n_words: int) -> DataFrame:
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            shard = _shard(keys, shards)
-            order = _by_shard(shard)
-            heads = _heads(shard[order])
-            yield _batch(shard[order[heads]].tolist(), 1, [_message(keys[x], values[x]) for x in np.split(order, heads[1:])] if len(heads) else [])
+            yield _dealt(_shard(keys, shards), WORDS, keys, values)
 
     sums = None
     for k in range(slices):
@@ -728,8 +837,8 @@ def by_slices(docs: DataFrame, trusted: DataFrame, n_words: int) -> DataFrame:
         order = np.argsort(keys)
         total = found["total"].to_numpy()[order].astype(np.float64)
         middles = spark.sparkContext.broadcast(Middles(keys[order], total, sum(cuts[1][c] * found[f"n{c}"].to_numpy()[order] for c in (1, 2, 3)) / total))
-        messages = deal(marked, k, slices, shift, shards, frequent[0]).unionByName(vocabulary.where("kinds > 0").select("key", "kinds").mapInArrow(of_words, MESSAGE))
-        sums = _summed(sums, log_sums(messages, middles, frequent, cuts, all_kinds, floor, shards), ["row"], ["log_p"], "kneser-ney-sums")
+        messages = deal(marked, k, slices, shift, shards, frequent[0], codes).unionByName(vocabulary.where("kinds > 0").select("key", "kinds").mapInArrow(of_words, MESSAGE))
+        sums = _summed(sums, log_sums(messages, middles, frequent, cuts, all_kinds, floor, shards, codes), ["row"], ["log_p"], "kneser-ney-sums")
         middles.destroy()
         del found, keys, order, total
         give_back()
